@@ -20,7 +20,7 @@ from .tables import texts
 
 #: Distinct text parts that a worker keeps encoded; beyond it, it starts anew.
 CACHE_PARTS = 300_000
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Parts that the token pattern never crosses: a word with the space before it; white space up to the last of a run.
 _PARTS = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?=[{_SPACE}][^{_SPACE}])|[{_SPACE}]+")
 
