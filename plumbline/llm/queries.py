@@ -2,20 +2,77 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .byte_bpe import bpe_round_trip
 from .exact_dedup import exact_dedup
+from .katz import katz_scores
+from .language_id import language_id
 from .packing import pack_documents
 from .simhash import simhash_dedup
-from .tables import table
+from .substring_dedup import repeated_passages
+from .tables import shared_folder, table, written
+from .token_counts import TOKENIZERS, Rollup, token_count
+from .url_filters import filter_captures, host_of, suffixes
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads all documents, revises those of quality 0 (digits go), then deletes the toxic ones; every batch comes twice."""
+    docs = table(spark, sf_dir, "documents")
+    plain = F.regexp_replace("text", "[0-9]+", "")
+    sizes = [F.struct(F.lit(v).alias("tokenizer"), token_count(F.col("text"), v).cast("long").alias("n"), token_count(plain, v).cast("long").alias("revised")) for v in TOKENIZERS]
+    counts = written(docs.select("doc_id", "source", "lang", F.explode(F.array(*sizes)).alias("c")).select("doc_id", "source", "lang", "c.*"), "counts")
+    flags = table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.min("quality") == 0).alias("poor"), (F.max("toxic") == 1).alias("toxic"))
+    marked = counts.join(flags, "doc_id")
+    delta = lambda rows, n, sign: rows.select("source", "lang", "tokenizer", F.lit(sign).cast("long").alias("docs"), (n * sign).alias("tokens"))
+    now = F.when(F.col("poor"), F.col("revised")).otherwise(F.col("n"))
+    poor, toxic = marked.filter("poor"), marked.filter("toxic")
+    rollup = Rollup(spark, f"{shared_folder(spark)}/token-rollup-{uuid.uuid4().hex}")
+    for _ in range(2):
+        rollup.commit("load", delta(counts, F.col("n"), 1))
+        rollup.commit("revise", delta(poor, F.col("n"), -1).unionByName(delta(poor, F.col("revised"), 1)))
+        rollup.commit("moderate", delta(toxic, now, -1))
+    return rollup.totals()
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def _part(key: str, at: int) -> F.Column:
+    """A number below 2 ** 24 that is fixed for each key."""
+    return F.conv(F.substring(F.md5(F.col(key)), at, 6), 16, 10).cast("long")
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as captured at a time of 2024, under lists whose entries for its hosts and domains come and go in that year."""
+    second = lambda days: F.timestamp_seconds(F.lit(1704067200) + days * 86400)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched", F.timestamp_seconds(F.lit(1704067200) + (F.col("page_id") * 7919) % 31536000))
+    keys = captures.select(F.explode(suffixes(host_of(F.col("url")))).alias("s")).select("s.key").filter("key is not null").distinct()
+    one, two = _part("key", 1), _part("key", 7)
+    entry = lambda name, kind, action, days: F.struct(F.lit(name).alias("list"), F.lit(kind).alias("kind"), F.lit(action).alias("action"), second(days).alias("at"))
+    entries = F.array(
+        entry("spam", "block", "add", one % 200), entry("spam", "block", "remove", one % 200 + two % 60 + 1), entry("spam", "block", "add", one % 200 + two % 60 + 40),
+        entry("trusted", "allow", "add", two % 300), entry("trusted", "allow", "remove", two % 300 + 50),
+        entry("malware", "block", "add", one * 3 % 365),
+    )
+    wanted = {"spam": one % 3 == 0, "trusted": two % 4 == 1, "malware": one % 7 == 2}
+    rows = keys.select("key", F.explode(entries).alias("e"), one.alias("one")).select("key", "e.*")
+    keep = F.lit(False)
+    for name, which in wanted.items():
+        keep = keep | ((F.col("list") == name) & which)
+    return filter_captures(captures, rows.filter(keep))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe_round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -25,18 +82,67 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op4_language_id": op4_language_id,
+    "op5_url_filters": op5_url_filters,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_katz_scores": op10_katz_scores,
 }
 
 SQL = {
+    "op1_token_counts": r"""
+        WITH flags AS (SELECT doc_id, min(quality) = 0 AS poor, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+        now AS (
+            SELECT source, lang, CASE WHEN poor THEN regexp_replace(coalesce(text, ''), '[0-9]+', '', 'g') ELSE coalesce(text, '') END AS text
+            FROM documents LEFT JOIN flags USING (doc_id) WHERE toxic IS NOT TRUE)
+        SELECT source, lang, 'words-1' AS tokenizer, count(*) AS n_docs, sum(len(regexp_extract_all(text, '[^ \t-\r]+'))) AS n_tokens FROM now GROUP BY ALL
+        UNION ALL
+        SELECT source, lang, 'marks-2', count(*), sum(len(regexp_extract_all(text, '[A-Za-z]+|[0-9]|[^A-Za-z0-9 \t-\r]'))) FROM now GROUP BY ALL
+    """,
+    "op5_url_filters": r"""
+        WITH captures AS (
+            SELECT page_id, TIMESTAMP '2024-01-01' + to_seconds((page_id * 7919) % 31536000) AS fetched,
+                   nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') AS host FROM pages),
+        keys AS (
+            SELECT page_id, fetched, host, array_to_string(list_slice(labels, i, len(labels)), '.') AS key, len(labels) - i + 1 AS depth
+            FROM (SELECT *, string_split(host, '.') AS labels FROM captures) AS x
+            LEFT JOIN LATERAL (SELECT unnest(range(1, greatest(len(x.labels), 2))) AS i) AS y ON true),
+        hashed AS (SELECT DISTINCT key, ('0x' || substr(md5(key), 1, 6))::BIGINT AS one, ('0x' || substr(md5(key), 7, 6))::BIGINT AS two FROM keys WHERE key IS NOT NULL),
+        entries AS (
+            SELECT 'spam' AS list, key, 'add' AS action, one % 200 AS day FROM hashed WHERE one % 3 = 0
+            UNION ALL SELECT 'spam', key, 'remove', one % 200 + two % 60 + 1 FROM hashed WHERE one % 3 = 0
+            UNION ALL SELECT 'spam', key, 'add', one % 200 + two % 60 + 40 FROM hashed WHERE one % 3 = 0
+            UNION ALL SELECT 'trusted', key, 'add', two % 300 FROM hashed WHERE two % 4 = 1
+            UNION ALL SELECT 'trusted', key, 'remove', two % 300 + 50 FROM hashed WHERE two % 4 = 1
+            UNION ALL SELECT 'malware', key, 'add', one * 3 % 365 FROM hashed WHERE one % 7 = 2),
+        spans AS (
+            SELECT list, key, action, TIMESTAMP '2024-01-01' + to_days(day::INT) AS valid_from,
+                   lead(TIMESTAMP '2024-01-01' + to_days(day::INT)) OVER (PARTITION BY list, key ORDER BY day) AS valid_to
+            FROM entries),
+        met AS (
+            SELECT k.page_id, k.fetched, k.host, s.list, k.depth * 2 + (s.list = 'trusted')::INT AS weight
+            FROM keys k LEFT JOIN spans s ON k.key = s.key AND s.action = 'add' AND s.valid_from <= k.fetched AND (s.valid_to IS NULL OR k.fetched < s.valid_to))
+        SELECT page_id, fetched, host, count(list) AS n_active, coalesce(string_agg(DISTINCT list, ',' ORDER BY list), '') AS lists,
+               CASE WHEN max(weight) IS NULL THEN 'keep' WHEN max(weight) % 2 = 1 THEN 'allow' ELSE 'block' END AS decision
+        FROM met GROUP BY page_id, fetched, host
+    """,
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
