@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chroma
 from .byte_bpe import bpe_round_trip
 from .exact_dedup import exact_dedup
 from .katz import katz_scores
@@ -43,6 +44,14 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as recordings; every turn of a conversation whose id is divisible by 20 is searched among all."""
+    media = chroma.render(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
+    prints = chroma.fingerprints(media, ["conv_id", "turn"])
+    found = chroma.align(prints, ["conv_id", "turn"], F.col("conv_id") % 20 == 0)
+    return found.select("*", F.col("match.conv_id").alias("match_conv_id"), F.col("match.turn").alias("match_turn")).drop("match")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -97,6 +106,7 @@ def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_chroma_fingerprints": op3_chroma_fingerprints,
     "op4_language_id": op4_language_id,
     "op5_url_filters": op5_url_filters,
     "op6_byte_bpe": op6_byte_bpe,
