@@ -104,3 +104,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return told.join(groups, "recipe").select(
         F.col("id").alias(id_col), F.col("keep.id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256"
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of equal texts, the one that exact_dedup keeps; all columns as they are."""
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
+    digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    rows = docs.withColumn("__digest", digest)
+    rows = rows.join(kept, rows[id_col].eqNullSafe(kept["__id"]) & (rows["__digest"] == kept["__sha"]), "left_semi")
+    nth = F.row_number().over(Window.partitionBy(id_col, "__digest").orderBy(F.lit(1)))  # rows repeated with one id and text
+    return rows.withColumn("__nth", nth).filter("__nth = 1").select(docs.columns)

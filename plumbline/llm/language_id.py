@@ -170,3 +170,14 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     model = train(docs.filter(remainder(id_col, folds) != held_out), id_col, text_col, lang_col)
     made = identify(docs, model, id_col, text_col)
     return made.select(id_col, F.coalesce(remainder(id_col, folds) == held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs that the model doesn't reject, all columns as they are; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [model.predict(t) for t in batch.column(text_col).to_pylist()]
+            yield batch.filter(pa.array([x != UNKNOWN and y >= model.threshold for x, y in made], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -209,3 +209,10 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labels = points.join(reached, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     out = prints.join(labels, "fp", "left")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group: the one with the smallest id. Rows of groups without any id stay."""
+    groups = simhash_dedup(docs, id_col, text_col)
+    gone = groups.filter(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("__id")).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left_anti")
