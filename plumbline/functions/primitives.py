@@ -81,7 +81,11 @@ def prefix_sums(df: DataFrame, order: Sequence[str], sums: dict[str, Column] | N
     totals = dealt.groupBy(*groups, "__part").agg(F.count(F.lit(1)).alias("__n"), *[F.sum(f"__s_{k}").alias(f"__t_{k}") for k in sums])
     before = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
     offsets = totals.select(*groups, "__part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__b{c}") for c in ("__n", *[f"__t_{k}" for k in sums])])
-    joined = dealt.join(F.broadcast(offsets), [*groups, "__part"]) if not groups else dealt.join(offsets, [*groups, "__part"])
+    offsets = offsets.withColumnsRenamed({g: f"__g{k}" for k, g in enumerate(groups)} | {"__part": "__p"})
+    same = F.col("__part") == F.col("__p")
+    for k, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{k}"))
+    joined = dealt.join(offsets if groups else F.broadcast(offsets), same)  # without groups: a row for each part
     here = Window.partitionBy(*groups, "__part").orderBy(*ordered)
     upto = here.rowsBetween(Window.unboundedPreceding, 0)
     out = [(F.sum(f"__s_{k}").over(upto) + F.col(f"__b__t_{k}")).alias(k) for k in sums]

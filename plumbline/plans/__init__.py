@@ -1,4 +1,4 @@
 """Registered queries of the library's own operators."""
 
-from . import preparation  # noqa: F401
+from . import analysis, preparation  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
