@@ -21,7 +21,7 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
     None, "", " ", "a", "  a", "a  ", "\n\n a\tb\n", "x\x1cy \x1c z", "don't I'LL  we've", "é̂ ñ 日本語 　 x", "👩‍👩‍👧 🏳️‍🌈!!", "１２３ ²³ Ⅷ", "ſt  q   z\u0085",
-    "<|endoftext|> a<|startoftext|>", "İstanbul ΣΑΣ ς", "word " * 3000, "x" * 5000, "\r\n\r\n  \t'S 's",
+    "<|endoftext|> a<|startoftext|>", "A.B,c;D!?e'S. É, é., x1,2 a.'s b,'t", "J\u030c T\u0308, W\u030ax. I\u0307", "İstanbul ΣΑΣ ς", "word " * 3000, "x" * 5000, "\r\n\r\n  \t'S 's",
 ]
 
 
@@ -84,6 +84,13 @@ def test_words_one_by_one_are_the_whole_text():
         assert np.frombuffer(made.encode(text.encode()), "<u4").tolist() == _brute(text, model)[:-1], text
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n'stlé1!.,;Jj\u030c\u0308")), max_size=60))
+def test_words_of_any_text(text):
+    made = packing.word_tokenizer(WORDS)
+    assert np.frombuffer(made.encode(text.encode()), "<u4").tolist() == _brute(text, made.model)[:-1]
+
+
 def _check_packing(rows, text, model):
     whole, bins = {}, {}
     for r in rows:
