@@ -1,4 +1,4 @@
 """Registered queries of the library's own operators."""
 
-from . import analysis, building, judging, preparation  # noqa: F401
+from . import analysis, building, judging, modelling, preparation  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
