@@ -113,15 +113,6 @@ def _(spark, d):
     return profile.compression_audit(sample(spark, d), "o_custkey", ["c_acctbal", "n_lines", "o_orderpriority"])
 
 
-@query("d13_profile_rules", f"""{L}, {IV.split(', cells')[0]}, psi AS (SELECT 'none' AS feature WHERE false), m AS (SELECT feature FROM long GROUP BY 1 HAVING 1 - count(value) / count(*) > 0.5), n AS (SELECT count(*) AS n FROM sample)
-    SELECT 'small_sample' AS rule, 'rows' AS subject FROM n WHERE n < 20000 UNION ALL SELECT 'missing', feature FROM m""")
-def _(spark, d):
-    rows, long = sample(spark, d), long_sample(spark, d)
-    top = rows.agg(F.count("*"), F.avg("label")).first()
-    none = spark.createDataFrame([], "feature string, psi double")
-    return profile.profile_rules(profile.basic_stats(rows, NUMERIC), none, top[0], top[1]) if long.columns else None
-
-
 @query("d14_score_histogram", f"{S}, h AS (SELECT least(CAST(floor(score * 10) AS BIGINT), 9) AS bin, count(*) AS n FROM sample GROUP BY 1) SELECT bin, n, n / sum(n) OVER () AS share FROM h", "share")
 def _(spark, d):
     return profile.score_histogram(sample(spark, d), "score")
@@ -135,6 +126,14 @@ PSI = f"""pe AS ({edges_sql('long', where="split = 'train'")}), pc AS (SELECT fe
     psi AS (SELECT feature, sum((q - p) * ln(q / p)) AS psi FROM ps GROUP BY 1)"""
 
 
+@query("d13_profile_rules", f"""{L}, {PSI}, m AS (SELECT feature FROM long GROUP BY 1 HAVING 1 - count(value) / count(*) > 0.5), n AS (SELECT count(*) AS n, avg(label) AS rate FROM sample)
+    SELECT 'small_sample' AS rule, 'rows' AS subject FROM n WHERE n < 20000 UNION ALL SELECT 'imbalance', 'label' FROM n WHERE least(rate, 1 - rate) < 0.05 UNION ALL SELECT 'missing', feature FROM m UNION ALL SELECT 'strong_drift', feature FROM psi WHERE psi > 0.25""")
+def _(spark, d):
+    rows = sample(spark, d)
+    top = rows.agg(F.count("*"), F.avg("label")).first()
+    return profile.profile_rules(profile.basic_stats(rows, NUMERIC), drift.psi_numeric(long_sample(spark, d)), top[0], top[1])
+
+
 @query("d15_quality_summary", f"""{L}, {QUALITY}, {PSI}
     SELECT kind, band, count(*) AS n FROM (SELECT 'severity' AS kind, severity AS band FROM quality UNION ALL SELECT 'missing', CASE WHEN missing_rate <= 0.5 THEN 'low' WHEN missing_rate <= 0.8 THEN 'high' ELSE 'severe' END FROM quality
     UNION ALL SELECT 'psi', CASE WHEN psi <= 0.1 THEN 'stable' WHEN psi <= 0.25 THEN 'moderate' ELSE 'strong' END FROM psi) GROUP BY 1, 2""")
