@@ -17,6 +17,8 @@ from .tables import text_bytes, written
 
 MIN_BYTES, MEAN_BITS, MAX_BYTES = 512, 11, 16384
 _WINDOW = 16
+#: Text that the rolling hash is computed over at a time.
+SLICE_BYTES = 2 << 20
 
 CHUNKS = T.ArrayType(T.StructType([T.StructField("hash", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("digest", T.BinaryType())]))
 
@@ -44,25 +46,30 @@ def cut_points(cuts: np.ndarray, start: int, end: int) -> list[int]:
     return ends if ends and ends[-1] == end else [*ends, end]
 
 
-def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = text_bytes(batch.column("text"))
-        mask = np.uint32((1 << MEAN_BITS) - 1)
-        mixed = rolling_hash(data)
-        cuts = np.flatnonzero(((mixed >> np.uint32(32 - MEAN_BITS)) & mask) == 0) + 1
-        view = memoryview(data)
-        recipes, whole = [], []
-        for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+def _recipes(data: np.ndarray, offsets: np.ndarray) -> tuple[list, list]:
+    """Chunks and whole digest of each text between the offsets; the rolling hash covers SLICE_BYTES or one text at a time."""
+    view, recipes, whole, first = memoryview(data), [], [], 0
+    while first < len(offsets) - 1:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, "right")) - 1)
+        base = int(offsets[first])
+        cuts = np.flatnonzero(rolling_hash(data[base : offsets[last]]) >> np.uint32(32 - MEAN_BITS) == 0) + (base + 1)
+        for start, end in zip(offsets[first:last].tolist(), offsets[first + 1 : last + 1].tolist(), strict=True):
             recipe, at = [], start
             for cut in cut_points(cuts, start, end):
                 part = view[at:cut]
-                recipe.append((xxhash.xxh64_intdigest(part) - (1 << 63), cut - at, hashlib.sha256(part).digest()))
+                recipe.append({"hash": xxhash.xxh64_intdigest(part) - (1 << 63), "n": cut - at, "digest": hashlib.sha256(part).digest()})
                 at = cut
             recipes.append(recipe)
-            whole.append(recipe[0][2].hex() if len(recipe) == 1 else hashlib.sha256(view[start:end]).hexdigest())
-        kind = pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int32()), ("digest", pa.binary())]))
-        made = [[{"hash": h, "n": n, "digest": d} for h, n, d in r] for r in recipes]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made, kind), pa.array(whole, pa.string())], ["id", "chunks", "text_sha256"])
+            whole.append(recipe[0]["digest"].hex() if len(recipe) == 1 else hashlib.sha256(view[start:end]).hexdigest())
+        first = last
+    return recipes, whole
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int32()), ("digest", pa.binary())]))
+    for batch in batches:
+        recipes, whole = _recipes(*text_bytes(batch.column("text")))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(recipes, kind), pa.array(whole, pa.string())], ["id", "chunks", "text_sha256"])
 
 
 def chunk_recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
