@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import math
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -20,52 +21,72 @@ from .tables import texts, written
 
 #: Pieces that one task packs; a piece is a few numbers.
 SHARD_PIECES = 50_000
-#: Target bins that one source bin is tried against in a pass.
-TRIES = 48
+#: The search goes on while a pass raises the sum of squared fills by this share.
+PROGRESS = 1e-4
 #: Distinct words that a worker keeps; beyond it, it starts anew. Bytes of text looked through at a time.
 CACHE_WORDS, TEXT_BYTES = 600_000, 1 << 20
-_MARKS = {b",", b".", b";", b":", b"!", b"?"}
+#: ASCII marks but the apostrophe, with which some letters make one token.
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordTokenizer:
-    """Ids of a text word by word: the tokenizer drops white space, so words don't affect each other."""
+    """Ids of a text word by word: the tokenizer drops white space, so words don't affect each other.
+
+    The strings of the tokenizer's added tokens are those tokens wherever they
+    stand in a text, in just that spelling; they are split off before the words.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.added = {t.content.encode(): array("I", [k]).tobytes() for k, t in self.model.get_added_tokens_decoder().items()}
+        self.split_added = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + b")") if self.added else None
+        self.model.encode_special_tokens = True  # of single words, from which the added tokens were split; a lower-cased lookalike is none
         self.bpe, self.shown = self.model.model, dict(enumerate(byte_characters()))
         self.known: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+
+    def words(self, text: bytes) -> list[bytes]:
+        """The words in lower case; an added token is a word of its own after a space, which no other has."""
+        if self.split_added and b"<|" in text and len(parts := self.split_added.split(text)) > 1:
+            return [w for k, part in enumerate(parts) for w in ([b" " + part] if k % 2 else self._plain(part))]
+        return self._plain(text)
 
     @staticmethod
-    def words(text: bytes) -> list[bytes]:
+    def _plain(text: bytes) -> list[bytes]:
         if b"\xcc" not in text and b"\xcd" not in text:  # no combining marks, which join with some small letters only
             text = text.lower()
         return text.split()
 
-    def _ids(self, word: bytes) -> bytes:
-        """Of a Latin word, what the model makes of its letters: nothing else of the tokenizer changes those but their case."""
-        letters = word.decode()
-        small = letters.lower()
-        if small.isalpha() and max(letters) < "\u0250":
-            shown = small.encode().decode("latin-1").translate(self.shown)
-            ids = [t.id for t in self.bpe.tokenize(shown)]
-        else:
-            ids = self.model.encode(letters, add_special_tokens=False).ids
-        return array("I", ids).tobytes()
+    def _letters(self, word: bytes) -> bytes | None:
+        """Of Latin letters, what the model makes of them: nothing else of the tokenizer changes those but their case."""
+        if (ids := self.stems.get(word)) is not None:
+            return ids
+        letters = word.decode().lower()
+        if not letters.isalpha() or max(letters) >= "\u0250":
+            return None
+        ids = array("I", [t.id for t in self.bpe.tokenize(letters.encode().decode("latin-1").translate(self.shown))]).tobytes()
+        self.stems[word] = ids
+        return ids
+
+    def _whole(self, word: bytes) -> bytes:
+        if word[:1] == b" ":
+            return self.added[word[1:]]
+        return array("I", self.model.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
     def _learn(self, new: set[bytes]) -> None:
         known = self.known
         for word in new:
-            if word[-1:] in _MARKS and word[-2:-1].isalpha():  # a token ends between a letter and a mark
-                for part in (word[:-1], word[-1:]):
-                    if part not in known:
-                        known[part] = self._ids(part)
-                known[word] = known[word[:-1]] + known[word[-1:]]
+            stem = word.rstrip(_MARKS)
+            if stem and (ids := self._letters(stem)) is not None:  # a token ends between a letter and the marks after it
+                marks = word[len(stem) :]
+                if marks and (tail := known.get(marks)) is None:
+                    tail = known[marks] = self._whole(marks)
+                known[word] = ids + tail if marks else ids
             elif word not in known:
-                known[word] = self._ids(word)
+                known[word] = self._whole(word)
 
     def encode(self, text: bytes) -> bytes:
         return next(self.encode_all([text]))
@@ -82,6 +103,7 @@ class WordTokenizer:
             new = set().union(*split).difference(self.known)
             if len(self.known) + len(new) > CACHE_WORDS:
                 self.known.clear()
+                self.stems.clear()
                 new = set().union(*split)
             if new:
                 self._learn(new)
@@ -170,51 +192,85 @@ class Bins:
             self._file(k)
 
 
+class Offers:
+    """Of the underfull bins, for each size (or sum of two sizes) the two roomiest that hold it; as of one moment."""
+
+    def __init__(self, bins: Bins, open_bins: list[int], two: bool):
+        self.room = np.full((2, bins.capacity + 1), -1, np.int64)
+        self.bin = np.full((2, bins.capacity + 1), -1, np.int64)
+        for k in open_bins:
+            room = bins.capacity - bins.fill[k]
+            for s in sums(bins.items[k]) if two else {s for s, _ in bins.items[k]}:
+                if room > self.room[0, s]:
+                    self.room[1, s], self.bin[1, s] = self.room[0, s], self.bin[0, s]
+                    self.room[0, s], self.bin[0, s] = room, k
+                elif room > self.room[1, s]:
+                    self.room[1, s], self.bin[1, s] = room, k
+
+    def for_size(self, size: int, own: int) -> tuple[int, int]:
+        """(difference, bin): the bin but own that takes size for the smallest thing it holds in its place; (0, -1) if none can."""
+        second = self.bin[0, :size] == own
+        room = np.where(second, self.room[1, :size], self.room[0, :size])
+        fits = np.flatnonzero(room >= size - np.arange(size))
+        return (size - int(fits[0]), int(self.bin[int(second[fits[0]]), fits[0]])) if len(fits) else (0, -1)
+
+
+def sums(items: list[tuple[int, int]]) -> dict[int, tuple[int, int]]:
+    """Sums of two of the items and the sizes they are made of. Distinct sizes of one bin are few: 63 in 2048."""
+    sizes = sorted({s for s, _ in items})
+    twice = {s for s in sizes if sum(s == t for t, _ in items) > 1}
+    return {y + z: (y, z) for i, y in enumerate(sizes) for z in sizes[i:] if y != z or y in twice}
+
+
+def _of_sizes(items: list[tuple[int, int]], sizes: tuple[int, ...]) -> list[tuple[int, int]] | None:
+    """Items of those sizes, each another; None if they aren't there."""
+    out: list[tuple[int, int]] = []
+    for s in sizes:
+        found = next((x for x in items if x[0] == s and x not in out), None)
+        if found is None:
+            return None
+        out.append(found)
+    return out
+
+
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Bins of item numbers: best fit by falling size, then moves and swaps that raise the sum of squared fills."""
-    bins = Bins(capacity)
+    """Bins of item numbers: best fit by falling size, then moves and swaps that raise the sum of squared fills.
+
+    All underfull bins take part, pass after pass, until no bin can be spared,
+    or a pass raises the sum by less than PROGRESS of it.
+    """
+    bins, least = Bins(capacity), -(-sum(sizes) // capacity)
     for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
         bins.put(bins.tightest(sizes[k]), [(sizes[k], k)])
-    improved = True
-    while improved:  # every change raises the bounded sum of squares, so this ends
-        improved = False
-        open_bins = sorted((k for k in range(len(bins.items)) if 0 < bins.fill[k] < capacity), key=lambda k: bins.fill[k])
-        targets = [k for k in open_bins if len(bins.items[k]) > 1][:TRIES]
-        for a in open_bins[:TRIES]:
-            improved |= _lighten(bins, a, targets)
+    before, now = -1.0, float(sum(f * f for f in bins.fill))
+    while sum(f > 0 for f in bins.fill) > least and now > before * (1 + PROGRESS):
+        _improve(bins)
+        before, now = now, float(sum(f * f for f in bins.fill))
     return [[k for _, k in x] for x in bins.items if x]
 
 
-def _lighten(bins: Bins, a: int, targets: list[int]) -> bool:
-    """Moves items of bin a out, or trades them for smaller ones of fuller bins."""
-    changed = False
-    for item in sorted(bins.items[a], reverse=True):
-        b = bins.tightest(item[0], a)
-        if b >= 0 and bins.fill[b] + item[0] > bins.fill[a]:
-            bins.exchange(a, [item], b, [])
-            changed = True
-    for b in targets:
-        if a == b or not bins.items[a] or not 0 < bins.fill[b] < bins.capacity:
-            continue
-        room, best = bins.capacity - bins.fill[b], None
-        mine, theirs = bins.items[a], bins.items[b]
-        for x in mine:
-            for y in theirs:
-                if 0 < (d := x[0] - y[0]) <= room and (best is None or d > best[0]):
-                    best = (d, [x], [y])
-            for i, y in enumerate(theirs):
-                for z in theirs[i + 1 :]:
-                    if 0 < (d := x[0] - y[0] - z[0]) <= room and (best is None or d > best[0]):
-                        best = (d, [x], [y, z])
-        for i, x in enumerate(mine):
-            for w in mine[i + 1 :]:
-                for y in theirs:
-                    if 0 < (d := x[0] + w[0] - y[0]) <= room and (best is None or d > best[0]):
-                        best = (d, [x, w], [y])
-        if best and bins.fill[b] + best[0] > bins.fill[a]:
-            bins.exchange(a, best[1], b, best[2])
-            changed = True
-    return changed
+def _improve(bins: Bins) -> None:
+    """One pass: the emptiest bins first, each gives away or trades what it can for less."""
+    open_bins = sorted((k for k in range(len(bins.items)) if 0 < bins.fill[k] < bins.capacity), key=lambda k: bins.fill[k])
+    one, two = Offers(bins, open_bins, False), Offers(bins, open_bins, True)
+    for a in open_bins:
+        for item in sorted(bins.items[a], reverse=True):
+            b = bins.tightest(item[0], a)
+            if b >= 0 and bins.fill[b] + item[0] > bins.fill[a]:
+                bins.exchange(a, [item], b, [])
+        best = None
+        for size, give in [*(((s, (s,))) for s in {s for s, _ in bins.items[a]}), *sums(bins.items[a]).items()]:
+            for offers in (one, two) if len(give) == 1 else (one,):
+                d, b = offers.for_size(size, a)
+                if d and (best is None or d > best[0]):
+                    best = (d, b, give, size - d, offers is two)
+        if best:
+            d, b, give, taken, pair = best
+            theirs = (sums(bins.items[b]).get(taken) if pair else (taken,)) if bins.items[b] else None
+            mine, theirs = _of_sizes(bins.items[a], give), theirs and _of_sizes(bins.items[b], theirs)
+            # what was offered may be gone since
+            if mine and theirs and bins.fill[b] + d <= bins.capacity and bins.fill[b] + d > bins.fill[a]:
+                bins.exchange(a, mine, b, theirs)
 
 
 def _pack_shard(capacity: int, high: int):

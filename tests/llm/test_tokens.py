@@ -72,23 +72,28 @@ def test_encode_then_decode_tables(spark):
     assert byte_bpe.bpe_round_trip(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+PLAIN = Tokenizer.from_file(WORDS)
+
+
 def _brute(text, model):
     return [*model.encode(text or "", add_special_tokens=False).ids, 0]
 
 
+SPECIAL = ["<|endoftext|>", "so<|startoftext|><|endoftext|>it", "A <|ENDOFTEXT|> b <|endoftext |>", "e<|endoftext|>\u0301 don<|endoftext|>'t", "x%%% y.'s é!! <|startoftext|>."]
+
+
 def test_words_one_by_one_are_the_whole_text():
     model = Tokenizer.from_file(WORDS)
-    model.encode_special_tokens = True
     made = packing.WordTokenizer(WORDS)
-    for text in filter(None, ODD):
+    for text in [*filter(None, ODD), *SPECIAL]:
         assert np.frombuffer(made.encode(text.encode()), "<u4").tolist() == _brute(text, model)[:-1], text
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n'stlé1!.,;Jj\u030c\u0308")), max_size=60))
+@given(st.lists(st.one_of(st.characters(codec="utf-8"), st.sampled_from([*" \n'stlé1!.,;Jj\u030c\u0308", "<|endoftext|>"])), max_size=60).map("".join))
 def test_words_of_any_text(text):
     made = packing.word_tokenizer(WORDS)
-    assert np.frombuffer(made.encode(text.encode()), "<u4").tolist() == _brute(text, made.model)[:-1]
+    assert np.frombuffer(made.encode(text.encode()), "<u4").tolist() == _brute(text, PLAIN)[:-1]
 
 
 def _check_packing(rows, text, model):
@@ -123,10 +128,9 @@ def test_packing_query(spark):
 
 def test_packing_over_several_shards(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_PIECES", 40)
-    docs = spark.createDataFrame([(k, t) for k, t in enumerate(ODD * 20)], "doc_id long, text string")
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*ODD, *SPECIAL] * 20)], "doc_id long, text string")
     model = Tokenizer.from_file(WORDS)
-    model.encode_special_tokens = True
-    _check_packing(packing.pack_documents(docs, WORDS).collect(), dict(enumerate(ODD * 20)), model)
+    _check_packing(packing.pack_documents(docs, WORDS).collect(), dict(enumerate([*ODD, *SPECIAL] * 20)), model)
     assert packing.pack_documents(docs.limit(0), WORDS).count() == 0
 
 
