@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents that the model is fitted on, in all; dealt evenly over the languages.
-SAMPLE_DOCS = 4_000
-#: Languages that are learned: the most frequent ones.
-MOST_LANGUAGES = 256
+#: Labelled documents that the model is fitted on, in all; dealt evenly over the languages, one of each at least. Of a longer one, so many characters from a place that its id sets.
+SAMPLE_DOCS, SAMPLE_CHARS = 4_000, 10_000
 BUCKET_BITS, SIZE, EPOCHS, RATE = 16, 16, 6, 0.5
 ORDERS = (2, 3, 4)
 #: Of the calibration documents, the share that the rejection threshold may refuse, and the highest threshold.
 REJECT_SHARE, REJECT_BELOW = 0.001, 0.6
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _CLEAN = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 
 
@@ -47,18 +44,25 @@ def subwords(text: str) -> np.ndarray:
 
 @dataclass
 class Model:
-    """weights: for each bucket the embedding times the linear layer, so that logits are their mean."""
+    """table: the embedding of each bucket; layer: from the mean embedding of a text to a score for each language."""
 
     languages: list[str]
-    weights: np.ndarray
+    table: np.ndarray
+    layer: np.ndarray
     temperature: float
     threshold: float
 
+    def __post_init__(self) -> None:
+        # of few languages, each bucket's scores are kept instead of its embedding
+        self.direct = len(self.languages) <= SIZE
+        self.rows = self.table @ self.layer if self.direct else self.table
+
     def logits(self, buckets: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(self.languages))
+        total = np.zeros(self.rows.shape[1])
         for at in range(0, len(buckets), 1 << 18):
-            total += self.weights[buckets[at : at + (1 << 18)]].sum(0, dtype=np.float64)
-        return total / max(len(buckets), 1)
+            total += self.rows[buckets[at : at + (1 << 18)]].sum(0, dtype=np.float64)
+        total /= max(len(buckets), 1)
+        return total if self.direct else total @ self.layer
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if text is None or not self.languages or not _LETTER.search(text):
@@ -90,10 +94,9 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str],
             back = layer @ gap
             layer -= rate * np.outer(vector, gap)
             table[buckets] -= (rate * share)[:, None] * back * 20  # a bucket sees only its share of the texts
-    weights = table @ layer
-    model = Model(languages, weights, 1.0, 0.0)
+    model = Model(languages, table, layer, 1.0, 0.0)
     if calibration:
-        logits = np.array([(share[:, None] * weights[buckets]).sum(0) for buckets, share, _ in calibration])
+        logits = np.array([share @ table[buckets] @ layer for buckets, share, _ in calibration])
         truth = np.array([y for *_, y in calibration])
         losses = {t: -np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in np.geomspace(0.05, 4, 40)}
         model.temperature = float(min(losses, key=losses.get))
@@ -108,36 +111,63 @@ def remainder(id_col: str, of: int) -> Column:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text, and of a short and a middling excerpt of it, the distinct buckets and their shares."""
+    """A row for each text: of it, and of a short and a middling excerpt, the distinct buckets and their shares."""
+    part = pa.struct([("whole", pa.bool_()), ("buckets", pa.binary()), ("share", pa.binary())])
     for batch in batches:
-        out: dict[str, list] = {"lang": [], "hash": [], "whole": [], "buckets": [], "share": []}
-        for text, lang, h in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "hash")), strict=True):
-            at = h % max(len(text), 1)
-            for part in (text, text[at : at + 60], text[at // 2 : at // 2 + 300]):
-                buckets, n = np.unique(subwords(part), return_counts=True)
+        out = []
+        for text, h in zip(batch.column("text").to_pylist(), batch.column("hash").to_pylist(), strict=True):
+            at, parts = h % max(len(text), 1), []
+            first = max(0, min(at, len(text) - SAMPLE_CHARS))
+            for piece in (text[first : first + SAMPLE_CHARS], text[at : at + 60], text[at // 2 : at // 2 + 300]):
+                buckets, n = np.unique(subwords(piece), return_counts=True)
                 if len(buckets):
-                    for c, v in zip(out, (lang, h, part is text, buckets.astype("<u4").tobytes(), (n / n.sum()).astype("<f4").tobytes()), strict=True):
-                        out[c].append(v)
-        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
+                    parts.append({"whole": not parts, "buckets": buckets.astype("<u4").tobytes(), "share": (n / n.sum()).astype("<f4").tobytes()})
+            out.append(parts)
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("hash"), pa.array(out, pa.list_(part))], ["lang", "hash", "parts"])
+
+
+FITTED = "table binary, layer binary, temperature double, threshold double"
+
+
+def _fit_all(languages: list[str]):
+    """Fits on the rows of _features, a fifth of them for calibration; one row with the model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {x: k for k, x in enumerate(languages)}
+        learn, check = [], []
+        for batch in batches:
+            for lang, h, parts in zip(*(batch.column(c).to_pylist() for c in ("lang", "hash", "parts")), strict=True):
+                for p in parts:
+                    if h % 5 or p["whole"]:
+                        (learn if h % 5 else check).append((np.frombuffer(p["buckets"], "<u4"), np.frombuffer(p["share"], "<f4"), number[lang]))
+        model = fit(learn or check, languages, check)
+        row = {"table": model.table.astype("<f4").tobytes(), "layer": model.layer.astype("<f4").tobytes(), "temperature": model.temperature, "threshold": model.threshold}
+        yield pa.RecordBatch.from_pylist([row])
+
+    return run
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fits on a sample of at most SAMPLE_DOCS labelled documents, taken by a hash of the id, as many of each language as can be."""
-    rows = labelled.select(F.xxhash64(id_col).alias("hash"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    """Fits on a sample of at most SAMPLE_DOCS labelled documents, taken by a hash of the id, as many of each language as can be.
+
+    Features are made where the rows are; one task fits, on a sample of bounded
+    rows and bytes, and only the model comes to the driver. With more languages
+    than SAMPLE_DOCS the sample is one document of each, more or less.
+    """
+    rows = labelled.select(F.xxhash64(id_col).alias("hash"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     languages = sorted(counts)
     if not languages:
-        return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), 1.0, 0.0)
-    quota = SAMPLE_DOCS // len(languages)
+        return Model([], np.zeros((1 << BUCKET_BITS, SIZE), np.float32), np.zeros((SIZE, 0), np.float32), 1.0, 0.0)
+    most = max(SAMPLE_DOCS, len(languages))
+    quota = most // len(languages)
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, 1.1 * quota / counts[lang]))])
     rows = rows.withColumn("hash", F.pmod("hash", F.lit(1 << 40)))
-    chosen = rows.filter(F.col("hash") < share[F.col("lang")] * F.lit(1 << 40)).orderBy("hash", "lang").limit(SAMPLE_DOCS)
-    made: pd.DataFrame = chosen.mapInArrow(_features, "lang string, hash long, whole boolean, buckets binary, share binary").toPandas()
-    fold = made["hash"] % 5 == 0
-    rows_of = lambda part: [(np.frombuffer(b, "<u4"), np.frombuffer(s, "<f4"), languages.index(x)) for b, s, x in zip(part["buckets"], part["share"], part["lang"], strict=True)]
-    fitted = made[~fold] if (~fold).any() else made
-    return fit(rows_of(fitted), languages, rows_of(made[fold & made["whole"]]))
+    chosen = rows.filter(F.col("hash") < share[F.col("lang")] * F.lit(1 << 40))
+    made = chosen.mapInArrow(_features, "lang string, hash long, parts array<struct<whole: boolean, buckets: binary, share: binary>>")
+    got = made.orderBy("hash", "lang").limit(most).mapInArrow(_fit_all(languages), FITTED).first()
+    shaped = lambda data, n: np.frombuffer(bytes(data), "<f4").reshape(n, -1)
+    return Model(languages, shaped(got["table"], 1 << BUCKET_BITS), shaped(got["layer"], SIZE), got["temperature"], got["threshold"])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
