@@ -17,8 +17,8 @@ from .tables import texts, written
 #: Three parts of the 64 bits: of at most 4 differing bits, some part has at most one.
 PARTS = ((0, 22), (22, 21), (43, 21))
 MOST_BITS, PART_RADIUS = 4, 1
-#: Fingerprints from which the driver lays out the shards; they only set where shards are cut.
-SAMPLE = 50_000
+#: Fingerprints from which the driver lays out the shards, at most, and one of so many at most; they only set where shards are cut.
+SAMPLE, SAMPLE_OF = 400_000, 16
 SHARD_POINTS = 8_192
 LEAF_POINTS = 192
 
@@ -160,7 +160,8 @@ def near_links(points: DataFrame) -> DataFrame:
     """a, b: links that connect exactly the fingerprints within MOST_BITS of each other. points: node, fp (distinct)."""
     spark = points.sparkSession
     total = points.count()
-    sample = points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    one_of = max(SAMPLE_OF, total // SAMPLE)
+    sample = points.select("fp").filter(F.pmod(F.xxhash64("fp"), F.lit(one_of)) == 0).orderBy("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     least = max(8, int(SHARD_POINTS * len(sample) / max(total, 1)))
     trees = [grow(part_of(sample, part), PART_RADIUS, least) for part in PARTS]
 
