@@ -80,13 +80,41 @@ def chunk_recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return written(made, "recipes")
 
 
+def identifiers(rows: DataFrame) -> DataFrame:
+    """rows with recipe: the digest of the ordered list of verified chunk identifiers.
+
+    An identifier is (hash, length, variant). The variant numbers the contents
+    that share hash and length; while all chunks of each hash and length have
+    one digest, as they nearly always do, it is 0 and nothing is joined.
+    """
+    parts = rows.select("row", F.posexplode("chunks").alias("at", "chunk")).select("row", "at", "chunk.*")
+    told = F.xxhash64("digest")
+    clashes = written(parts.groupBy("hash", "n").agg(F.min(told).alias("a"), F.max(told).alias("z")).filter("a <> z").select("hash", "n"), "clashes")
+    if clashes.isEmpty():
+        listed = rows.withColumn("ids", F.transform("chunks", lambda x: F.struct(x["hash"], x["n"], F.lit(0).alias("variant"))))
+    else:
+        several = parts.join(clashes, ["hash", "n"]).select("hash", "n", "digest").distinct()
+        nth = F.row_number().over(Window.partitionBy("hash", "n").orderBy("digest")).cast("int")
+        variants = several.select("hash", "n", "digest", nth.alias("variant"))
+        known = parts.join(variants, ["hash", "n", "digest"], "left").select("row", "at", "hash", "n", F.coalesce("variant", F.lit(0)).alias("variant"))
+        lists = known.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "hash", "n", "variant"))).alias("ids"))
+        listed = rows.join(lists, "row")
+    line = F.array_join(F.transform("ids", lambda x: F.concat_ws(":", x["hash"], x["n"], x["variant"])), ",")
+    return listed.withColumn("recipe", F.unhex(F.sha2(line, 256)))
+
+
+#: Parts that the copies of one text are dealt over.
+SALTS = 64
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of identical texts, one result row per input row.
 
     Texts are cut at content-defined points. Chunks that share a 64-bit hash
     and a length are told apart by their SHA-256, so a chunk's identifier
     (hash, length, variant) is verified; documents with the same ordered list
-    of identifiers are copies. Only hashes and digests are shuffled.
+    of identifiers are copies. Only hashes and digests are shuffled. Copies of
+    one text are summed up and told their group in SALTS parts.
 
     Null texts count as empty, and empty texts are copies of each other. Of
     copies, the row with the largest id stays (nulls count as smallest; of rows
@@ -96,28 +124,29 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Returns id_col, keep_id, group_size, kept, text_sha256.
     """
     rows = chunk_recipes(docs, id_col, text_col)
-    parts = rows.select("row", F.posexplode("chunks").alias("at", "chunk")).select("row", "at", "chunk.*")
-    known = parts.select("hash", "n", "digest").distinct()
-    variant = F.row_number().over(Window.partitionBy("hash", "n").orderBy("digest")).cast("int")
-    known = known.select("hash", "n", "digest", variant.alias("variant"))
-    listed = (
-        parts.join(known, ["hash", "n", "digest"])
-        .groupBy("row")
-        .agg(F.sort_array(F.collect_list(F.struct("at", "hash", "n", "variant"))).alias("ids"))
-        .select("row", F.transform("ids", lambda x: F.struct(x["hash"], x["n"], x["variant"])).alias("recipe"))
-    )
-    told = written(rows.select("row", "id", "text_sha256").join(listed, "row"), "told")
-    groups = told.groupBy("recipe").agg(F.max(F.struct("id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    return told.join(groups, "recipe").select(
+    told = identifiers(rows).select("row", "id", "text_sha256", "recipe", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
+    parts = told.groupBy("recipe", "salt").agg(F.max(F.struct("id", "row")).alias("keep"), F.count(F.lit(1)).alias("n"))
+    groups = parts.groupBy("recipe").agg(F.max("keep").alias("keep"), F.sum("n").alias("group_size"))
+    spread = parts.select("recipe", "salt").join(groups, "recipe")
+    return told.join(spread, ["recipe", "salt"]).select(
         F.col("id").alias(id_col), F.col("keep.id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256"
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of equal texts, the one that exact_dedup keeps; all columns as they are."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
-    digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
-    rows = docs.withColumn("__digest", digest)
+    """docs with one row of each group of equal texts, the one that exact_dedup keeps; all columns as they are.
+
+    Where each id stands for one row, rows are dropped by their ids and whole
+    documents are shuffled once at most. Where an id repeats, rows are told
+    apart by id and text; of those equal in both, the row whose columns come
+    last as JSON stays.
+    """
+    told = written(exact_dedup(docs, id_col, text_col).select(F.col(id_col).alias("__id"), "kept", F.col("text_sha256").alias("__sha")), "told")
+    if told.groupBy("__id").count().filter("count > 1").isEmpty():
+        gone = told.filter("NOT kept").select("__id")
+        return docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left_anti")
+    kept = told.filter("kept").select("__id", "__sha")
+    rows = docs.withColumn("__digest", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
     rows = rows.join(kept, rows[id_col].eqNullSafe(kept["__id"]) & (rows["__digest"] == kept["__sha"]), "left_semi")
-    nth = F.row_number().over(Window.partitionBy(id_col, "__digest").orderBy(F.lit(1)))  # rows repeated with one id and text
+    nth = F.row_number().over(Window.partitionBy(id_col, "__digest").orderBy(F.to_json(F.struct(*docs.columns)).desc()))
     return rows.withColumn("__nth", nth).filter("__nth = 1").select(docs.columns)
