@@ -16,27 +16,31 @@ from .language_id import language_id
 from .packing import pack_documents
 from .simhash import simhash_dedup
 from .substring_dedup import repeated_passages
-from .tables import shared_folder, table, written
-from .token_counts import TOKENIZERS, Rollup, token_count
+from .tables import discard, shared_folder, table, written
+from .token_counts import Rollup, deltas, document_counts
 from .url_filters import filter_captures, host_of, suffixes
 
 
+#: Tokenizer versions and their files.
+TOKENIZERS = {"byte_bpe_multi_50k": "byte_bpe_multi_50k.tiktoken", "word_bpe_49k": "word_bpe_49k.json"}
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loads all documents, revises those of quality 0 (digits go), then deletes the toxic ones; every batch comes twice."""
-    docs = table(spark, sf_dir, "documents")
-    plain = F.regexp_replace("text", "[0-9]+", "")
-    sizes = [F.struct(F.lit(v).alias("tokenizer"), token_count(F.col("text"), v).cast("long").alias("n"), token_count(plain, v).cast("long").alias("revised")) for v in TOKENIZERS]
-    counts = written(docs.select("doc_id", "source", "lang", F.explode(F.array(*sizes)).alias("c")).select("doc_id", "source", "lang", "c.*"), "counts")
+    docs, text = table(spark, sf_dir, "documents"), F.col("text")
+    revised = F.when(text.rlike("[0-9]"), F.regexp_replace(text, "[0-9]+", ""))
+    files = {version: public_tokenizers.path(name) for version, name in TOKENIZERS.items()}
+    counts = written(document_counts(docs, files, public_tokenizers.PATTERN, revised=revised), "counts")
     flags = table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.min("quality") == 0).alias("poor"), (F.max("toxic") == 1).alias("toxic"))
     marked = counts.join(flags, "doc_id")
-    delta = lambda rows, n, sign: rows.select("source", "lang", "tokenizer", F.lit(sign).cast("long").alias("docs"), (n * sign).alias("tokens"))
-    now = F.when(F.col("poor"), F.col("revised")).otherwise(F.col("n"))
+    n, new = F.col("n"), F.col("revised")
     poor, toxic = marked.filter("poor"), marked.filter("toxic")
     rollup = Rollup(spark, f"{shared_folder(spark)}/token-rollup-{uuid.uuid4().hex}")
     for _ in range(2):
-        rollup.commit("load", delta(counts, F.col("n"), 1))
-        rollup.commit("revise", delta(poor, F.col("n"), -1).unionByName(delta(poor, F.col("revised"), 1)))
-        rollup.commit("moderate", delta(toxic, now, -1))
+        rollup.commit("load", deltas(counts, n, 1))
+        rollup.commit("revise", deltas(poor, n, -1).unionByName(deltas(poor, new, 1)))
+        rollup.commit("moderate", deltas(toxic, F.when(F.col("poor"), new).otherwise(n), -1))
+    discard(counts)
     return rollup.totals()
 
 
@@ -45,10 +49,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of conversations as recordings; every turn of a conversation whose id is divisible by 20 is searched among all."""
-    media = chroma.render(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
-    prints = chroma.fingerprints(media, ["conv_id", "turn"])
-    found = chroma.align(prints, ["conv_id", "turn"], F.col("conv_id") % 20 == 0)
+    """Turns of conversations as recordings; of every turn of a conversation whose id is divisible by 20, a noisy excerpt is searched among all."""
+    turns = table(spark, sf_dir, "conversations")
+    ids = ["conv_id", "turn"]
+    prints = chroma.rendered_fingerprints(turns, ids, "text")
+    queries = chroma.rendered_fingerprints(turns.filter(F.col("conv_id") % 20 == 0), ids, "text", excerpts=True)
+    found = chroma.align(prints, queries, ids)
     return found.select("*", F.col("match.conv_id").alias("match_conv_id"), F.col("match.turn").alias("match_turn")).drop("match")
 
 
@@ -117,22 +123,13 @@ QUERIES = {
 }
 
 SQL = {
-    "op1_token_counts": r"""
-        WITH flags AS (SELECT doc_id, min(quality) = 0 AS poor, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
-        now AS (
-            SELECT source, lang, CASE WHEN poor THEN regexp_replace(coalesce(text, ''), '[0-9]+', '', 'g') ELSE coalesce(text, '') END AS text
-            FROM documents LEFT JOIN flags USING (doc_id) WHERE toxic IS NOT TRUE)
-        SELECT source, lang, 'words-1' AS tokenizer, count(*) AS n_docs, sum(len(regexp_extract_all(text, '[^ \t-\r]+'))) AS n_tokens FROM now GROUP BY ALL
-        UNION ALL
-        SELECT source, lang, 'marks-2', count(*), sum(len(regexp_extract_all(text, '[A-Za-z]+|[0-9]|[^A-Za-z0-9 \t-\r]'))) FROM now GROUP BY ALL
-    """,
     "op5_url_filters": r"""
         WITH captures AS (
             SELECT page_id, TIMESTAMP '2024-01-01' + to_seconds((page_id * 7919) % 31536000) AS fetched,
-                   nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') AS host FROM pages),
+                   nullif(regexp_replace(lower(regexp_extract(url, '^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]*)', 1)), '[.\s]+$', ''), '') AS host FROM pages),
         keys AS (
             SELECT page_id, fetched, host, array_to_string(list_slice(labels, i, len(labels)), '.') AS key, len(labels) - i + 1 AS depth
-            FROM (SELECT *, string_split(host, '.') AS labels FROM captures) AS x
+            FROM (SELECT *, CASE WHEN regexp_matches(host, '^\[|^[0-9]+(\.[0-9]+){3}$') THEN [host] ELSE string_split(host, '.') END AS labels FROM captures) AS x
             LEFT JOIN LATERAL (SELECT unnest(range(1, greatest(len(x.labels), 2))) AS i) AS y ON true),
         hashed AS (SELECT DISTINCT key, ('0x' || substr(md5(key), 1, 6))::BIGINT AS one, ('0x' || substr(md5(key), 7, 6))::BIGINT AS two FROM keys WHERE key IS NOT NULL),
         entries AS (
@@ -147,9 +144,9 @@ SQL = {
                    lead(TIMESTAMP '2024-01-01' + to_days(day::INT)) OVER (PARTITION BY list, key ORDER BY day) AS valid_to
             FROM entries),
         met AS (
-            SELECT k.page_id, k.fetched, k.host, s.list, k.depth * 2 + (s.list = 'trusted')::INT AS weight
+            SELECT k.page_id, k.fetched, k.host, s.list, s.key, k.depth * 2 + (s.list = 'trusted')::INT AS weight
             FROM keys k LEFT JOIN spans s ON k.key = s.key AND s.action = 'add' AND s.valid_from <= k.fetched AND (s.valid_to IS NULL OR k.fetched < s.valid_to))
-        SELECT page_id, fetched, host, count(list) AS n_active, coalesce(string_agg(DISTINCT list, ',' ORDER BY list), '') AS lists,
+        SELECT page_id, fetched, host, count(DISTINCT list || ' ' || key) AS n_active, coalesce(string_agg(DISTINCT list, ',' ORDER BY list), '') AS lists,
                CASE WHEN max(weight) IS NULL THEN 'keep' WHEN max(weight) % 2 = 1 THEN 'allow' ELSE 'block' END AS decision
         FROM met GROUP BY page_id, fetched, host
     """,

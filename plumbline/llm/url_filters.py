@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Scheme, perhaps a user, then the host up to a port, path, query or fragment.
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+#: White space, perhaps a scheme, two slashes, perhaps a user, then a bracketed address or the host up to a port, path, query or fragment.
+HOST = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]*)"
+#: Addresses, which have no parent domains.
+ADDRESS = r"^\[|^[0-9]+(\.[0-9]+){3}$"
 
 
 def host_of(url: Column) -> Column:
-    """The host in lower case, null if there is none."""
-    host = F.lower(F.regexp_extract(url, HOST, 1))
+    """The host in lower case without the dots or white space at its end, null if there is none."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"[.\s]+$", "")
     return F.when(host != "", host)
 
 
@@ -31,8 +33,8 @@ def validity(entries: DataFrame) -> DataFrame:
 
 
 def suffixes(host: Column) -> Column:
-    """The host and its parent domains of two labels at least, with their number of labels."""
-    labels = F.split(host, r"\.")
+    """The host and its parent domains of two labels at least, with their number of labels; of an address itself alone."""
+    labels = F.when(host.rlike(ADDRESS), F.array(host)).otherwise(F.split(host, r"\."))
     n = F.size(labels)
     starts = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array(F.lit(1)))
     return F.transform(starts, lambda i: F.struct(F.array_join(F.slice(labels, i, n), ".").alias("key"), (n - i + 1).alias("labels")))
@@ -57,9 +59,10 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     rows = captures.select("page_id", "fetched", host_of(F.col("url")).alias("host"))
     keys = rows.select("page_id", "fetched", "host", F.explode_outer(suffixes(F.col("host"))).alias("s")).select("page_id", "fetched", "host", "s.key", "s.labels")
     active = (keys["key"] == spans["key"]) & (spans["valid_from"] <= keys["fetched"]) & (spans["valid_to"].isNull() | (keys["fetched"] < spans["valid_to"]))
-    met = keys.join(spans, active, "left").select("page_id", "fetched", "host", "labels", "list", "kind")
+    met = keys.join(spans, active, "left").select("page_id", "fetched", "host", "labels", "list", "kind", keys["key"])
     out = met.groupBy("page_id", "fetched", "host").agg(
-        F.count("list").alias("n_active"),
+        # entries, however often the capture comes; they are few for one capture
+        F.size(F.collect_set(F.when(F.col("list").isNotNull(), F.struct("list", "key")))).cast("long").alias("n_active"),
         F.array_join(F.sort_array(F.collect_set("list")), ",").alias("lists"),
         # most labels first, then allow before block: the greatest of (labels, kind = allow)
         F.max(F.when(F.col("list").isNotNull(), F.struct("labels", (F.col("kind") == "allow").alias("allow")))).alias("top"),
