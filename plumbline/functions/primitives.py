@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -12,15 +13,22 @@ from pyspark.sql.window import Window
 
 
 def written(df: DataFrame, name: str = "rows") -> DataFrame:
-    """df as a Parquet table in the folder that all executors share (spark.checkpoint.dir; a temporary one in tests)."""
+    """df as a Parquet table in the folder that all executors share (spark.checkpoint.dir; where it is unset, a temporary one if all runs on one machine, as in tests)."""
     spark = df.sparkSession
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("plumbline.shared.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("plumbline.shared.dir", folder)
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
+    schema, cleanup = df.schema, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")  # shuffle files of a table that is written are not needed again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -37,11 +45,37 @@ def melt(df: DataFrame, features: Sequence[str], keep: Sequence[str] = (), text:
     return df.select(*keep, F.explode(pairs).alias("_")).select(*keep, "_.feature", "_.value")
 
 
+def quantiles(long: DataFrame, at: Sequence[float], by: Sequence[str] = ("feature",), value: str = "value", times: str | None = None) -> DataFrame:
+    """by, q: exact linear quantiles of the non-null values at the shares; null without values.
+
+    Values are counted, brought in order over many tasks, and those on both
+    sides of each quantile's place are picked: no task holds the values of a
+    group. times: a column of how often each row counts. Groups are few.
+    """
+    n = F.count(F.lit(1)) if times is None else F.sum(times)
+    counts = long.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(n.alias("__c"))
+    ranked = prefix_sums(counts, ["__v"], {"__upto": F.col("__c")}, by, None)
+    named = {g: f"__g{k}" for k, g in enumerate(by)}
+    same = lambda right: functools.reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(right[k]) for g, k in named.items()], F.lit(True))
+    sizes = ranked.groupBy(*by).agg(F.max("__upto").alias("__n")).withColumnsRenamed(named)
+    joined = ranked.join(F.broadcast(sizes), same(sizes))  # a row for each group
+    picked, places = [], []
+    for k, share in enumerate(at):
+        place = F.lit(float(share)) * (F.col("__n") - 1)
+        low, high = F.floor(place), F.ceil(place)
+        picks = lambda r: F.max(F.when((r >= F.col("__upto") - F.col("__c")) & (r < F.col("__upto")), F.col("__v")))
+        picked += [picks(low).alias(f"__l{k}"), picks(high).alias(f"__h{k}")]
+        a, b = F.col(f"__l{k}"), F.col(f"__h{k}")
+        places.append(F.when(a == b, a).otherwise((high - place) * a + (place - low) * b))
+    found = joined.groupBy(*by, "__n").agg(*picked).select(*by, F.array(*places).alias("q")).withColumnsRenamed(named)
+    groups = long.select(*by).distinct()
+    return groups.join(F.broadcast(found), same(found), "left").select(*by, "q")
+
+
 def quantile_edges(long: DataFrame, n_bins: int, by: Sequence[str] = ("feature",), value: str = "value") -> DataFrame:
     """by, edges: distinct linear quantiles of the non-null values, outer ones included; null without values."""
-    at = F.array(*[F.lit(k / n_bins) for k in range(n_bins + 1)])
-    quantiles = F.transform(F.percentile(F.col(value), at), lambda x: F.round(x, 9))
-    return long.groupBy(*by).agg(F.array_distinct(quantiles).alias("edges"))
+    found = quantiles(long, [k / n_bins for k in range(n_bins + 1)], by, value)
+    return found.select(*by, F.array_distinct(F.transform("q", lambda x: F.round(x, 9))).alias("edges"))
 
 
 def inner(edges: Column) -> Column:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.functions.primitives import prefix_sums, written
+
 from .evaluation import with_segments
 from .ranking import auc
 
@@ -15,16 +20,104 @@ from .ranking import auc
 POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975)
 
 
-def replicate_weights(df: DataFrame, key: str, n_boot: int, seed: int) -> DataFrame:
-    """Each row for each replicate with weight Poisson(1), fixed by an md5 of seed, replicate and key; weights of zero left out."""
-    rows = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / float(2**32)
-    return rows.withColumn("weight", sum(((u >= p).cast("long") for p in POISSON), F.lit(0).cast("long"))).filter("weight > 0")
-
-
-def bootstrap_auc(df: DataFrame, label: str, score: str, key: str, n_boot: int, seed: int) -> DataFrame:
-    """replicate, auc: rows are added up by score before the curve, so a replicate costs its distinct scores."""
-    return auc(replicate_weights(df, key, n_boot, seed), label, score, ["replicate"], F.col("weight"))
+#: Weights are draws by two quadratic steps modulo a prime, which SQL, Spark and numpy compute alike.
+PRIME = 2**31 - 1
+#: Weights that a task holds at a time.
+CELLS = 2_000_000
+
+
+def key_number(df: DataFrame, key: str) -> Column:
+    """A number below PRIME for each key: whole numbers by remainder, others by their CRC."""
+    whole = df.schema[key].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    return F.pmod(F.col(key).cast("long") if whole else F.crc32(F.col(key).cast("string")), F.lit(PRIME))
+
+
+def draws(keys: np.ndarray, n_boot: int, seed: int) -> np.ndarray:
+    """Poisson(1) weights, a row for each key and a column for each replicate, fixed by key, replicate and seed."""
+    r = np.arange(n_boot, dtype=np.int64)
+    x = (keys[:, None] * 69621 + r * 16807 + (seed * 48271 + 1)) % PRIME
+    x = (x * x + x * 40692 + 12345) % PRIME
+    x = (x * x + x * 48271 + r * 7919 + 7) % PRIME
+    return np.searchsorted(np.array([int(p * PRIME) for p in POISSON]), x, "right")
+
+
+class _Curve:
+    """Sums of one score in one part of its order: the first and the last value by themselves, as other parts may have them too, and all between."""
+
+    def __init__(self, name: str):
+        self.name, self.out, self.value, self.first = name, [], None, None
+        self.inside = None
+
+    def add(self, values: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> None:
+        """Distinct rising values with their weighted counts (a row each); the first may go on from the last call."""
+        if self.value is not None and values[0] == self.value:
+            pos[0] += self.pos
+            neg[0] += self.neg
+        elif self.value is not None:
+            values, pos, neg = np.append(self.value, values), np.vstack([self.pos, pos]), np.vstack([self.neg, neg])
+        self.value, self.pos, self.neg = values[-1], pos[-1].copy(), neg[-1].copy()
+        values, pos, neg = values[:-1], pos[:-1], neg[:-1]
+        if self.first is None and len(values):
+            self.first = values[0]
+            self.out.append((self.first, 0, pos[0], neg[0], np.zeros(len(pos[0]))))
+            pos, neg = pos[1:], neg[1:]
+        if len(pos):
+            p, n, area = self.inside or (0, 0, 0.0)
+            before = np.cumsum(neg, 0) - neg + n
+            self.inside = p + pos.sum(0), n + neg.sum(0), area + (pos * (before + neg / 2)).sum(0)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.value is not None:
+            self.out.append((self.value, 0, self.pos, self.neg, np.zeros(len(self.pos))))
+        if self.inside is not None:
+            self.out.append((self.first, 1, *self.inside))
+        for value, kind, pos, neg, area in self.out:
+            n = len(pos)
+            arrays = [pa.array([self.name] * n), pa.array(np.full(n, value)), pa.array(np.full(n, kind, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(pos.astype(np.int64)), pa.array(neg.astype(np.int64)), pa.array(area)]
+            yield pa.RecordBatch.from_arrays(arrays, ["score", "value", "kind", "replicate", "pos", "neg", "area"])
+
+
+def _partial_curves(n_boot: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        curve, step = None, max(1, CELLS // n_boot)
+        for batch in batches:
+            names = np.array(batch.column("score").to_pylist())
+            values, label, keys = (batch.column(c).to_numpy() for c in ("value", "label", "key"))
+            edges = np.flatnonzero(np.append(True, names[1:] != names[:-1])).tolist() if len(names) else []
+            for a, b in zip(edges, [*edges[1:], len(names)], strict=True):
+                if curve is None or curve.name != str(names[a]):
+                    if curve:
+                        yield from curve.rows()
+                    curve = _Curve(str(names[a]))
+                for at in range(a, b, step):
+                    part = slice(at, min(at + step, b))
+                    w, one = draws(keys[part], n_boot, seed), label[part, None] == 1
+                    new = np.flatnonzero(np.append(True, np.diff(values[part]) > 0))
+                    curve.add(values[part][new], np.add.reduceat(w * one, new), np.add.reduceat(w * ~one, new))
+        if curve:
+            yield from curve.rows()
+
+    return run
+
+
+def bootstrap_auc(df: DataFrame, label: str, scores: Sequence[str], key: str, n_boot: int, seed: int) -> DataFrame:
+    """score, replicate, auc of each score in each replicate, null for one class; rows without a label or score don't count for it.
+
+    A row's Poisson(1) weights depend on its key alone. Rows are brought in the
+    order of each score once; every task draws all replicates of its rows and
+    gives three rows of sums for each. A value that many rows share spans
+    several tasks.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("score"), F.col(c).cast("double").alias("value")) for c in scores]))
+    rows = df.filter(F.col(label).isNotNull()).select((F.col(label) == 1).cast("int").alias("label"), key_number(df, key).alias("key"), pairs.alias("_")).select("_.*", "label", "key")
+    dealt = rows.filter("value IS NOT NULL AND NOT isnan(value)").repartitionByRange("score", "value", "key").sortWithinPartitions("score", "value")
+    parts = dealt.mapInArrow(_partial_curves(n_boot, seed), "score string, value double, kind int, replicate int, pos long, neg long, area double")
+    sums = parts.groupBy("score", "replicate", "value", "kind").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "area")])
+    line = Window.partitionBy("score", "replicate").orderBy("value", "kind")  # three rows for each task
+    before = F.sum("neg").over(line) - F.col("neg")
+    area = F.col("area") + F.col("pos") * (F.col("before") + F.when(F.col("kind") == 0, F.col("neg") / 2).otherwise(0))
+    whole = sums.withColumn("before", before).groupBy("score", "replicate")
+    return whole.agg((F.sum(area) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
 
 
 def interval(values: DataFrame, column: str, level: float = 0.95) -> DataFrame:
@@ -33,17 +126,16 @@ def interval(values: DataFrame, column: str, level: float = 0.95) -> DataFrame:
     return values.agg(F.count(column).alias("replicates"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("se"), q.alias("q"), F.avg((F.col(column) > 0).cast("double")).alias("share_positive")).select("replicates", "mean", "se", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "share_positive")
 
 
-def bootstrap_ci(df: DataFrame, label: str, score: str, key: str, n_boot: int = 200, seed: int = 7) -> DataFrame:
+def bootstrap_ci(df: DataFrame, label: str, score: str, key: str, n_boot: int = 2000, seed: int = 7) -> DataFrame:
     """One row: replicates, mean, se, low, high of the AUC."""
-    return interval(bootstrap_auc(df, label, score, key, n_boot, seed), "auc").drop("share_positive")
+    return interval(bootstrap_auc(df, label, [score], key, n_boot, seed), "auc").drop("share_positive")
 
 
-def paired_bootstrap(df: DataFrame, label: str, new: str, old: str, key: str, n_boot: int = 200, seed: int = 7) -> DataFrame:
+def paired_bootstrap(df: DataFrame, label: str, new: str, old: str, key: str, n_boot: int = 2000, seed: int = 7) -> DataFrame:
     """One row: the change of AUC from old to new under the same weights, its error, interval, share above zero, z."""
-    weighted = replicate_weights(df.filter(F.col(new).isNotNull() & F.col(old).isNotNull()), key, n_boot, seed)
-    a = auc(weighted, label, new, ["replicate"], F.col("weight"))
-    b = auc(weighted, label, old, ["replicate"], F.col("weight")).withColumnRenamed("auc", "old_auc")
-    out = interval(a.join(b, "replicate").select((F.col("auc") - F.col("old_auc")).alias("delta")), "delta")
+    each = bootstrap_auc(df.filter(F.col(new).isNotNull() & F.col(old).isNotNull()), label, [new, old], key, n_boot, seed)
+    side = lambda name: F.max(F.when(F.col("score") == name, F.col("auc")))
+    out = interval(each.groupBy("replicate").agg((side(new) - side(old)).alias("delta")), "delta")
     return out.withColumn("z", F.col("mean") / F.nullif("se", F.lit(0.0)))
 
 
@@ -52,12 +144,20 @@ def weighted_auc(df: DataFrame, label: str, score: str, weight: str) -> DataFram
 
 
 def benjamini_hochberg(df: DataFrame, p: str, q: float = 0.10, family: Sequence[str] = ()) -> DataFrame:
-    """df with passed: p up to the largest one with p <= r q / k passes; null p never does. Families are small tables of tests."""
-    w = Window.partitionBy(*family)
-    r = F.row_number().over(w.orderBy(F.asc_nulls_last(p)))
-    k = F.count(p).over(w)
-    ranked = df.withColumn("__cut", F.when(F.col(p) <= r * q / k, F.col(p)))
-    return ranked.withColumn("passed", F.coalesce(F.col(p) <= F.max("__cut").over(w), F.lit(False))).drop("__cut")
+    """df with passed: p up to the largest one with p <= r q / k passes; null p never does.
+
+    Tests are ranked by their distinct p over many tasks, so a family may be
+    large; of equal p all have the highest rank among them, as the largest
+    rank decides.
+    """
+    named = {g: f"__g{i}" for i, g in enumerate(family)}
+    counts = df.filter(F.col(p).isNotNull()).groupBy(*family, F.col(p).alias("__value")).agg(F.count("*").alias("__n"))
+    ranked = prefix_sums(counts, ["__value"], {"__r": F.col("__n")}, family, None)
+    sizes = ranked.groupBy(*family).agg(F.max("__r").alias("__k")).withColumnsRenamed(named)  # a row for each family
+    match = lambda right: functools.reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(right[c]) for g, c in named.items()], F.lit(True))
+    hit = ranked.join(F.broadcast(sizes), match(sizes)).filter(F.col("__value") <= F.col("__r") * q / F.col("__k"))
+    cut = hit.groupBy(*family).agg(F.max("__value").alias("__cut")).withColumnsRenamed(named)
+    return df.join(F.broadcast(cut), match(cut), "left").withColumn("passed", F.coalesce(F.col(p) <= F.col("__cut"), F.lit(False))).drop("__cut", *named.values())
 
 
 def noise_gate(df: DataFrame, delta: str, se: str, higher_is_better: bool = True, smallest: float = 0.0) -> DataFrame:
@@ -68,13 +168,13 @@ def noise_gate(df: DataFrame, delta: str, se: str, higher_is_better: bool = True
     return df.withColumn("gain", gain).withColumn("verdict", verdict)
 
 
-def aligned_leaderboard(df: DataFrame, label: str, participants: Sequence[str], key: str, reference: str, n_boot: int = 50, seed: int = 7) -> DataFrame:
+def aligned_leaderboard(df: DataFrame, label: str, participants: Sequence[str], key: str, reference: str, n_boot: int = 2000, seed: int = 7) -> DataFrame:
     """participant, auc, rank (ties share), delta to the reference with its interval, verdict, over the rows that all have scores for."""
     rows = df.dropna(subset=list(participants))
     pairs = F.array(*[F.struct(F.lit(p).alias("participant"), F.col(p).alias("s")) for p in participants])
     long = lambda d, *keep: d.select(label, *keep, F.explode(pairs).alias("x")).select(label, *keep, "x.*")
     board = auc(long(rows), label, "s", ["participant"])
-    each = auc(long(replicate_weights(rows, key, n_boot, seed), "replicate", "weight"), label, "s", ["replicate", "participant"], F.col("weight"))
+    each = written(bootstrap_auc(rows, label, participants, key, n_boot, seed), "replicates").withColumnRenamed("score", "participant")
     base = each.filter(F.col("participant") == reference).select("replicate", F.col("auc").alias("base"))
     deltas = each.join(base, "replicate").groupBy("participant").agg(F.avg(F.col("auc") - F.col("base")).alias("delta"), F.percentile(F.col("auc") - F.col("base"), F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     out = board.join(deltas, "participant").withColumn("rank", F.rank().over(Window.orderBy(F.desc("auc"))).cast("long"))

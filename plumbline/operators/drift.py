@@ -160,15 +160,17 @@ def token_divergence(df: DataFrame, text: str, period: str, train: Column, separ
     per_row = rows.groupBy("period").agg(F.avg(F.size("names")).alias("tokens_per_row"))
     each = rows.select("period", "is_train", F.explode("names").alias("token")).groupBy("period", "token").agg(F.count("*").alias("c"), F.count_if("is_train").alias("t"))
     base = each.groupBy("token").agg(F.sum("t").alias("t")).filter("t > 0")
-    base = base.crossJoin(F.broadcast(base.agg(F.sum("t").alias("all_t")))).select("token", (F.col("t") / F.col("all_t")).alias("p"))
+    base = base.crossJoin(F.broadcast(base.agg(F.sum("t").alias("all_t")))).select("token", (F.col("t") / F.col("all_t")).alias("p"))  # one row
     totals = each.groupBy("period").agg(F.sum("c").alias("all_c"))
     now = each.join(totals, "period").select("period", "token", (F.col("c") / F.col("all_c")).alias("q"))
-    grid = totals.select("period").crossJoin(F.broadcast(base)).join(now, ["period", "token"], "left").select("period", "p", F.coalesce("q", F.lit(0.0)).alias("q"))  # periods and the training vocabulary
-    new = now.join(base, "token", "left_anti").select("period", F.lit(0.0).alias("p"), "q")
+    # a training token that a period lacks adds half its share to the divergence: one minus the shares that were met
+    both = now.join(base, "token", "left").select("period", F.coalesce("p", F.lit(0.0)).alias("p"), "q")
     m = (F.col("p") + F.col("q")) / 2
     half = lambda x: F.when(F.col(x) > 0, F.col(x) * F.log2(F.col(x) / m)).otherwise(0.0) / 2
-    both = grid.unionByName(new)
-    out = both.groupBy("period").agg(F.sum(half("p") + half("q")).alias("jsd"), F.sum(F.when(F.col("p") == 0, F.col("q")).otherwise(0.0)).alias("new_share"), F.sum(F.when(F.col("q") == 0, F.col("p")).otherwise(0.0)).alias("vanished_share"))
+    met = both.groupBy("period").agg(F.sum(half("p") + half("q")).alias("jsd"), F.sum(F.when(F.col("p") == 0, F.col("q")).otherwise(0.0)).alias("new_share"), F.sum("p").alias("met"))
+    has = F.broadcast(base.agg((F.count(F.lit(1)) > 0).cast("double").alias("has")))  # one row
+    gone = F.greatest(F.col("has") - F.coalesce("met", F.lit(0.0)), F.lit(0.0))
+    out = totals.select("period").join(met, "period", "left").crossJoin(has).select("period", (F.coalesce("jsd", F.lit(0.0)) + gone / 2).alias("jsd"), F.coalesce("new_share", F.lit(0.0)).alias("new_share"), gone.alias("vanished_share"))
     return out.join(per_row, "period")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from plumbline.functions.primitives import global_rank, quantile_edges
+from plumbline.functions.primitives import global_rank, quantile_edges, quantiles, written
 
 from .ranking import auc, ks
 
@@ -185,10 +185,12 @@ def regression_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
 def regression_segments(df: DataFrame, y: str, p: str, key: str, n: int = 10) -> DataFrame:
     """bin by prediction, rows, means, bias, mae, rmse, median, range, total, share and cumulative share of the target from the highest bin on."""
     e = F.col(p) - F.col(y)
-    each = rank_bins(df, p, key, n).groupBy("bin").agg(
+    rows = written(rank_bins(df, p, key, n).select("bin", p, y), "bins")
+    each = rows.groupBy("bin").agg(
         F.count("*").alias("rows"), F.avg(p).alias("mean_pred"), F.avg(y).alias("mean_actual"), F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
-        F.percentile(y, F.lit(0.5)).alias("median"), F.min(p).alias("min_pred"), F.max(p).alias("max_pred"), F.sum(y).alias("total"),
+        F.min(p).alias("min_pred"), F.max(p).alias("max_pred"), F.sum(y).alias("total"),
     )
+    each = each.join(F.broadcast(quantiles(rows, (0.5,), ["bin"], y)), "bin").withColumn("median", F.col("q")[0]).drop("q")
     return each.withColumn("share", F.col("total") / F.nullif(F.sum("total").over(_all()), F.lit(0.0))).withColumn("cum_share", F.sum("share").over(_cumulative("bin", True)))
 
 

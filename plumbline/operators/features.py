@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.functions.primitives import bin_index, inner, md5_number, prefix_sums, quantile_edges
+from plumbline.functions.primitives import bin_index, inner, md5_number, prefix_sums, quantile_edges, quantiles
 
 
 def medians(train: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -18,7 +18,9 @@ def medians(train: DataFrame, cols: Sequence[str]) -> DataFrame:
     from plumbline.functions.primitives import melt
 
     v = F.col("value")
-    return melt(train, cols).groupBy("feature").agg(F.coalesce(F.percentile(v, F.lit(0.5)), F.lit(0.0)).alias("median"), F.avg(v.isNull().cast("double")).alias("missing_rate"))
+    long = melt(train, cols)
+    rates = long.groupBy("feature").agg(F.avg(v.isNull().cast("double")).alias("missing_rate"))
+    return rates.join(F.broadcast(quantiles(long, (0.5,))), "feature").select("feature", F.coalesce(F.col("q")[0], F.lit(0.0)).alias("median"), "missing_rate")
 
 
 def impute_median(train: DataFrame, df: DataFrame, cols: Sequence[str], band: tuple[float, float] = (0.05, 0.80)) -> DataFrame:

@@ -135,7 +135,7 @@ def importance_table(df: DataFrame, features: Sequence[str], label: str) -> Data
     return table.withColumn("share", F.col("gain") / F.nullif(F.sum("gain").over(all_), F.lit(0.0))).withColumn("rank", F.rank().over(Window.orderBy(F.desc("gain"))).cast("long"))
 
 
-def sample_noise_check(full: DataFrame, keys: DataFrame, key: str, label: str, score: str, smallest: float, n_boot: int = 50) -> DataFrame:
+def sample_noise_check(full: DataFrame, keys: DataFrame, key: str, label: str, score: str, smallest: float, n_boot: int = 2000) -> DataFrame:
     """One row: the AUC's standard error on all rows and on those with keys, their ratio to twice the smallest effect, usable."""
     part = full.join(keys.select(key).distinct(), key, "left_semi")
     a = bootstrap_ci(full, label, score, key, n_boot).select(F.col("se").alias("se_full"))

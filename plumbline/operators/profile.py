@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.functions.primitives import melt
+from plumbline.functions.primitives import melt, quantiles
 
 
 def basic_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -20,9 +20,10 @@ def basic_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
     v, parts = F.col("value"), []
     count = [F.count(v).alias("n"), F.expr("1 - count(value) / count(*)").alias("missing_rate"), F.count_distinct(v).alias("distinct")]
     if numeric:
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         std = F.when(F.count(v) == 1, 0.0).otherwise(F.stddev_samp(v))
-        parts.append(melt(df, numeric).groupBy("feature").agg(*count, F.avg(v).alias("mean"), std.alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), q.alias("q")))
+        long = melt(df, numeric)
+        moments = long.groupBy("feature").agg(*count, F.avg(v).alias("mean"), std.alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+        parts.append(moments.join(F.broadcast(quantiles(long, (0.25, 0.5, 0.75))), "feature"))
     if text:
         none = F.lit(None).cast("double")
         parts.append(melt(df, text, text=True).groupBy("feature").agg(*count).select("*", *[none.alias(c) for c in ("mean", "std", "min", "max")], F.array().cast("array<double>").alias("q")))
@@ -38,8 +39,8 @@ def feature_quality(long: DataFrame) -> DataFrame:
     v, c = F.col("value"), F.col("c")
     base = counts.groupBy("feature").agg(
         F.sum(c).alias("rows"), F.sum(F.when(v.isNotNull(), c).otherwise(0)).alias("n"), F.count(v).alias("distinct"),
-        F.max(F.when(v.isNotNull(), c)).alias("top"), F.percentile(v, F.array(F.lit(0.01), F.lit(0.99)), c).alias("q"),
-    )
+        F.max(F.when(v.isNotNull(), c)).alias("top"),
+    ).join(F.broadcast(quantiles(counts, (0.01, 0.99), times="c")), "feature")
     reach = 3 * (F.get("q", F.lit(1)) - F.get("q", F.lit(0)))
     bounds = base.select("feature", (F.get("q", F.lit(0)) - reach).alias("lo"), (F.get("q", F.lit(1)) + reach).alias("hi"))
     out = counts.join(F.broadcast(bounds), "feature").filter("value < lo OR value > hi").groupBy("feature").agg(F.sum("c").alias("out"))

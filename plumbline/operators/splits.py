@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.functions.primitives import global_rank, md5_number, md5_order
+from plumbline.functions.primitives import global_rank, md5_number, md5_order, prefix_sums
 
 
 def _parts(share: Column, names: Sequence[str], ratios: Sequence[float], scale: Column | float = 1.0, cut=lambda c: c) -> Column:
@@ -41,10 +41,11 @@ def range_counts(df: DataFrame, dt: str, ranges: Sequence[tuple[str, str, str]])
 
 
 def _by_time(df: DataFrame, t: str) -> DataFrame:
-    """t, n, before, total: rows of each time value and before it. A row for each value."""
+    """t, n, before, total: rows of each time value and before it. A row for each value, in order over many tasks."""
     counts = df.groupBy(t).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(t).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.select(t, "n", before.alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    ordered = prefix_sums(counts, [t], {"__upto": F.col("n")}, rank=None)
+    total = F.broadcast(df.agg(F.count("*").alias("total")))  # one row
+    return ordered.crossJoin(total).select(t, "n", (F.col("__upto") - F.col("n")).alias("before"), "total")
 
 
 def split_by_day_ratio(df: DataFrame, dt: str, ratios: Sequence[float], names: Sequence[str] = ("train", "test", "oot")) -> DataFrame:
@@ -66,7 +67,7 @@ def split_by_row_ratio(df: DataFrame, dt: str, ratios: Sequence[float], key: str
 
 def split_by_distinct_time(df: DataFrame, t: str, oot_ratio: float, val_ratio: float) -> DataFrame:
     """Cuts the list of distinct times: the last part is oot, the tail of the rest is val; each keeps one time at least."""
-    times = df.select(t).distinct().withColumn("i", F.row_number().over(Window.orderBy(t)) - 1)
+    times = global_rank(df.select(t).distinct(), [t], name="i")
     n = times.count()
     cut = max(1, min(n - 1, int(n * (1 - oot_ratio))))
     val = max(1, min(cut - 1, int(cut * (1 - val_ratio))))

@@ -268,8 +268,13 @@ def _(spark, d):
     return uplift.thin_curve(uplift.uplift_curve(sample(spark, d), "cate", "arm", "label", "id"), "k")
 
 
-BOOT = """u AS (SELECT label, score, score_old, cate, rep, ('0x' || substr(md5('7|' || CAST(rep AS VARCHAR) || '|' || CAST(id AS VARCHAR)), 1, 8))::BIGINT / 4294967296::DOUBLE AS u FROM sample, (SELECT unnest(range(0, 20)) AS rep)),
-    b AS (SELECT *, """ + " + ".join(f"CAST(u >= {p} AS BIGINT)" for p in comparison.POISSON) + " AS w FROM u)"
+#: A quarter of the operator's default: the SQL side has a row for each order and replicate.
+REPLICATES = 500
+_P = comparison.PRIME
+BOOT = f"""x1 AS (SELECT label, score, score_old, cate, rep, (id % {_P} * 69621 + rep * 16807 + 7 * 48271 + 1) % {_P} AS x FROM sample, (SELECT unnest(range(0, {REPLICATES})) AS rep)),
+    x2 AS (SELECT * REPLACE ((x * x + x * 40692 + 12345) % {_P} AS x) FROM x1),
+    x3 AS (SELECT * REPLACE ((x * x + x * 48271 + rep * 7919 + 7) % {_P} AS x) FROM x2),
+    b AS (SELECT *, """ + " + ".join(f"CAST(x >= {int(p * _P)} AS BIGINT)" for p in comparison.POISSON) + " AS w FROM x3)"
 
 
 def boot_auc(score: str, extra: str = "") -> str:
@@ -279,13 +284,13 @@ def boot_auc(score: str, extra: str = "") -> str:
 
 @query("m1_bootstrap_ci", f"{S}, {BOOT}, a AS ({boot_auc('score')}) SELECT count(*) AS replicates, avg(auc) AS mean, stddev_samp(auc) AS se, quantile_cont(auc, 0.025) AS low, quantile_cont(auc, 0.975) AS high FROM a", "mean se low high")
 def _(spark, d):
-    return comparison.bootstrap_ci(sample(spark, d), "label", "score", "id", 20)
+    return comparison.bootstrap_ci(sample(spark, d), "label", "score", "id", REPLICATES)
 
 
 @query("m2_paired_bootstrap", f"""{S}, {BOOT}, a AS ({boot_auc('score')}), o AS ({boot_auc('score_old')}), x AS (SELECT a.auc - o.auc AS d FROM a JOIN o USING (rep))
     SELECT count(*) AS replicates, avg(d) AS mean, stddev_samp(d) AS se, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high, avg(CAST(d > 0 AS INT)) AS share_positive, avg(d) / stddev_samp(d) AS z FROM x""", "mean se low high share_positive z")
 def _(spark, d):
-    return comparison.paired_bootstrap(sample(spark, d), "label", "score", "score_old", "id", 20)
+    return comparison.paired_bootstrap(sample(spark, d), "label", "score", "score_old", "id", REPLICATES)
 
 
 @query("m3_weighted_auc", f"{S}, g AS (SELECT score AS s, sum(label * n_lines) AS p, sum((1 - label) * n_lines) AS n FROM sample GROUP BY 1), w AS (SELECT *, sum(coalesce(n, 0)) OVER (ORDER BY s) - coalesce(n, 0) AS b FROM g) SELECT sum(p * (b + n / 2.0)) / (sum(p) * sum(n)) AS auc FROM w", "auc")
@@ -314,7 +319,7 @@ def _(spark, d):
     dl AS (SELECT participant, avg(auc - base) AS delta, quantile_cont(auc - base, 0.025) AS low, quantile_cont(auc - base, 0.975) AS high FROM e JOIN (SELECT rep, auc AS base FROM e WHERE participant = 'score_old') USING (rep) GROUP BY 1)
     SELECT participant, a AS auc, rank() OVER (ORDER BY a DESC) AS rank, delta, low, high, CASE WHEN participant = 'score_old' THEN 'reference' WHEN low > 0 THEN 'better' WHEN high < 0 THEN 'worse' ELSE 'tie' END AS verdict FROM a JOIN dl USING (participant)""", "auc delta low high")
 def _(spark, d):
-    return comparison.aligned_leaderboard(sample(spark, d), "label", ["score", "score_old", "cate"], "id", "score_old", 20)
+    return comparison.aligned_leaderboard(sample(spark, d), "label", ["score", "score_old", "cate"], "id", "score_old", REPLICATES)
 
 
 @query("m13_slice_gate", f"""{S}, {SEGMENTS}, a AS ({auc_sql('seg', 'segment', 'score')}), o AS ({auc_sql('seg', 'segment', 'score_old')}), n AS (SELECT segment, count(*) AS "rows" FROM seg GROUP BY 1 HAVING count(*) >= 50), x AS (SELECT segment, "rows", a.a AS new_auc, o.a AS old_auc, a.a - o.a AS delta FROM n JOIN a USING (segment) JOIN o USING (segment))

@@ -69,7 +69,7 @@ def _(spark, d):
 @query("m6_sample_noise_check")
 def _(spark, d):
     rows = sample(spark, d)
-    return models.sample_noise_check(rows, rows.filter("split <> 'train'"), "id", "label", "score", 0.01, 20)
+    return models.sample_noise_check(rows, rows.filter("split <> 'train'"), "id", "label", "score", 0.01)
 
 
 @query("m8_local_ambiguity")
