@@ -24,7 +24,7 @@ SHARD_PIECES = 50_000
 #: The search goes on while a pass raises the sum of squared fills by this share.
 PROGRESS = 1e-4
 #: Distinct words that a worker keeps; beyond it, it starts anew. Bytes of text looked through at a time.
-CACHE_WORDS, TEXT_BYTES = 600_000, 1 << 20
+CACHE_WORDS, TEXT_BYTES = 400_000, 1 << 20
 #: ASCII marks but the apostrophe, with which some letters make one token.
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
