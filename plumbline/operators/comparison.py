@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator, Sequence
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -192,6 +193,27 @@ def slice_gate(df: DataFrame, label: str, new: str, old: str, slices: Sequence[s
     return out.withColumn("worst", F.col("delta") == F.min("delta").over(Window.partitionBy()))
 
 
+def slice_and_period_gate(df: DataFrame, label: str, new: str, old: str, slices: Sequence[str], period: str, key: str, least: int = 50, alpha: float = 0.05, by_size: bool = False, n_boot: int = 2000, seed: int = 7) -> DataFrame:
+    """kind (slice or period), segment, rows, new_auc, old_auc, delta, se, reach, worst, passed.
+
+    se is the bootstrap error of the change over all rows. The worst of k
+    slices may fall by less than z(1 - alpha / k) errors (by_size: times the
+    root of k, as a slice has a k-th of the rows), the worst period by 2 at
+    most; without an error no fall is allowed. passed is of the kind. Segments
+    under least rows or of one class don't take part; they are few.
+    """
+    noise = paired_bootstrap(df, label, new, old, key, n_boot, seed).first()["se"]
+    parts = [slice_gate(df, label, new, old, slices, least).select(F.lit("slice").alias("kind"), "*"), slice_gate(df, label, new, old, [period], least).select(F.lit("period").alias("kind"), "*")]
+    rows = written(parts[0].unionByName(parts[1]).filter("delta IS NOT NULL AND segment <> 'all'").drop("worst"), "segments")
+    k = max(1, rows.filter("kind = 'slice'").count())
+    every = Window.partitionBy("kind")  # a row for each segment
+    times = F.when(F.col("kind") == "period", 2.0).otherwise(NormalDist().inv_cdf(1 - alpha / k) * (k**0.5 if by_size else 1.0))
+    out = rows.withColumn("se", F.lit(noise).cast("double")).withColumn("reach", F.coalesce(times * F.col("se"), F.lit(0.0)))
+    low = F.min("delta").over(every)
+    passed = F.when(F.col("kind") == "period", low >= -F.col("reach")).otherwise(F.when(F.col("se") > 0, low > -F.col("reach")).otherwise(low >= 0))
+    return out.withColumn("worst", F.col("delta") == low).withColumn("passed", passed)
+
+
 def lift_capture(base: Column, achieved: Column, reference: Column, higher_is_better: bool = True) -> Column:
     """The share of the gap from base to reference that was closed; null if there is no gap."""
     sign = 1 if higher_is_better else -1

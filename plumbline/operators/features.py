@@ -5,18 +5,19 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.functions.primitives import bin_index, inner, md5_number, prefix_sums, quantile_edges, quantiles
+from plumbline.functions.primitives import bin_index, inner, md5_number, melt, prefix_sums, quantile_edges, quantiles
+
+from .ranking import auc
 
 
 def medians(train: DataFrame, cols: Sequence[str]) -> DataFrame:
     """feature, median (0 without values), missing_rate of the training rows."""
-    from plumbline.functions.primitives import melt
-
     v = F.col("value")
     long = melt(train, cols)
     rates = long.groupBy("feature").agg(F.avg(v.isNull().cast("double")).alias("missing_rate"))
@@ -107,6 +108,36 @@ def candidate_transform(df: DataFrame, fn: Callable[[pd.DataFrame], pd.Series],
     return one
 
 
+def tune_candidate(df: DataFrame, fn: Callable[[pd.DataFrame, dict], pd.Series], bounds: dict[str, tuple[float, float]], default: dict[str, float], key: str, sources: Sequence[str], label: str, tries: int = 24, around: int = 4, seed: int = 7, least: float = 1e-3) -> tuple[dict[str, float], DataFrame]:
+    """Constants of fn(columns, constants) that rank the label best, on training rows alone, and the table of what was tried.
+
+    tries draws within the bounds, then around points a constant in a quarter of
+    its range about the best so far. All settings of a round are one pass:
+    fn gives a column for each, and one grouped AUC judges them. The default
+    stays if the best is not better by least. Table: setting, auc (either way
+    round), and the constants.
+    """
+    rng, train = np.random.default_rng(seed), df.filter("split = 'train'")
+    judged: list[tuple[float, dict[str, float]]] = []
+
+    def judge(settings: list[dict[str, float]]) -> None:
+        names = [f"s{k}" for k in range(len(settings))]
+        made = feature_block(train, lambda x: pd.DataFrame({n: fn(x, s) for n, s in zip(names, settings, strict=True)}), key, sources, names)
+        long = melt(made.join(train.select(key, label), key), names, [label])
+        scored = {r.feature: r.auc for r in auc(long, label, "value", ["feature"]).collect()}  # a row for each setting
+        judged.extend((max(a, 1 - a), s) for n, s in zip(names, settings, strict=True) if (a := scored.get(n)) is not None)
+
+    judge([default, *({c: float(rng.uniform(*b)) for c, b in bounds.items()} for _ in range(tries))])
+    best = max(judged, key=lambda x: x[0])[1] if judged else default
+    near = lambda c: np.linspace(max(bounds[c][0], best[c] - (bounds[c][1] - bounds[c][0]) / 4), min(bounds[c][1], best[c] + (bounds[c][1] - bounds[c][0]) / 4), around)
+    judge([best | {c: float(v)} for c in sorted(bounds) for v in near(c)])
+    first = next((a for a, s in judged if s == default), None)
+    top, best = max(judged, key=lambda x: x[0], default=(None, default))
+    chosen = best if first is not None and top - first >= least else default
+    schema = ", ".join(["setting int", "auc double", *(f"`{c}` double" for c in bounds)])
+    return chosen, df.sparkSession.createDataFrame([(k, a, *(float(s[c]) for c in bounds)) for k, (a, s) in enumerate(judged)], schema)
+
+
 def attach_features(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join with side, which must have each key once."""
     if not side.groupBy(*keys).count().filter("count > 1").isEmpty():

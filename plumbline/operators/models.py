@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import re
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -97,12 +97,17 @@ def cluster_features(df: DataFrame, vector: str, key: str, k: int = 12, fit_on:
 
 
 def treatment_predictability(df: DataFrame, covariates: Sequence[str], arm: str, key: str, holdout: float = 0.3, least: int = 30) -> DataFrame:
-    """One row: rows by arm, AUC of a model of the arm on a hashed holdout, level (0.6, 0.7, 0.8); no AUC under least rows an arm."""
+    """One row: rows by arm, AUC of a model of the arm on a hashed holdout, level (0.6, 0.7, 0.8), importances by falling gain; none under least rows an arm."""
     rows = written(filled(df, covariates).select(key, arm, *covariates, (md5_number(SEED, key) % 1000 < holdout * 1000).alias("held")), "arms")
     n = rows.agg(F.count_if(F.col(arm) == 1).alias("treated"), F.count_if(F.col(arm) == 0).alias("control"))
     enough = min(n.first()) >= least
-    scored = _stages(covariates, gbt_classifier(arm)).fit(rows.filter("NOT held")).transform(rows.filter("held")).select(F.col(arm), positive().alias("s")) if enough else rows.limit(0).select(arm, F.lit(0.0).alias("s"))
-    out = n.crossJoin(auc(scored, arm, "s"))  # one row each
+    scored, gains = rows.limit(0).select(arm, F.lit(0.0).alias("s")), []
+    if enough:
+        model = _stages(covariates, gbt_classifier(arm)).fit(rows.filter("NOT held"))
+        scored = model.transform(rows.filter("held")).select(F.col(arm), positive().alias("s"))
+        gains = sorted(zip(model.stages[-1].featureImportances.toArray().tolist(), covariates, strict=True), key=lambda x: (-x[0], x[1]))
+    listed = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(g).alias("gain")) for g, c in gains]).cast("array<struct<feature:string,gain:double>>")
+    out = n.crossJoin(auc(scored, arm, "s")).withColumn("importances", listed)  # one row each
     return out.withColumn("level", F.when(F.col("auc") >= 0.8, "severe").when(F.col("auc") >= 0.7, "high").when(F.col("auc") >= 0.6, "warning").when(F.col("auc").isNotNull(), "ok"))
 
 
@@ -143,19 +148,28 @@ def sample_noise_check(full: DataFrame, keys: DataFrame, key: str, label: str, s
     return a.crossJoin(b).withColumn("ratio", F.col("se_sample") / (2 * smallest)).withColumn("usable", F.col("ratio") <= 1)  # one row each
 
 
-def local_ambiguity(df: DataFrame, features: Sequence[str], y: str, dims: int = 3) -> DataFrame:
-    """One row: cells, within, total, ambiguity (within-cell over total variance) over a hashed projection cut in three bins a dimension."""
-    rows = filled(df, features).select(y, *features)
+#: Rows that a cell has on average, and projections at most.
+CELL_ROWS, MOST_DIMS = 20, 24
+
+
+def local_ambiguity(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
+    """One row: dims, cells, within, total, ambiguity (within-cell over total variance) over hashed projections cut in three bins each.
+
+    There are as many projections as give cells of about CELL_ROWS rows, 2 at
+    least, so the resolution grows with the rows.
+    """
+    rows = written(filled(df.filter(F.col(y).isNotNull()), features).select(y, *features), "ambiguity")
+    dims = max(2, min(MOST_DIMS, round(math.log(max(4, rows.count() // CELL_ROWS), 3))))
     moments = rows.agg(*[F.struct(F.avg(c), F.stddev_pop(c)).alias(c) for c in features]).first()
     weight = lambda c, d: (int(hashlib.md5(f"{SEED}|{d}|{c}".encode()).hexdigest()[:8], 16) / 2**31) - 1
     for d in range(dims):
         rows = rows.withColumn(f"__p{d}", sum((F.lit(weight(c, d)) * (F.col(c) - moments[c][0]) / (moments[c][1] or 1.0) for c in features), F.lit(0.0)))
     long = melt(rows, [f"__p{d}" for d in range(dims)])
-    edges = {r.feature: r.edges for r in quantile_edges(long, 3).collect()}  # dims rows
+    edges = {r.feature: r.edges or [] for r in quantile_edges(long, 3).collect()}  # dims rows
     cell = F.concat_ws("-", *[bin_index(F.col(f"__p{d}"), inner(F.array(*[F.lit(x) for x in edges[f"__p{d}"]]))).cast("string") for d in range(dims)])
     cells = rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.var_pop(y).alias("v"))
     total = rows.agg(F.var_pop(y).alias("total"))
-    out = cells.agg(F.count("*").alias("cells"), (F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("within")).crossJoin(total)  # one row each
+    out = cells.agg(F.lit(dims).alias("dims"), F.count("*").alias("cells"), (F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("within")).crossJoin(total)  # one row each
     return out.withColumn("ambiguity", F.col("within") / F.nullif("total", F.lit(0.0)))
 
 
@@ -175,6 +189,22 @@ def sample_size_curve(df: DataFrame, features: Sequence[str], label: str, key: s
     return df.sparkSession.createDataFrame(out, "fraction double, seed int, rows long, auc double")
 
 
+def last_step(curve: DataFrame) -> DataFrame:
+    """One row of a sample_size_curve: gain of the last step, its error over seeds (root of 2 / seeds times the larger spread), whether its 95 % interval covers zero, steep.
+
+    With one seed there is no error, and the interval covers zero. steep: the
+    gain is beyond its interval and over a tenth of the whole rise.
+    """
+    points = sorted((r.fraction, r.n, r.auc, r.sd) for r in curve.groupBy("fraction").agg(F.count("auc").alias("n"), F.avg("auc").alias("auc"), F.stddev_pop("auc").alias("sd")).collect() if r.auc is not None)  # a row for each fraction
+    if len(points) < 2:
+        return curve.sparkSession.createDataFrame([], "gain double, se double, covers_zero boolean, steep boolean")
+    (_, n, before, spread), (_, _, after, last) = points[-2], points[-1]
+    gain, rise = after - before, after - points[0][2]
+    se = math.sqrt(2 / n) * max(spread, last, 1e-12) if n > 1 else None
+    covers = se is None or abs(gain) <= 1.96 * se
+    return curve.sparkSession.createDataFrame([(gain, se, covers, rise > 0 and gain > 0.1 * rise and not covers)], "gain double, se double, covers_zero boolean, steep boolean")
+
+
 def feature_count_curve(df: DataFrame, ranked_features: Sequence[str], label: str, key: str, steps: Sequence[float] = (0.25, 0.5, 0.75, 1.0)) -> DataFrame:
     """n_features, auc on split test, gain over the step before."""
     rows = written(filled(df, ranked_features).select(key, "split", label, *ranked_features), "curve")
@@ -187,10 +217,10 @@ def feature_count_curve(df: DataFrame, ranked_features: Sequence[str], label: st
 
 
 def families(columns: Sequence[str]) -> dict[str, list[str]]:
-    """Columns by what is before their first underscore or digit."""
+    """Columns by what is before their first underscore; those without one are the family base."""
     out: dict[str, list[str]] = {}
     for c in columns:
-        out.setdefault(re.split(r"[_0-9]", c)[0] or c, []).append(c)
+        out.setdefault(c.partition("_")[0] if "_" in c else "base", []).append(c)
     return out
 
 
@@ -223,6 +253,15 @@ def incremental_gain(df: DataFrame, base: Sequence[str], feature: str, label: st
     return table.groupBy("split").agg(F.avg("gain").alias("gain"), (F.avg("gain") - F.stddev_samp("gain") / F.sqrt(F.count("*"))).alias("lower"))
 
 
+def fusion_gain(df: DataFrame, base: Sequence[str], accepted: Sequence[str], label: str, key: str, least: float = 0.0) -> DataFrame:
+    """One row: base_auc and fused_auc on split oot of models with the base alone and with all accepted features, gain, passed."""
+    rows = written(filled(df, [*base, *accepted]).select(key, "split", label, *base, *accepted), "fusion")
+    train, oot = rows.filter("split = 'train'"), rows.filter("split = 'oot'")
+    one, two = _fit_auc(train, oot, list(base), label), _fit_auc(train, oot, [*base, *accepted], label)
+    gain = None if one is None or two is None else two - one
+    return df.sparkSession.createDataFrame([(one, two, gain, gain is not None and gain >= least)], "base_auc double, fused_auc double, gain double, passed boolean")
+
+
 def hurdle_regression(df: DataFrame, features: Sequence[str], y: str, key: str, threshold: float = 0.0) -> DataFrame:
     """key, p (chance of y over the threshold), m (mean above it, at least 0), prediction p times m."""
     rows = filled(df, features).select(key, "split", y, *features).withColumn("__over", (F.col(y) > threshold).cast("int"))

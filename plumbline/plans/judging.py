@@ -328,6 +328,19 @@ def _(spark, d):
     return comparison.slice_gate(sample(spark, d), "label", "score", "score_old", ["c_mktsegment", "split"])
 
 
+ZS = " ".join(f"WHEN {k} THEN {comparison.NormalDist().inv_cdf(1 - 0.05 / k)!r}::DOUBLE" for k in range(1, 21))
+
+
+@query("m13_slice_and_period_gate", f"""{S}, {BOOT}, a0 AS ({boot_auc('score')}), o0 AS ({boot_auc('score_old')}), e AS (SELECT stddev_samp(a0.auc - o0.auc) AS se FROM a0 JOIN o0 USING (rep)),
+    seg AS (SELECT 'slice' AS kind, label, score, score_old, unnest(['c_mktsegment=' || c_mktsegment, 'o_orderpriority=' || o_orderpriority]) AS segment FROM sample UNION ALL SELECT 'period', label, score, score_old, 'split=' || split FROM sample),
+    a AS ({auc_sql('seg', 'kind, segment', 'score')}), o AS ({auc_sql('seg', 'kind, segment', 'score_old')}), n AS (SELECT kind, segment, count(*) AS "rows" FROM seg WHERE segment IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 50),
+    x AS (SELECT kind, segment, "rows", a.a AS new_auc, o.a AS old_auc, a.a - o.a AS delta FROM n JOIN a USING (kind, segment) JOIN o USING (kind, segment) WHERE a.a - o.a IS NOT NULL),
+    y AS (SELECT x.*, se, CASE kind WHEN 'period' THEN 2 ELSE CASE count(*) OVER (PARTITION BY kind) {ZS} END END * se AS reach, min(delta) OVER (PARTITION BY kind) AS low FROM x, e)
+    SELECT * EXCLUDE (low), delta = low AS worst, CASE kind WHEN 'period' THEN low >= -reach ELSE low > -reach END AS passed FROM y""", "new_auc old_auc delta se reach")
+def _(spark, d):
+    return comparison.slice_and_period_gate(sample(spark, d), "label", "score", "score_old", ["c_mktsegment", "o_orderpriority"], "split", "id", n_boot=REPLICATES)
+
+
 @query("m14_lift_capture", f"{S}, e AS (SELECT c_mktsegment, avg(score_old) AS b, avg(score) AS a, max(score) AS r FROM sample GROUP BY 1) SELECT c_mktsegment, CASE WHEN r - b > 0 THEN (a - b) / (r - b) END AS captured FROM e", "captured")
 def _(spark, d):
     rows = sample(spark, d).groupBy("c_mktsegment").agg(F.avg("score_old").alias("b"), F.avg("score").alias("a"), F.max("score").alias("r"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions.primitives import written
-from plumbline.operators import binning, leakage, models, profile
+from plumbline.operators import binning, drift, features, leakage, models, profile
 from plumbline.streaming import monitor
 
 from .registry import query
-from .views import NUMERIC, long_sample, read, sample
+from .views import NUMERIC, long_sample, read, sample, tokens
 
 FE = ["c_acctbal", "n_lines", "sum_qty", "avg_disc"]
 
@@ -17,13 +17,20 @@ FE = ["c_acctbal", "n_lines", "sum_qty", "avg_disc"]
 @query("d11_leakage_audit")
 def _(spark, d):
     rows = sample(spark, d)
-    return leakage.leakage_audit(binning.univariate_auc(long_sample(spark, d)), profile.identifier_like(rows, ["id", "pday", "o_custkey"]), profile.entity_overlap(rows, "o_custkey"), rows.columns, ["label", "outcome"], 0.0)
+    long = long_sample(spark, d, ("id", "label", "outcome"))
+    collapses = drift.token_drift(tokens(spark, d), "seq", "day", F.col("day") < "2024-01-20")
+    return leakage.leakage_audit(
+        binning.univariate_auc(long), profile.identifier_like(rows, ["id", "pday", "o_custkey"]), profile.entity_overlap(rows, "o_custkey"), rows.columns, ["label", "outcome"],
+        leakage.duplicate_rate(rows.drop("id")), collapses, binning.target_spearman(long, "outcome"),
+    )
 
 
 @query("d12_leak_classify")
 def _(spark, d):
     long = long_sample(spark, d)
-    return leakage.leak_classify(binning.univariate_auc(long), profile.feature_quality(long))
+    rows = sample(spark, d)
+    shapes = [profile.text_shape(rows, c).select(F.lit(c).alias("feature"), "composite") for c in ("c_mktsegment", "o_orderpriority")]
+    return leakage.leak_classify(binning.univariate_auc(long), profile.feature_quality(long), text=shapes[0].unionByName(shapes[1]))
 
 
 @query("i6_lr_oof_score")
@@ -33,7 +40,13 @@ def _(spark, d):
 
 @query("i7_gbdt_oof_score")
 def _(spark, d):
-    return models.gbdt_oof_score(sample(spark, d), FE, "label", "id", 2)
+    return models.gbdt_oof_score(sample(spark, d), FE, "label", "id")
+
+
+@query("h8_tune_candidate")
+def _(spark, d):
+    part = lambda x, c: x["outcome"] // (1000 * c["step"]) % 10
+    return features.tune_candidate(sample(spark, d), part, {"step": (0.5, 20.0)}, {"step": 1.0}, "id", ["outcome"], "label")[1]
 
 
 @query("i8_pca_features")
@@ -79,22 +92,32 @@ def _(spark, d):
 
 @query("m9_sample_size_curve")
 def _(spark, d):
-    return models.sample_size_curve(sample(spark, d), FE, "label", "id", (0.25, 1.0), (1,))
+    return models.sample_size_curve(sample(spark, d), FE, "label", "id")
+
+
+@query("m9_last_step")
+def _(spark, d):
+    return models.last_step(models.sample_size_curve(sample(spark, d), FE, "label", "id", (0.125, 0.5, 1.0)))
 
 
 @query("m9_feature_count_curve")
 def _(spark, d):
-    return models.feature_count_curve(sample(spark, d), FE, "label", "id", (0.5, 1.0))
+    return models.feature_count_curve(sample(spark, d), FE, "label", "id")
 
 
 @query("m10_group_permutation_importance")
 def _(spark, d):
-    return models.group_permutation_importance(sample(spark, d), FE, "label", "id", 1)
+    return models.group_permutation_importance(sample(spark, d), FE, "label", "id")
 
 
 @query("m11_incremental_gain")
 def _(spark, d):
-    return models.incremental_gain(sample(spark, d), FE[:2], FE[2], "label", "id", (1, 2))
+    return models.incremental_gain(sample(spark, d), FE[:2], FE[2], "label", "id")
+
+
+@query("m11_fusion_gain")
+def _(spark, d):
+    return models.fusion_gain(sample(spark, d), FE[:2], FE[2:], "label", "id")
 
 
 @query("m12_hurdle_regression")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions.primitives import written
+from plumbline.functions.primitives import melt, written
 from plumbline.operators import splits, typing
 from plumbline.sources import tables
 
@@ -50,9 +50,14 @@ def _(spark, d):
     return tables.fetch_sample_features(base, _day_features(spark, d), ["o_custkey", "dt"], "dt", "19960101", "19991231", lag_day=1)
 
 
-@query("a6_derive_feature_list", "SELECT * FROM (VALUES ('o_totalprice', 0, 'kept'), ('o_missing', 1, 'missing'), ('o_orderstatus', 2, 'kept')) AS t(feature, position, status)", longs="position")
+@query("a6_derive_feature_list", "SELECT 'o_totalprice' AS feature, 0 AS position, 'kept' AS status, count(o_totalprice) AS n, count(DISTINCT o_totalprice) AS levels FROM orders UNION ALL SELECT 'o_missing', 1, 'missing', NULL, NULL UNION ALL SELECT 'o_orderstatus', 2, 'kept', count(o_orderstatus), count(DISTINCT o_orderstatus) FROM orders", longs="position")
 def _(spark, d):
-    return tables.derive_feature_list(read(spark, d, "orders"), ["o_orderkey", "o_orderdate"], ["o_totalprice", "o_missing", "o_orderstatus"])
+    """The list, with what each kept column holds."""
+    orders = read(spark, d, "orders")
+    listed = tables.derive_feature_list(orders, ["o_orderkey", "o_orderdate"], ["o_totalprice", "o_missing", "o_orderstatus"])
+    kept = [r.feature for r in listed.filter("status = 'kept'").collect()]  # a row for each column
+    held = melt(orders, kept, text=True).groupBy("feature", "value").agg(F.count("value").alias("c")).groupBy("feature").agg(F.sum("c").alias("n"), F.count("value").alias("levels"))
+    return listed.join(F.broadcast(held), "feature", "left")
 
 
 @query("a7_write_splits", f"{S} SELECT split, count(*) AS n, count(DISTINCT id) AS keys, sum(label) AS positives FROM sample GROUP BY 1", longs="positives")
@@ -115,11 +120,14 @@ def _(spark, d):
     return typing.validate_contract(sample(spark, d), ["id", "dt", "nowhere"], "label", "pday", "score")
 
 
-@query("b6_resolve_features", "SELECT unnest(['outcome', 'c_acctbal', 'sum_qty']) AS feature, unnest([0, 1, 2]) AS position", longs="position")
+@query("b6_resolve_features", f"{S} SELECT 'outcome' AS feature, 0 AS position, count(outcome) AS n, avg(outcome) AS mean FROM sample UNION ALL SELECT 'c_acctbal', 1, count(c_acctbal), avg(c_acctbal) FROM sample UNION ALL SELECT 'sum_qty', 2, count(sum_qty), avg(sum_qty) FROM sample", "mean", longs="position")
 def _(spark, d):
+    """The resolved features, with what each holds."""
     rows = sample(spark, d).select("id", "dt", "label", "arm", "outcome", "c_acctbal", "sum_qty", "pday")
     names = typing.resolve_features(rows.columns, target="label", time="dt", ids=["id"], treatment="arm", unparsed=["pday"])
-    return spark.createDataFrame([(f, k) for k, f in enumerate(names)], "feature string, position long")
+    listed = spark.createDataFrame([(f, k) for k, f in enumerate(names)], "feature string, position long")
+    held = melt(rows, names).groupBy("feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
+    return listed.join(F.broadcast(held), "feature", "left")
 
 
 @query("b7_apply_treatment_semantics", f"""{S}, m AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 0 WHEN '4-NOT SPECIFIED' THEN 0 END AS t, label AS y FROM sample)

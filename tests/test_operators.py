@@ -2,9 +2,11 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import primitives
 from plumbline.functions.primitives import global_rank, melt, prefix_sums
 from plumbline.operators import binning, comparison, drift, evaluation, features, leakage, profile, ranking, screening, splits, text, typing, uplift
 from plumbline.sources import tables
@@ -176,3 +178,67 @@ def test_leaks(spark):
     auc = spark.createDataFrame([("a", 0.9), ("b", 0.75), ("c", 0.5)], "feature string, auc double")
     quality = spark.createDataFrame([("a", 0.1, False), ("b", 0.1, False), ("c", 0.99, True)], "feature string, distinct_ratio double, high_cardinality boolean")
     assert {r.feature: r.verdict for r in leakage.leak_classify(auc, quality).collect()} == {"a": "banned", "b": "ambiguous", "c": "banned"}
+    names = ["due_90d", "due_7d", "note", "tags", "x"]
+    auc = spark.createDataFrame([(n, 0.5) for n in names], "feature string, auc double")
+    quality = spark.createDataFrame([(n, 0.1, False) for n in names if n not in ("note", "tags")], "feature string, distinct_ratio double, high_cardinality boolean")
+    text = spark.createDataFrame([("note", False), ("tags", True)], "feature string, composite boolean")
+    got = {r.feature: (r.verdict, r.reason) for r in leakage.leak_classify(auc, quality, "due_30d", 30, text).collect()}
+    assert got == {"due_90d": ("banned", "target_window"), "due_7d": ("ambiguous", "target_family"), "note": ("reparse", "text"), "tags": ("reparse", "list"), "x": ("clean", "")}
+
+
+def test_leakage_rules(spark):
+    t = lambda rows, schema: spark.createDataFrame(rows, schema)
+    rows = t([(1, "a"), (1, "a"), (2, None), (2, None), (3, "b")], "x int, y string")
+    assert one(leakage.duplicate_rate(rows))["rate"] == pytest.approx(0.4)
+    found = leakage.leakage_audit(
+        t([("f", 0.9), ("g", 0.5), ("h", None)], "feature string, auc double"), t([("k", 1.0, True), ("m", 0.2, False)], "feature string, unique_ratio double, identifier boolean"),
+        t([("train", "oot", 0.1), ("train", "test", 0.0)], "left string, right string, jaccard double"), ["a_label", "b"], ["label"], leakage.duplicate_rate(rows),
+        t([("1", "tok", True), ("2", "tok", True), ("2", "ok", False)], "period string, token string, collapsed boolean"), t([("z", 0.99), ("f", 0.2)], "feature string, spearman double"),
+    )
+    assert {(r.rule, r.subject): round(r.value, 6) for r in found.collect()} == {
+        ("target_word", "a_label"): 1.0, ("high_auc", "f"): 0.9, ("identifier", "k"): 1.0, ("entity_overlap", "train/oot"): 0.1, ("duplicate_rows", "rows"): 0.4, ("token_collapse", "tokens"): 1.0, ("high_correlation", "z"): 0.99,
+    }
+
+
+def test_quantiles_are_numpys(spark):
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.normal(size=501), "b": rng.integers(0, 4, 300).astype(float), "c": np.array([2.5]), "d": np.array([1.0, 1.0, 7.0])}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("a", None), ("e", None)]
+    at = (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)
+    got = {r.feature: r.q for r in primitives.quantiles(spark.createDataFrame(rows, "feature string, value double"), at).collect()}
+    assert got.pop("e") is None and set(got) == set(groups)
+    for g, q in got.items():
+        assert q == pytest.approx(np.quantile(groups[g], at).tolist())
+
+
+def test_bootstrap_is_the_weighted_auc(spark):
+    """Against drawing the weights and counting pairs, with ties over many tasks, nulls and one class."""
+    rng = np.random.default_rng(4)
+    n, reps = 400, 6
+    label, score = rng.integers(0, 2, n), np.where(rng.random(n) < 0.5, 0.25, np.round(rng.random(n), 2))
+    rows = [(k, int(y), float(s), 1.0 if k % 2 else None) for k, (y, s) in enumerate(zip(label, score, strict=True))] + [(n, None, 0.1, 0.1), (n + 1, 1, None, 1.0)]
+    df = spark.createDataFrame(rows, "id long, label int, s double, t double").repartition(7)
+    got = {(r.score, r.replicate): r.auc for r in comparison.bootstrap_auc(df, "label", ["s", "t"], "id", reps, 9).collect()}
+    w = comparison.draws(np.arange(n), reps, 9)
+    assert abs(comparison.draws(np.arange(20_000), 50, 1).mean() - 1) < 0.01 and abs(comparison.draws(np.arange(20_000), 50, 1).var() - 1) < 0.02
+    above = (score[:, None] > score[None, :]) + 0.5 * (score[:, None] == score[None, :])
+    for r in range(reps):
+        p, q = w[:, r] * (label == 1), w[:, r] * (label == 0)
+        assert got["s", r] == pytest.approx(float(p @ above @ q / (p.sum() * q.sum())))
+        assert got["t", r] == pytest.approx(0.5)
+    assert {r.auc for r in comparison.bootstrap_auc(df.filter("label = 1"), "label", ["s"], "id", 2, 9).collect()} == {None}
+
+
+def test_slice_and_period_gate(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, int(y), "ab"[k % 2], "12"[k % 4 // 2], float(y + rng.normal()), float(y + rng.normal())) for k, y in enumerate(rng.integers(0, 2, 1200))]
+    df = spark.createDataFrame(rows, "id long, label int, part string, month string, new double, old double")
+    got = comparison.slice_and_period_gate(df, "label", "new", "old", ["part"], "month", "id", n_boot=100).collect()
+    assert {(r.kind, r.segment) for r in got} == {("slice", "part=a"), ("slice", "part=b"), ("period", "month=1"), ("period", "month=2")}
+    se = one(comparison.paired_bootstrap(df, "label", "new", "old", "id", 100))["se"]
+    for r in got:
+        assert r.se == pytest.approx(se) and r.reach == pytest.approx(se * (2 if r.kind == "period" else 1.959963984540054))
+        low = min(x.delta for x in got if x.kind == r.kind)
+        assert r.worst == (r.delta == low) and r.passed == (low > -r.reach)
+    bad = df.withColumn("new", F.when(F.col("part") == "a", -F.col("old")).otherwise(F.col("old")))
+    assert {(r.kind, r.passed) for r in comparison.slice_and_period_gate(bad, "label", "new", "old", ["part"], "month", "id", n_boot=50).collect()} == {("slice", False), ("period", False)}
