@@ -19,6 +19,7 @@ from .substring_dedup import repeated_passages
 from .tables import discard, shared_folder, table, written
 from .token_counts import Rollup, deltas, document_counts
 from .url_filters import filter_captures, host_of, suffixes
+from .wavelet import read_documents, write_shards
 
 
 #: Tokenizer versions and their files.
@@ -109,6 +110,11 @@ def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = written(write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2), "token-files")
+    return read_documents(files)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -120,6 +126,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_katz_scores": op10_katz_scores,
+    "op11_wavelet_shards": op11_wavelet_shards,
 }
 
 SQL = {
