@@ -14,6 +14,7 @@ from .exact_dedup import exact_dedup
 from .katz import katz_scores
 from .language_id import language_id
 from .packing import pack_documents
+from .periodic import periodic_runs, with_planted_run
 from .simhash import simhash_dedup
 from .substring_dedup import repeated_passages
 from .tables import discard, shared_folder, table, written
@@ -115,6 +116,17 @@ def op11_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(files)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs in all documents, a tenth of which get repeated stretches."""
+    docs = table(spark, sf_dir, "documents")
+    planted = docs.select("doc_id", with_planted_run(F.col("text"), F.crc32(F.col("doc_id").cast("string"))).alias("text"))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n"))), "")
+    found = periodic_runs(planted).select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("best.length"), -F.col("best.period")
+    return found.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -127,6 +139,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_katz_scores": op10_katz_scores,
     "op11_wavelet_shards": op11_wavelet_shards,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 SQL = {
