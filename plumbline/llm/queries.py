@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import chroma
 from .byte_bpe import bpe_round_trip
+from .cross_tokens import cross_tokens
 from .exact_dedup import exact_dedup
 from .katz import katz_scores
 from .language_id import language_id
@@ -127,6 +128,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op13_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -140,6 +145,7 @@ QUERIES = {
     "op10_katz_scores": op10_katz_scores,
     "op11_wavelet_shards": op11_wavelet_shards,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_cross_tokens": op13_cross_tokens,
 }
 
 SQL = {

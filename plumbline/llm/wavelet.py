@@ -164,13 +164,14 @@ class WaveletFile:
 
 
 class PartEncoder:
-    """Ids of whole texts by a byte-level tokenizer, as it comes, part by part."""
+    """Ids of whole texts by a byte-level tokenizer, part by part: as it comes, or (plain) with its special tokens' strings as plain text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.model.encode_special_tokens = plain
         self.planes = max(1, int(self.model.get_vocab_size() - 1).bit_length())
         self.bpe, self.shown = self.model.model, dict(enumerate(byte_characters()))
         self.line = array("I", self.model.encode("\n", add_special_tokens=False).ids).tobytes()
