@@ -23,11 +23,11 @@ from .tables import discard, texts, written
 from .wavelet import PartEncoder
 
 #: Parts of text in a block, and distinct ones, after which the next block begins.
-BLOCK_PARTS, BLOCK_DISTINCT = 4_000_000, 400_000
+BLOCK_PARTS, BLOCK_DISTINCT = 1_500_000, 150_000
 #: Runs of each block, by the remainder of B's id; runs merged by one task; pairs in a compressed chunk.
 RADIX, FAN, CHUNK_PAIRS = 64, 256, 1 << 16
-#: Aligned parts that a worker keeps at most, twice.
-CACHE_PARTS = 200_000
+#: Aligned parts that a worker keeps at most, twice; parts aligned at once; bytes of text looked through at once.
+CACHE_PARTS, ALIGNED, TEXT_BYTES = 120_000, 10_000, 2 << 20
 _SIZE = struct.Struct("<II")
 
 
@@ -38,7 +38,7 @@ class Aligner:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from sentencepiece import SentencePieceProcessor
 
-        self.a, self.b = PartEncoder(path_a, plain=True), SentencePieceProcessor(model_file=path_b)
+        self.a, self.b = PartEncoder(path_a, plain=True, keep=CACHE_PARTS // 2), SentencePieceProcessor(model_file=path_b)
         byte = {c: k for k, c in enumerate(byte_characters())}
         self.bytes_a = {k: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, k in self.a.model.get_vocab().items()}
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
@@ -95,8 +95,8 @@ class Aligner:
                     known[part] = older[part]
                 else:
                     new.append(part)
-        for k in range(0, len(new), 50_000):
-            known.update(zip(new[k : k + 50_000], self.align(new[k : k + 50_000]), strict=True))
+        for k in range(0, len(new), ALIGNED):
+            known.update(zip(new[k : k + ALIGNED], self.align(new[k : k + ALIGNED]), strict=True))
         out = [known[p] for p in parts]
         if len(known) > CACHE_PARTS:
             self.known, self.older = {}, known
@@ -217,7 +217,7 @@ def _blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
         def finish() -> Iterator[pa.RecordBatch]:
             flat, starts = joined(links, "<i8")
-            words = np.concatenate(sequences) if sequences else np.empty(0, np.int64)
+            words = np.concatenate(sequences).astype(np.int64) if sequences else np.empty(0, np.int64)
             keys, pair = np.unique(flat, return_inverse=True)
             counts = np.bincount(pair, np.repeat(np.bincount(words, minlength=len(links)), np.diff(starts)), len(keys)).astype(np.int64)
             order = np.lexsort((keys, (keys >> 32) % RADIX))
@@ -237,7 +237,7 @@ def _blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([block] * (1 + len(radix)), pa.int64()), pa.array([-1, *radix], pa.int32()), pa.array([0, *borders[radix].tolist()], pa.int64()), pa.array([held] + [None] * len(radix), pa.binary()), pa.array([None, *runs], pa.binary())], ["block", "radix", "first", "docs", "run"])
 
         for batch in batches:
-            for a, b in slices(batch.column("text")):
+            for a, b in slices(batch.column("text"), TEXT_BYTES):
                 part = batch.slice(a, b - a)
                 own = texts(part.column("text"))
                 data = b"".join([b" " + t for t in own if t])
@@ -256,7 +256,7 @@ def _blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 if len(numbers) > len(links):
                     links += [x[4] if x else b"" for p, x in zip(some, found, strict=True) if numbers[p] >= len(links)]
                 keep = np.repeat(~bad, np.diff(first))
-                sequences.append(number[which][keep] if len(which) else which)
+                sequences.append((number[which][keep] if len(which) else which).astype(np.uint32))
                 listed.append(pa.RecordBatch.from_arrays([part.column("id"), *[pa.array(x, pa.int64()) for x in sums], pa.array(sha, pa.string()), pa.array(np.where(bad, 0, np.diff(first)), pa.int64())], ["id", "n_a", "n_b", "n_groups", "n_links", "sha", "parts"]))
                 n += len(which)
                 if n >= BLOCK_PARTS or len(numbers) >= BLOCK_DISTINCT:

@@ -166,12 +166,12 @@ class WaveletFile:
 class PartEncoder:
     """Ids of whole texts by a byte-level tokenizer, part by part: as it comes, or (plain) with its special tokens' strings as plain text."""
 
-    def __init__(self, path: str, plain: bool = False):
+    def __init__(self, path: str, plain: bool = False, keep: int = CACHE_PARTS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = plain
+        self.model.encode_special_tokens, self.keep = plain, keep
         self.planes = max(1, int(self.model.get_vocab_size() - 1).bit_length())
         self.bpe, self.shown = self.model.model, dict(enumerate(byte_characters()))
         self.line = array("I", self.model.encode("\n", add_special_tokens=False).ids).tobytes()
@@ -194,7 +194,7 @@ class PartEncoder:
             for text, made in zip(odd[k : k + 4096], self.model.encode_batch(odd[k : k + 4096], add_special_tokens=False), strict=True):
                 known[text.encode()] = array("I", made.ids).tobytes()
         out = [known[p] for p in parts]
-        if len(known) > CACHE_PARTS:  # those that were not met since the last time go
+        if len(known) > self.keep:  # those that were not met since the last time go
             self.known, self.older = {}, known
         return out
 
