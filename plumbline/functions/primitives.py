@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +29,26 @@ def written(df: DataFrame, name: str = "rows") -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(cleanup, before)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and nothing will read again."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def over(df: DataFrame, make: Callable[[DataFrame], DataFrame], name: str = "rows") -> DataFrame:
+    """make(df) with df written once, however often make reads it; the result is a table, and the rows are deleted. For small results."""
+    rows = written(df, name)
+    try:
+        return written(make(rows), f"{name}-result")
+    finally:
+        discard(rows)
 
 
 def number(c: Column | str) -> Column:

@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.functions import wide
 from plumbline.functions.primitives import bin_index, inner, quantile_edges
 
 from .ranking import auc_of, average_ranks, correlation, score_counts
 
 MISSING = -1
+Features = Sequence[str] | Mapping[str, Column]
+Edges = dict[str, list[float] | None]
 
 
-def equal_freq_edges(long: DataFrame, n_bins: int = 10, by: Sequence[str] = ("feature",)) -> DataFrame:
-    """feature, edges: distinct linear quantiles; the outer ones stand for infinity."""
-    return quantile_edges(long, n_bins, by)
+def equal_freq_edges(df: DataFrame, features: Features, n_bins: int = 10) -> Edges:
+    """Of each column the distinct linear quantiles, None without values; the outer ones stand for infinity. Some narrow scans of df, which should be a stored table."""
+    return wide.edges_of(wide.quantiles(df, features, [k / n_bins for k in range(n_bins + 1)]))
+
+
+def edge_table(spark: SparkSession, edges: Edges) -> DataFrame:
+    """feature, edges."""
+    return spark.createDataFrame(list(edges.items()), "feature string, edges array<double>")
 
 
 def binned(long: DataFrame, edges: DataFrame, closed: str = "right", by: Sequence[str] = ("feature",)) -> DataFrame:
@@ -36,22 +44,34 @@ def woe_of(counts: DataFrame, smooth_total: float) -> DataFrame:
     return counts.select("*", woe.alias("woe"), ((p - n) * woe).alias("iv_part"))
 
 
-def woe_table(long: DataFrame, label: str = "label", n_bins: int = 10, edges: DataFrame | None = None) -> DataFrame:
-    """feature, bin, pos, neg, woe, iv_part over right-closed bins and a bin of missing values."""
-    cells = binned(long, equal_freq_edges(long, n_bins) if edges is None else edges)
-    counts = cells.filter(F.col(label).isNotNull()).groupBy("feature", "bin").agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
-    return woe_of(counts, 0.5)
+def label_counts(df: DataFrame, features: Features, edges: Edges, label: str = "label") -> DataFrame:
+    """feature, bin, pos, neg: rows of both labels in right-closed bins, missing values in -1; one scan. Rows without a label are left out."""
+    counts = wide.border_counts(df, features, {f: wide.inner(e) for f, e in edges.items()}, F.col(label).cast("int"), 2)
+    each = lambda c: F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0))
+    return wide.bin_counts(counts).groupBy("feature", "bin").agg(each(1).alias("pos"), each(0).alias("neg"))
+
 
+def woe_table(df: DataFrame, features: Features, label: str = "label", n_bins: int = 10, edges: Edges | None = None) -> DataFrame:
+    """feature, bin, pos, neg, woe, iv_part over right-closed bins of the quantiles (or of given edges) and a bin of missing values; columns without values have none."""
+    edges = equal_freq_edges(df, features, n_bins) if edges is None else edges
+    columns = {f: c for f, c in wide.as_columns(features).items() if edges.get(f) is not None}
+    return woe_of(label_counts(df, columns, edges, label), 0.5) if columns else woe_of(df.sparkSession.createDataFrame([], "feature string, bin long, pos long, neg long"), 0.5)
 
-def iv_table(long: DataFrame, label: str = "label", n_bins: int = 10) -> DataFrame:
-    """feature, iv, auc: the AUC of the woe as a score, folded to one half and more; null for a single class."""
-    table = woe_table(long, label, n_bins)
+
+def iv_of(table: DataFrame) -> DataFrame:
+    """feature, iv, auc from a table of bins with pos, neg, woe and iv_part: the AUC of the woe as a score, folded to one half and more; null for a single class."""
     iv = table.groupBy("feature").agg(F.sum("iv_part").alias("iv"))
-    scored = table.groupBy("feature", F.round("woe", 9).alias("score")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    a = auc_of(scored.filter("score IS NOT NULL"), ["feature"])
+    scored = table.filter("woe IS NOT NULL").groupBy("feature", F.round("woe", 9).alias("score")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    below = F.sum("neg").over(Window.partitionBy("feature").orderBy("score")) - F.col("neg")  # a row for each bin
+    a = scored.withColumn("below", below).groupBy("feature").agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
     return iv.join(a, "feature", "left").select("feature", "iv", F.greatest("auc", 1 - F.col("auc")).alias("auc"))
 
 
+def iv_table(df: DataFrame, features: Features, label: str = "label", n_bins: int = 10) -> DataFrame:
+    """feature, iv, auc over the quantile bins of numeric columns."""
+    return iv_of(woe_table(df, features, label, n_bins))
+
+
 def top_levels(cats: DataFrame, k: int = 50, groups: Sequence[str] = ("feature",)) -> DataFrame:
     """groups, value: the k most frequent levels of each group, ties by name."""
     counts = cats.filter("value IS NOT NULL").groupBy(*groups, "value").agg(F.count("*").alias("c"))
@@ -66,7 +86,7 @@ def category_bins(cats: DataFrame, k: int = 50) -> DataFrame:
 
 
 def mixed_bins(long: DataFrame, cats: DataFrame, n_bins: int = 10, k: int = 50) -> DataFrame:
-    numeric = binned(long, equal_freq_edges(long, n_bins)).withColumn("bin", F.when(F.col("bin") == MISSING, "__nan__").otherwise(F.col("bin").cast("string")))
+    numeric = binned(long, quantile_edges(long, n_bins)).withColumn("bin", F.when(F.col("bin") == MISSING, "__nan__").otherwise(F.col("bin").cast("string")))
     return numeric.drop("value").unionByName(category_bins(cats, k).drop("value"))
 
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.functions.primitives import bin_index, inner, prefix_sums, quantile_edges
+from plumbline.functions import wide
+from plumbline.functions.primitives import bin_index, inner, number, prefix_sums, quantile_edges
 
-from .binning import binned, top_levels
+from .binning import Edges, Features, binned, equal_freq_edges, iv_of, quality_report, top_levels, woe_table
 
 
 def psi_terms(cells: DataFrame, groups: Sequence[str], share) -> DataFrame:
@@ -32,16 +34,73 @@ def _sides(rows: DataFrame, groups: Sequence[str], base: Column, comparison: Col
     return rows.groupBy(*groups, "bin").agg(F.count_if(base).alias("a"), F.count_if(comparison).alias("b"))
 
 
-def psi_numeric(long: DataFrame, base: str = "train", comparison: str = "oot", n_bins: int = 10) -> DataFrame:
-    """feature, psi: bins (a, b] of the base, missing is a bin, a share of zero is 1e-6. A feature whose edges collapse is compared by value."""
-    rows = long.filter(F.col("split").isin(base, comparison))
-    edges = quantile_edges(rows.filter(F.col("split") == base), n_bins)
-    wide = edges.filter(F.size("edges") > 2)
-    cells = binned(rows, wide).select("feature", "split", F.col("bin").cast("string").alias("bin"))
-    flat = rows.join(F.broadcast(edges.filter("size(edges) <= 2 OR edges IS NULL").select("feature")), "feature")
-    narrow = category_cells(flat.withColumn("value", F.col("value").cast("string")), base)
-    both = cells.unionByName(narrow)
-    return psi_terms(_sides(both, ["feature"], F.col("split") == base, F.col("split") == comparison), ["feature"], _zero_to(1e-6))
+def _side(split: str, base: str, comparison: str) -> Column:
+    return F.when(F.col(split) == base, 0).when(F.col(split) == comparison, 1)
+
+
+def _pairs(bins: DataFrame) -> DataFrame:
+    each = lambda c: F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0))
+    return bins.groupBy("feature", "bin").agg(each(0).alias("a"), each(1).alias("b"))
+
+
+def base_edges(df: DataFrame, features: Features, base: str = "train", n_bins: int = 10, split: str = "split") -> Edges:
+    """The quantile edges of each column over the rows of one split."""
+    return equal_freq_edges(df, {f: F.when(F.col(split) == base, c) for f, c in wide.as_columns(features).items()}, n_bins)
+
+
+def psi_numeric(df: DataFrame, features: Features, base: str = "train", comparison: str = "oot", n_bins: int = 10, split: str = "split", edges: Edges | None = None) -> DataFrame:
+    """feature, psi: bins (a, b] of the base, missing is a bin, a share of zero is 1e-6. A column whose edges collapse is compared by value: those the base has, and all others.
+
+    Some narrow scans of df, which should be a stored table; of columns that
+    are compared by value, a task's distinct values move.
+    """
+    columns, side = wide.as_columns(features), _side(split, base, comparison)
+    edges = base_edges(df, features, base, n_bins, split) if edges is None else edges
+    flat = [f for f in columns if len(edges.get(f) or ()) <= 2]
+    counts = wide.border_counts(df, columns, {f: [] if f in flat else wide.inner(edges[f]) for f in columns}, side, 2)
+    counts = df.sparkSession.createDataFrame(counts.collect(), counts.schema)  # a row for each column and side
+    binned_ = counts.filter(~F.col("feature").isin(flat))
+    psi = psi_terms(_pairs(wide.bin_counts(binned_)), ["feature"], _zero_to(1e-6))
+    if not flat:
+        return psi
+    sides = {(r.feature, r["class"]): (sum(r.codes), r.missing) for r in counts.filter(F.col("feature").isin(flat)).collect()}
+    rows = [max([sum(v) for (_, k), v in sides.items() if k == s], default=0) for s in (0, 1)]
+    share = lambda n, k: np.where(n == 0, 1e-6, n / max(rows[k], 1))
+
+    def term(a, b):
+        p, q = share(np.asarray(a, float), 0), share(np.asarray(b, float), 1)
+        return float(((q - p) * np.log(q / p)).sum())
+
+    def levels(values: np.ndarray, n: np.ndarray) -> dict:
+        seen = n[:, 0] > 0
+        return {"t": term(n[seen, 0], n[seen, 1]), "other": int(n[~seen, 1].sum())}
+
+    parts = wide.value_counts(df, {f: columns[f] for f in flat}, levels, "t double, other long", sum(rows), side, 2)
+    found = {r.feature: (r.t, r.other) for r in parts.groupBy("feature").agg(F.sum("t").alias("t"), F.sum("other").alias("other")).collect()}
+    out = []
+    for f in flat:
+        (t, other), (a, b) = found.get(f, (0.0, 0)), (sides.get((f, k), (0, 0))[1] for k in (0, 1))
+        if a:
+            t += term(a, b)
+        else:
+            other += b
+        if other:
+            t += term(0, other)
+        if any((f, k) in sides for k in (0, 1)):
+            out.append((f, t))
+    return psi.unionByName(df.sparkSession.createDataFrame(out, "feature string, psi double"))
+
+
+def feature_report(df: DataFrame, features: Features, label: str = "label", base: str = "train", comparison: str = "oot", n_bins: int = 10, split: str = "split") -> DataFrame:
+    """quality_report of numeric columns: edges over all rows and over the base are sought in the same scans of df, which should be a stored table."""
+    columns = wide.as_columns(features)
+    both = {(f, k): F.when(F.col(split) == base, c) if k else c for f, c in columns.items() for k in (0, 1)}
+    about = wide.moments(df, both)
+    edges = wide.edges_of(wide.quantiles(df, both, [k / n_bins for k in range(n_bins + 1)], about))
+    iv = iv_of(woe_table(df, columns, label, edges={f: edges[f, 0] for f in columns}))
+    psi = psi_numeric(df, columns, base, comparison, split=split, edges={f: edges[f, 1] for f in columns})
+    known = [(f, 1 - about[f, 0]["n"] / about[f, 0]["rows"] if about[f, 0]["rows"] else None) for f in columns]
+    return quality_report(iv, psi, df.sparkSession.createDataFrame(known, "feature string, missing_rate double"))
 
 
 def category_cells(cats: DataFrame, base: str) -> DataFrame:
@@ -96,11 +155,16 @@ def signed_bins(long: DataFrame, fit: Column, n_bins: int = 10) -> DataFrame:
     return joined.withColumn("bin", signed_label(F.col("value"), F.coalesce(inner(F.col("edges")), F.array().cast("array<double>")))).drop("edges")
 
 
-def psi_signed(long: DataFrame, base: str = "train", comparison: str = "oot", n_bins: int = 10) -> DataFrame:
-    """feature, psi, level over signed bins, 1e-6 added to each share."""
-    rows = long.filter(F.col("split").isin(base, comparison))
-    cells = _sides(signed_bins(rows, F.col("split") == base, n_bins), ["feature"], F.col("split") == base, F.col("split") == comparison)
-    out = psi_terms(cells, ["feature"], _plus(1e-6))
+def psi_signed(df: DataFrame, features: Features, base: str = "train", comparison: str = "oot", n_bins: int = 10, split: str = "split") -> DataFrame:
+    """feature, psi, level over missing, negative, zero and the deciles of the base's positive values; 1e-6 is added to each share. Some narrow scans of df."""
+    columns = wide.as_columns(features)
+    edges = equal_freq_edges(df, {f: F.when((F.col(split) == base) & (number(c) > 0), c) for f, c in columns.items()}, n_bins)
+    borders = {f: sorted({0.0, *wide.inner(edges[f])}) for f in columns}  # bin 0 is below zero; code 1 is zero itself
+    counts = wide.border_counts(df, columns, borders, _side(split, base, comparison), 2)
+    code = F.posexplode(F.concat("codes", F.array("missing"))).alias("code", "n")
+    rows = counts.select("feature", "class", F.size("codes").alias("width"), code).filter("n > 0")
+    label = F.when(F.col("code") == F.col("width"), "Missing").when(F.col("code") == 0, "Negative").when(F.col("code") == 1, "Zero").otherwise(F.concat(F.lit("Positive_Q"), F.floor(F.col("code") / 2).cast("string")))
+    out = psi_terms(_pairs(rows.withColumn("bin", label)), ["feature"], _plus(1e-6))
     return out.withColumn("level", F.when(F.col("psi") > 0.25, "severe").when(F.col("psi") > 0.1, "warning").otherwise("ok"))
 
 

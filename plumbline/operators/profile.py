@@ -1,52 +1,76 @@
-"""Profiles and audits of a sample: statistics of all columns in one long form."""
+"""Profiles and audits of a sample."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.functions.primitives import melt, quantiles
+from plumbline.functions import wide
+from plumbline.functions.primitives import melt
+
+
+def _distinct(values: np.ndarray, counts: np.ndarray) -> dict:
+    return {"distinct": len(values), "top": int(counts.sum(1).max(initial=0))}
+
+
+def distinct_values(df: DataFrame, features: Sequence[str], rows: int) -> DataFrame:
+    """feature, distinct, top (rows of the most frequent value) of the values that are there."""
+    parts = wide.value_counts(df, features, _distinct, "distinct long, top long", rows)
+    return parts.groupBy("feature").agg(F.sum("distinct").alias("distinct"), F.max("top").alias("top"))
 
 
 def basic_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """feature, dtype, n, missing_rate, distinct, mean, std, min, q25, median, q75, max; an absent column has dtype MISSING_COL. Text columns have no moments."""
+    """feature, dtype, n, missing_rate, distinct, mean, std, min, q25, median, q75, max; an absent column has dtype MISSING_COL. Text columns have no moments.
+
+    Numeric columns are read by some narrow scans, so df should be a stored
+    table; a task's distinct values are all that moves.
+    """
     kinds = dict(df.dtypes)
     here = [f for f in features if f in kinds]
     text = [f for f in here if kinds[f] in ("string", "boolean", "date", "timestamp")]
     numeric = [f for f in here if f not in text]
-    v, parts = F.col("value"), []
-    count = [F.count(v).alias("n"), F.expr("1 - count(value) / count(*)").alias("missing_rate"), F.count_distinct(v).alias("distinct")]
-    if numeric:
-        std = F.when(F.count(v) == 1, 0.0).otherwise(F.stddev_samp(v))
-        long = melt(df, numeric)
-        moments = long.groupBy("feature").agg(*count, F.avg(v).alias("mean"), std.alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
-        parts.append(moments.join(F.broadcast(quantiles(long, (0.25, 0.5, 0.75))), "feature"))
+    v, spark = F.col("value"), df.sparkSession
+    shape = "feature string, dtype string, n long, missing_rate double, mean double, std double, min double, q25 double, median double, q75 double, max double"
+    about = wide.moments(df, numeric) if numeric else {}
+    quarters = wide.quantiles(df, numeric, (0.25, 0.5, 0.75), about) if numeric else {}
+    known = []
+    for f in features:
+        m = about.get(f)
+        if m is None:
+            known.append((f, kinds.get(f, "MISSING_COL"), *[None] * 9))
+            continue
+        n, rows = m["n"], m["rows"]
+        std = None if not n else 0.0 if n == 1 else math.sqrt(m["m2"] / (n - 1))
+        known.append((f, kinds[f], n, 1 - n / rows if rows else None, m["mean"], std, m["min"], *(quarters[f] or [None] * 3), m["max"]))
+    named = spark.createDataFrame(known, shape)
+    parts = [distinct_values(df, numeric, max([m["rows"] for m in about.values()], default=0)).select("feature", F.lit(None).cast("long").alias("n2"), F.lit(None).cast("double").alias("rate2"), "distinct")] if numeric else []
     if text:
-        none = F.lit(None).cast("double")
-        parts.append(melt(df, text, text=True).groupBy("feature").agg(*count).select("*", *[none.alias(c) for c in ("mean", "std", "min", "max")], F.array().cast("array<double>").alias("q")))
-    names = df.sparkSession.createDataFrame([(f, kinds.get(f, "MISSING_COL")) for f in features], "feature string, dtype string")
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    at = lambda k: F.get("q", F.lit(k))
-    return F.broadcast(names).join(out, "feature", "left").select("feature", "dtype", "n", "missing_rate", "distinct", "mean", "std", "min", at(0).alias("q25"), at(1).alias("median"), at(2).alias("q75"), "max")
+        parts.append(melt(df, text, text=True).groupBy("feature").agg(F.count(v).alias("n2"), F.expr("1 - count(value) / count(*)").alias("rate2"), F.count_distinct(v).alias("distinct")))
+    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]) if parts else spark.createDataFrame([], "feature string, n2 long, rate2 double, distinct long")
+    none = F.when(F.col("dtype") != "MISSING_COL", 0)
+    return F.broadcast(named).join(found, "feature", "left").select(
+        "feature", "dtype", F.coalesce("n", "n2").alias("n"), F.coalesce("missing_rate", "rate2").alias("missing_rate"), F.coalesce("distinct", none).cast("long").alias("distinct"),
+        "mean", "std", "min", "q25", "median", "q75", "max",
+    )
 
 
-def feature_quality(long: DataFrame) -> DataFrame:
-    """feature, coverage, distinct_ratio, outlier_share, is_constant, top_share, high_cardinality, from (feature, value)."""
-    counts = long.groupBy("feature", "value").agg(F.count("*").alias("c"))
-    v, c = F.col("value"), F.col("c")
-    base = counts.groupBy("feature").agg(
-        F.sum(c).alias("rows"), F.sum(F.when(v.isNotNull(), c).otherwise(0)).alias("n"), F.count(v).alias("distinct"),
-        F.max(F.when(v.isNotNull(), c)).alias("top"),
-    ).join(F.broadcast(quantiles(counts, (0.01, 0.99), times="c")), "feature")
-    reach = 3 * (F.get("q", F.lit(1)) - F.get("q", F.lit(0)))
-    bounds = base.select("feature", (F.get("q", F.lit(0)) - reach).alias("lo"), (F.get("q", F.lit(1)) + reach).alias("hi"))
-    out = counts.join(F.broadcast(bounds), "feature").filter("value < lo OR value > hi").groupBy("feature").agg(F.sum("c").alias("out"))
+def feature_quality(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """feature, coverage, distinct_ratio, outlier_share, is_constant, top_share, high_cardinality of numeric columns; some narrow scans of df."""
+    about = wide.moments(df, features)
+    ends = wide.quantiles(df, features, (0.01, 0.99), about)
+    bounds = {f: sorted({q[0] - 3 * (q[1] - q[0]), q[1] + 3 * (q[1] - q[0])}) for f, q in ends.items() if q}
+    beyond = {r.feature: r.codes[0] + r.codes[2 * len(bounds[r.feature])] for r in wide.border_counts(df, list(bounds), bounds).collect()} if bounds else {}  # a row for each column
+    known = df.sparkSession.createDataFrame([(f, m["rows"], m["n"], beyond.get(f, 0)) for f, m in about.items()], "feature string, rows long, n long, out long")
+    found = distinct_values(df, features, max(m["rows"] for m in about.values()))
+    base = F.broadcast(known).join(found, "feature", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
     ratio = F.expr("try_divide(distinct, n)")
-    return base.join(out, "feature", "left").select(
-        "feature", (F.col("n") / F.col("rows")).alias("coverage"), ratio.alias("distinct_ratio"), F.expr("try_divide(coalesce(out, 0), n)").alias("outlier_share"),
+    return base.select(
+        "feature", F.expr("try_divide(n, rows)").alias("coverage"), ratio.alias("distinct_ratio"), F.expr("try_divide(out, n)").alias("outlier_share"),
         (F.col("distinct") <= 1).alias("is_constant"), F.expr("try_divide(top, n)").alias("top_share"), ((ratio > 0.95) & (F.col("distinct") > 100)).alias("high_cardinality"),
     )
 

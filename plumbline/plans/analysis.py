@@ -8,7 +8,7 @@ from plumbline.functions.primitives import melt
 from plumbline.operators import binning, drift, profile, screening
 
 from .registry import query
-from .views import CATEGORICAL, CATS, LONG, NUMERIC, SAMPLE, TOKENS, long_sample, read, sample, tokens
+from .views import CATEGORICAL, CATS, LONG, NUMERIC, SAMPLE, TOKENS, long_sample, over_sample, read, sample, tokens
 
 S, L, C = f"WITH {SAMPLE}", f"WITH {LONG}", f"WITH {CATS}"
 Q10 = "[0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]"
@@ -42,7 +42,7 @@ IV_TABLE = """ivs AS (SELECT feature, sum(iv_part) AS iv FROM woe GROUP BY 1), b
     UNION ALL SELECT 'c_mktsegment', 'string', count(c_mktsegment), 1 - count(c_mktsegment) / count(*), count(DISTINCT c_mktsegment), NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM sample
     UNION ALL SELECT 'gone', 'MISSING_COL', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL""", "missing_rate mean std min q25 median q75 max")
 def _(spark, d):
-    return profile.basic_stats(sample(spark, d), [*NUMERIC, "c_mktsegment", "gone"])
+    return over_sample(spark, d, lambda rows: profile.basic_stats(rows, [*NUMERIC, "c_mktsegment", "gone"]))
 
 
 @query("d2_feature_quality", f"""{L}, b AS (SELECT feature, count(*) AS r, count(value) AS n, count(DISTINCT value) AS d, quantile_cont(value, 0.01) AS q1, quantile_cont(value, 0.99) AS q9 FROM long GROUP BY 1),
@@ -50,7 +50,7 @@ def _(spark, d):
     o AS (SELECT feature, count(*) FILTER (value < q1 - 3 * (q9 - q1) OR value > q9 + 3 * (q9 - q1)) AS o FROM long JOIN b USING (feature) GROUP BY 1)
     SELECT feature, n / r AS coverage, d / n AS distinct_ratio, o / n AS outlier_share, d <= 1 AS is_constant, top / n AS top_share, d / n > 0.95 AND d > 100 AS high_cardinality FROM b JOIN t USING (feature) JOIN o USING (feature)""", "coverage distinct_ratio outlier_share top_share")
 def _(spark, d):
-    return profile.feature_quality(long_sample(spark, d))
+    return over_sample(spark, d, lambda rows: profile.feature_quality(rows, NUMERIC))
 
 
 QUALITY = """vc AS (SELECT split, feature, value, count(*) AS c FROM long GROUP BY 1, 2, 3),
@@ -129,33 +129,34 @@ PSI = f"""pe AS ({edges_sql('long', where="split = 'train'")}), pc AS (SELECT fe
 @query("d13_profile_rules", f"""{L}, {PSI}, m AS (SELECT feature FROM long GROUP BY 1 HAVING 1 - count(value) / count(*) > 0.5), n AS (SELECT count(*) AS n, avg(label) AS rate FROM sample)
     SELECT 'small_sample' AS rule, 'rows' AS subject FROM n WHERE n < 20000 UNION ALL SELECT 'imbalance', 'label' FROM n WHERE least(rate, 1 - rate) < 0.05 UNION ALL SELECT 'missing', feature FROM m UNION ALL SELECT 'strong_drift', feature FROM psi WHERE psi > 0.25""")
 def _(spark, d):
-    rows = sample(spark, d)
-    top = rows.agg(F.count("*"), F.avg("label")).first()
-    return profile.profile_rules(profile.basic_stats(rows, NUMERIC), drift.psi_numeric(long_sample(spark, d)), top[0], top[1])
+    def make(rows):
+        top = rows.agg(F.count("*"), F.avg("label")).first()
+        return profile.profile_rules(profile.basic_stats(rows, NUMERIC), drift.psi_numeric(rows, NUMERIC), top[0], top[1])
+
+    return over_sample(spark, d, make)
 
 
 @query("d15_quality_summary", f"""{L}, {QUALITY}, {PSI}
     SELECT kind, band, count(*) AS n FROM (SELECT 'severity' AS kind, severity AS band FROM quality UNION ALL SELECT 'missing', CASE WHEN missing_rate <= 0.5 THEN 'low' WHEN missing_rate <= 0.8 THEN 'high' ELSE 'severe' END FROM quality
     UNION ALL SELECT 'psi', CASE WHEN psi <= 0.1 THEN 'stable' WHEN psi <= 0.25 THEN 'moderate' ELSE 'strong' END FROM psi) GROUP BY 1, 2""")
 def _(spark, d):
-    long = long_sample(spark, d)
-    return profile.quality_summary(profile.quality_by_split(long), drift.psi_numeric(long))
+    return over_sample(spark, d, lambda rows: profile.quality_summary(profile.quality_by_split(melt(rows, NUMERIC, ["split"])), drift.psi_numeric(rows, NUMERIC)))
 
 
 @query("e1_equal_freq_edges", f"{L}, edges AS ({edges_sql('long')}) SELECT feature, len(edges) AS n_edges, list_sum(edges) AS total FROM edges", "total")
 def _(spark, d):
-    made = binning.equal_freq_edges(long_sample(spark, d))
+    made = over_sample(spark, d, lambda rows: binning.edge_table(spark, binning.equal_freq_edges(rows, NUMERIC)))
     return made.select("feature", F.size("edges").alias("n_edges"), F.aggregate("edges", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 @query("e2_woe_table", f"{L}, {IV} SELECT * FROM woe", "woe iv_part", "bin pos neg")
 def _(spark, d):
-    return binning.woe_table(long_sample(spark, d))
+    return over_sample(spark, d, lambda rows: binning.woe_table(rows, NUMERIC))
 
 
 @query("e2_iv_table", f"{L}, {IV}, {IV_TABLE} SELECT * FROM iv_table", "iv auc")
 def _(spark, d):
-    return binning.iv_table(long_sample(spark, d))
+    return over_sample(spark, d, lambda rows: binning.iv_table(rows, NUMERIC))
 
 
 MIXED = f"""e AS ({edges_sql('long')}), bins AS (SELECT feature, CASE WHEN value IS NULL THEN '__nan__' ELSE CAST({bin_sql()} AS VARCHAR) END AS bin, label, arm FROM long JOIN e USING (feature)
@@ -199,10 +200,12 @@ def _(spark, d):
 
 @query("e7_woe_encode", f"{L}, {IV} SELECT feature, count(*) AS n, avg(w.woe) AS mean_woe, max(w.woe) AS most FROM (SELECT feature, {bin_sql()} AS bin FROM long JOIN edges USING (feature)) JOIN woe w USING (feature, bin) GROUP BY 1", "mean_woe most")
 def _(spark, d):
-    long = long_sample(spark, d)
-    edges = binning.equal_freq_edges(long)
-    made = binning.woe_encode(long, edges, binning.woe_table(long, edges=edges))
-    return made.groupBy("feature").agg(F.count("*").alias("n"), F.avg("woe").alias("mean_woe"), F.max("woe").alias("most"))
+    def make(rows):
+        edges = binning.equal_freq_edges(rows, NUMERIC)
+        made = binning.woe_encode(melt(rows, NUMERIC), binning.edge_table(spark, edges), binning.woe_table(rows, NUMERIC, edges=edges))
+        return made.groupBy("feature").agg(F.count("*").alias("n"), F.avg("woe").alias("mean_woe"), F.max("woe").alias("most"))
+
+    return over_sample(spark, d, make)
 
 
 REPORT = f"""{IV}, {IV_TABLE}, {PSI}, st AS (SELECT feature, 1 - count(value) / count(*) AS missing_rate FROM long GROUP BY 1)
@@ -212,13 +215,12 @@ REPORT = f"""{IV}, {IV_TABLE}, {PSI}, st AS (SELECT feature, 1 - count(value) /
 
 @query("e8_quality_report", f"{L}, {REPORT}", "iv auc psi missing_rate")
 def _(spark, d):
-    long = long_sample(spark, d)
-    return binning.quality_report(binning.iv_table(long), drift.psi_numeric(long), profile.basic_stats(sample(spark, d), NUMERIC))
+    return over_sample(spark, d, lambda rows: drift.feature_report(rows, NUMERIC))
 
 
 @query("f1_psi_numeric", f"{L}, {PSI} SELECT * FROM psi", "psi")
 def _(spark, d):
-    return drift.psi_numeric(long_sample(spark, d))
+    return over_sample(spark, d, lambda rows: drift.psi_numeric(rows, NUMERIC))
 
 
 @query("f2_psi_categorical", f"""{C}, b AS (SELECT feature, value, count(*) FILTER (split = 'train') AS a, count(*) FILTER (split = 'oot') AS b FROM cats WHERE split IN ('train', 'oot') GROUP BY 1, 2),
@@ -252,7 +254,7 @@ def signed_sql(fit: str, keep: str = "split") -> str:
     s AS (SELECT feature, a / sum(a) OVER w + 1e-6 AS p, b / sum(b) OVER w + 1e-6 AS q FROM b WINDOW w AS (PARTITION BY feature)), o AS (SELECT feature, sum((q - p) * ln(q / p)) AS psi FROM s GROUP BY 1)
     SELECT feature, psi, CASE WHEN psi > 0.25 THEN 'severe' WHEN psi > 0.1 THEN 'warning' ELSE 'ok' END AS level FROM o""", "psi")
 def _(spark, d):
-    return drift.psi_signed(long_sample(spark, d))
+    return over_sample(spark, d, lambda rows: drift.psi_signed(rows, NUMERIC))
 
 
 @query("f4_psi_signed_categorical", f"""{C}, b AS (SELECT feature, value, count(*) FILTER (split = 'train') AS a, count(*) FILTER (split = 'oot') AS b FROM cats WHERE split IN ('train', 'oot') GROUP BY 1, 2),
@@ -307,15 +309,13 @@ STATS = """st AS (SELECT feature, count(value) AS n, count(DISTINCT value) AS d,
 @query("g1_boundary_filter", f"""{L}, {IV}, {IV_TABLE}, {STATS}, r AS (SELECT feature, array_to_string(list_filter([CASE WHEN n > 0 AND (d <= 1 OR std = 0) THEN 'constant' END, CASE WHEN iv > 1 THEN 'leak' END, CASE WHEN d / (SELECT count(*) FROM sample) > 0.9 THEN 'id_like' END, CASE WHEN n = 0 THEN 'all_missing' END], lambda x: x IS NOT NULL), ',') AS reasons FROM st JOIN iv_table USING (feature))
     SELECT feature, reasons, reasons = '' AS kept FROM r""")
 def _(spark, d):
-    rows = sample(spark, d)
-    return screening.boundary_filter(profile.basic_stats(rows, NUMERIC), binning.iv_table(long_sample(spark, d)), rows.count())
+    return over_sample(spark, d, lambda rows: screening.boundary_filter(profile.basic_stats(rows, NUMERIC), binning.iv_table(rows, NUMERIC), rows.count()))
 
 
 @query("g2_selection_rules", f"""{L}, {IV}, {IV_TABLE}, {PSI}, {STATS}, r AS (SELECT feature, array_to_string(list_filter([CASE WHEN psi > 0.1 THEN 'high_psi' END, CASE WHEN iv IS NULL OR iv < 0.02 THEN 'low_iv' END, CASE WHEN missing_rate > 0.95 THEN 'high_missing' END], lambda x: x IS NOT NULL), ',') AS reasons FROM st JOIN iv_table USING (feature) JOIN psi USING (feature))
     SELECT feature, reasons, reasons = '' AS kept FROM r""")
 def _(spark, d):
-    long = long_sample(spark, d)
-    return screening.selection_rules(profile.basic_stats(sample(spark, d), NUMERIC), binning.iv_table(long), drift.psi_numeric(long))
+    return over_sample(spark, d, lambda rows: screening.selection_rules(profile.basic_stats(rows, NUMERIC), binning.iv_table(rows, NUMERIC), drift.psi_numeric(rows, NUMERIC)))
 
 
 @query("g3_recommend_features", f"""{L}, {QUALITY}, {signed_sql("split = 'train'")}, b AS (SELECT feature, bin, count(*) FILTER (split = 'train') AS a, count(*) FILTER (split = 'oot') AS b FROM sb WHERE split IN ('train', 'oot') GROUP BY 1, 2),
@@ -323,15 +323,13 @@ def _(spark, d):
     f AS (SELECT feature, severity AS level, 'quality' AS source FROM quality WHERE split = 'train' UNION ALL SELECT feature, CASE WHEN psi > 0.25 THEN 'severe' WHEN psi > 0.1 THEN 'warning' ELSE 'ok' END, 'psi' FROM o)
     SELECT feature, count(*) FILTER (level = 'severe') = 0 AS keep, coalesce(string_agg(source || '_severe', ',' ORDER BY source) FILTER (level = 'severe'), '') AS reasons, count(*) FILTER (level = 'warning') AS warnings FROM f GROUP BY 1""")
 def _(spark, d):
-    long = long_sample(spark, d)
-    return screening.recommend_features(profile.quality_by_split(long), drift.psi_signed(long))
+    return over_sample(spark, d, lambda rows: screening.recommend_features(profile.quality_by_split(melt(rows, NUMERIC, ["split"])), drift.psi_signed(rows, NUMERIC)))
 
 
 @query("g4_gate_signal", f"""{L}, a AS ({auc_sql('long', 'feature', 'value')}), {PSI}, {STATS} SELECT feature, CASE WHEN levels > 1 THEN greatest(a, 1 - a) END AS auc, 1 - missing_rate AS coverage, psi,
     coalesce(CASE WHEN levels > 1 THEN greatest(a, 1 - a) END >= 0.5 AND 1 - missing_rate >= 0.3 AND psi <= 0.3 AND d > 1, false) AS passed FROM st JOIN a USING (feature) JOIN psi USING (feature)""", "auc coverage psi")
 def _(spark, d):
-    long = long_sample(spark, d)
-    return screening.gate_signal(binning.univariate_auc(long), profile.basic_stats(sample(spark, d), NUMERIC), drift.psi_numeric(long))
+    return over_sample(spark, d, lambda rows: screening.gate_signal(binning.univariate_auc(melt(rows, NUMERIC, ["label"])), profile.basic_stats(rows, NUMERIC), drift.psi_numeric(rows, NUMERIC)))
 
 
 _WIDE = "wide AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {f}) + (count(*) OVER (PARTITION BY {f}) - 1) / 2.0 AS {f}" for f in ("a", "b", "c", "e")) + " FROM (SELECT coalesce(c_acctbal, 0) AS a, coalesce(n_lines, 0) AS b, coalesce(sum_qty, 0) AS c, coalesce(avg_disc, 0) AS e FROM sample))"

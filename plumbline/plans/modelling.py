@@ -9,7 +9,7 @@ from plumbline.operators import binning, drift, features, leakage, models, profi
 from plumbline.streaming import monitor
 
 from .registry import query
-from .views import NUMERIC, long_sample, read, sample, tokens
+from .views import NUMERIC, long_sample, over_sample, read, sample, tokens
 
 FE = ["c_acctbal", "n_lines", "sum_qty", "avg_disc"]
 
@@ -30,7 +30,7 @@ def _(spark, d):
     long = long_sample(spark, d)
     rows = sample(spark, d)
     shapes = [profile.text_shape(rows, c).select(F.lit(c).alias("feature"), "composite") for c in ("c_mktsegment", "o_orderpriority")]
-    return leakage.leak_classify(binning.univariate_auc(long), profile.feature_quality(long), text=shapes[0].unionByName(shapes[1]))
+    return leakage.leak_classify(binning.univariate_auc(long), over_sample(spark, d, lambda rows: profile.feature_quality(rows, NUMERIC)), text=shapes[0].unionByName(shapes[1]))
 
 
 @query("i6_lr_oof_score")

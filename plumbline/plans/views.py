@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.primitives import melt
+from plumbline.functions.primitives import melt, over
 
 NUMERIC = ["c_acctbal", "n_lines", "sum_qty", "avg_disc", "signed", "const_f", "sparse_f"]
 CATEGORICAL = ["c_mktsegment", "o_orderpriority"]
@@ -61,6 +63,11 @@ def long_sample(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ("id",
     return melt(sample(spark, sf_dir), NUMERIC, keep)
 
 
+def over_sample(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """make(sample) with the sample's columns that profiles need stored once."""
+    return over(sample(spark, sf_dir).select("id", "label", "arm", "outcome", "split", "score", *NUMERIC, *CATEGORICAL), make, "sample")
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user_id, day, seq: the event types of a user's day in order of time, joined by commas."""
     events = read(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", "event_type")
