@@ -14,8 +14,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .primitives import number
-
 #: Columns that one task reads together; order statistics that a task keeps of a column.
 BLOCK, SKETCH = 128, 64
 #: Values of a column between two borders that are sorted at last; borders tried for each rank in a scan.
@@ -24,17 +22,23 @@ REST, TRIES = 4096, 4
 HELD_BYTES, GROUP_VALUES = 64 << 20, 4_000_000
 
 
-def as_columns(features: Sequence[str] | Mapping[str, Column]) -> dict[str, Column]:
-    return dict(features) if isinstance(features, Mapping) else {f: F.col(f"`{f}`") for f in features}
+def as_columns(features: Sequence[str] | Mapping[str, str]) -> dict[str, str]:
+    """Names with the SQL expression of each; thousands of them are made faster as text than as columns."""
+    return dict(features) if isinstance(features, Mapping) else {f: quoted(f) for f in features}
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def scan(df: DataFrame, columns: Mapping[str, Column], run: Callable, schema: str, keep: Mapping[str, Column] | None = None) -> DataFrame:
+def scan(df: DataFrame, columns: Mapping[str, str], run: Callable, schema: str, keep: Column | None = None) -> DataFrame:
     """The rows that run(first, batches) gives; a batch is (values by column and row, kept columns), first the number of its first column."""
-    keep = dict(keep or {})
     parts, names = [], list(columns)
+    if keep is not None:
+        df = df.withColumn("__kept", keep.cast("double"))
     for first in range(0, len(names), BLOCK):
         block = names[first : first + BLOCK]
-        rows = df.select(*[c.alias(f"k{k}") for k, c in enumerate(keep.values())], *[number(columns[f]).alias(f"v{k}") for k, f in enumerate(block)])
+        rows = df.selectExpr(*["__kept"] * (keep is not None), *[f"CAST({columns[f]} AS DOUBLE) AS v{k}" for k, f in enumerate(block)])
 
         def task(batches: Iterator[pa.RecordBatch], first: int = first, n: int = len(block)) -> Iterator[pa.RecordBatch]:
             def each() -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
@@ -56,7 +60,7 @@ def _present(values: np.ndarray) -> np.ndarray:
     return values[~np.isnan(values)]
 
 
-def moments(df: DataFrame, features: Sequence[str] | Mapping[str, Column]) -> dict[str, dict]:
+def moments(df: DataFrame, features: Sequence[str] | Mapping[str, str]) -> dict[str, dict]:
     """Of each column: rows, n, mean, m2 (sum of squared distances from it), min, max, borders (values near its quantiles, in order).
 
     One scan. Borders are order statistics of the tasks' order statistics.
@@ -118,7 +122,7 @@ def _thin(parts: list[np.ndarray]) -> np.ndarray:
     return v[np.linspace(0, len(v) - 1, min(len(v), SKETCH)).astype(np.int64)]
 
 
-def border_counts(df: DataFrame, features: Sequence[str] | Mapping[str, Column], borders: Mapping[str, Sequence[float]], classes: Column | None = None, n_classes: int = 1) -> DataFrame:
+def border_counts(df: DataFrame, features: Sequence[str] | Mapping[str, str], borders: Mapping[str, Sequence[float]], classes: Column | None = None, n_classes: int = 1) -> DataFrame:
     """feature, class, missing, codes: how many values of a class are missing, and how many are where by the borders (in rising order).
 
     One scan. codes[2 j] counts values between border j - 1 and border j,
@@ -146,10 +150,10 @@ def border_counts(df: DataFrame, features: Sequence[str] | Mapping[str, Column],
             yield pa.RecordBatch.from_arrays([pa.array(at[:, 0] + first, pa.int32()), pa.array(at[:, 1], pa.int32()), pa.array(list(some), pa.list_(pa.int64()))], ["feature", "class", "c"])
 
     one = F.lit(0) if classes is None else classes
-    found = scan(df, columns, run, "feature int, class int, c array<long>", {"class": one.cast("double")})
+    found = scan(df, columns, run, "feature int, class int, c array<long>", one)
     summed = found.groupBy("feature", "class").agg(*[F.sum(F.get("c", F.lit(k))).alias(f"c{k}") for k in range(width + 1)])
-    named = F.array(*map(F.lit, names))
-    return summed.select(F.get(named, F.col("feature")).alias("feature"), "class", F.col(f"c{width}").alias("missing"), F.array(*[f"c{k}" for k in range(width)]).alias("codes"))
+    numbered = df.sparkSession.createDataFrame(list(enumerate(names)), "feature int, name string")
+    return summed.join(F.broadcast(numbered), "feature").select(F.col("name").alias("feature"), "class", F.col(f"c{width}").alias("missing"), F.array(*[f"c{k}" for k in range(width)]).alias("codes"))
 
 
 def _key(x: np.ndarray) -> np.ndarray:
@@ -193,7 +197,7 @@ class _Search:
             self.borders += _value(np.array(sorted(keys), np.uint64)).tolist()
 
 
-def quantiles(df: DataFrame, features: Sequence[str] | Mapping[str, Column], at: Sequence[float], about: Mapping[str, dict] | None = None) -> dict[str, list[float] | None]:
+def quantiles(df: DataFrame, features: Sequence[str] | Mapping[str, str], at: Sequence[float], about: Mapping[str, dict] | None = None) -> dict[str, list[float] | None]:
     """Exact linear quantiles of each column's values at the shares; None without values.
 
     Values below borders near each wanted rank are counted in a scan; the
@@ -261,7 +265,7 @@ def bin_counts(counts: DataFrame, closed: str = "right") -> DataFrame:
     return cells.groupBy("feature", "class", "bin").agg(F.sum("n").alias("n"))
 
 
-def value_counts(df: DataFrame, features: Sequence[str] | Mapping[str, Column], summarize: Callable[[np.ndarray, np.ndarray], dict], schema: str, rows: int, classes: Column | None = None, n_classes: int = 1) -> DataFrame:
+def value_counts(df: DataFrame, features: Sequence[str] | Mapping[str, str], summarize: Callable[[np.ndarray, np.ndarray], dict], schema: str, rows: int, classes: Column | None = None, n_classes: int = 1) -> DataFrame:
     """feature and what summarize(values, counts) says of the distinct values of each column and their counts by class, in parts.
 
     Each task sends sorted distinct values with counts, packed, one row for a
@@ -317,7 +321,7 @@ def value_counts(df: DataFrame, features: Sequence[str] | Mapping[str, Column],
 
     one = F.lit(0) if classes is None else classes
     shape = _arrow_schema(df, f"feature string, {schema}")
-    found = scan(df, columns, run, "feature int, part long, keys binary, counts binary", {"class": one.cast("double")})
+    found = scan(df, columns, run, "feature int, part long, keys binary, counts binary", one)
     return found.groupBy("feature", "part").applyInArrow(join, f"feature string, {schema}")
 
 

@@ -14,7 +14,8 @@ from plumbline.functions.primitives import bin_index, inner, quantile_edges
 from .ranking import auc_of, average_ranks, correlation, score_counts
 
 MISSING = -1
-Features = Sequence[str] | Mapping[str, Column]
+#: Names of columns, or names with an SQL expression for each.
+Features = Sequence[str] | Mapping[str, str]
 Edges = dict[str, list[float] | None]
 
 

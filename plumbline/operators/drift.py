@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions import wide
-from plumbline.functions.primitives import bin_index, inner, number, prefix_sums, quantile_edges
+from plumbline.functions.primitives import bin_index, inner, prefix_sums, quantile_edges
 
 from .binning import Edges, Features, binned, equal_freq_edges, iv_of, quality_report, top_levels, woe_table
 
@@ -34,6 +34,11 @@ def _sides(rows: DataFrame, groups: Sequence[str], base: Column, comparison: Col
     return rows.groupBy(*groups, "bin").agg(F.count_if(base).alias("a"), F.count_if(comparison).alias("b"))
 
 
+def _is(split: str, value: str) -> str:
+    text = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"{wide.quoted(split)} = '{text}'"
+
+
 def _side(split: str, base: str, comparison: str) -> Column:
     return F.when(F.col(split) == base, 0).when(F.col(split) == comparison, 1)
 
@@ -45,7 +50,7 @@ def _pairs(bins: DataFrame) -> DataFrame:
 
 def base_edges(df: DataFrame, features: Features, base: str = "train", n_bins: int = 10, split: str = "split") -> Edges:
     """The quantile edges of each column over the rows of one split."""
-    return equal_freq_edges(df, {f: F.when(F.col(split) == base, c) for f, c in wide.as_columns(features).items()}, n_bins)
+    return equal_freq_edges(df, {f: f"CASE WHEN {_is(split, base)} THEN {c} END" for f, c in wide.as_columns(features).items()}, n_bins)
 
 
 def psi_numeric(df: DataFrame, features: Features, base: str = "train", comparison: str = "oot", n_bins: int = 10, split: str = "split", edges: Edges | None = None) -> DataFrame:
@@ -94,7 +99,7 @@ def psi_numeric(df: DataFrame, features: Features, base: str = "train", comparis
 def feature_report(df: DataFrame, features: Features, label: str = "label", base: str = "train", comparison: str = "oot", n_bins: int = 10, split: str = "split") -> DataFrame:
     """quality_report of numeric columns: edges over all rows and over the base are sought in the same scans of df, which should be a stored table."""
     columns = wide.as_columns(features)
-    both = {(f, k): F.when(F.col(split) == base, c) if k else c for f, c in columns.items() for k in (0, 1)}
+    both = {(f, k): f"CASE WHEN {_is(split, base)} THEN {c} END" if k else c for f, c in columns.items() for k in (0, 1)}
     about = wide.moments(df, both)
     edges = wide.edges_of(wide.quantiles(df, both, [k / n_bins for k in range(n_bins + 1)], about))
     iv = iv_of(woe_table(df, columns, label, edges={f: edges[f, 0] for f in columns}))
@@ -158,7 +163,7 @@ def signed_bins(long: DataFrame, fit: Column, n_bins: int = 10) -> DataFrame:
 def psi_signed(df: DataFrame, features: Features, base: str = "train", comparison: str = "oot", n_bins: int = 10, split: str = "split") -> DataFrame:
     """feature, psi, level over missing, negative, zero and the deciles of the base's positive values; 1e-6 is added to each share. Some narrow scans of df."""
     columns = wide.as_columns(features)
-    edges = equal_freq_edges(df, {f: F.when((F.col(split) == base) & (number(c) > 0), c) for f, c in columns.items()}, n_bins)
+    edges = equal_freq_edges(df, {f: f"CASE WHEN {_is(split, base)} AND NOT isnan({c}) AND {c} > 0 THEN {c} END" for f, c in columns.items()}, n_bins)
     borders = {f: sorted({0.0, *wide.inner(edges[f])}) for f in columns}  # bin 0 is below zero; code 1 is zero itself
     counts = wide.border_counts(df, columns, borders, _side(split, base, comparison), 2)
     code = F.posexplode(F.concat("codes", F.array("missing"))).alias("code", "n")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import wide
+from plumbline.functions.primitives import written
 from plumbline.operators import binning, drift, profile
 
 AT = [k / 10 for k in range(11)] + [0.01, 0.99, 0.25, 0.755]
@@ -92,9 +93,8 @@ def test_signed_psi(frame, table):
 def test_fifteen_hundred_columns(spark):
     """No row for each cell: what moves are sums of each task and column."""
     n, width = 1500, 1500
-    noise = [F.rand(k).alias(f"c{k}") for k in range(5)]
-    rows = spark.range(n, numPartitions=3).select("id", (F.col("id") % 2).cast("int").alias("label"), F.when(F.col("id") % 3 == 0, "oot").otherwise("train").alias("split"), *noise)
-    wide_rows = rows.select("label", "split", *[((F.col("id") * (2 * k + 1)) % 1009 / (k + 1.0)).alias(f"v{k}") for k in range(width)])
+    rows = spark.range(n, numPartitions=3).selectExpr("cast(id % 2 AS int) AS label", *[f"(id * {2 * k + 1}) % 1009 / {k + 1}.0D AS v{k}" for k in range(width)])
+    wide_rows = written(rows, "wide")
     names = [f"v{k}" for k in range(width)]
     values = {k: np.array([(i * (2 * k + 1)) % 1009 / (k + 1.0) for i in range(n)]) for k in (0, 7, 1499)}
     edges = binning.equal_freq_edges(wide_rows, names)
