@@ -33,9 +33,9 @@ def key_number(df: DataFrame, key: str) -> Column:
     return F.pmod(F.col(key).cast("long") if whole else F.crc32(F.col(key).cast("string")), F.lit(PRIME))
 
 
-def draws(keys: np.ndarray, n_boot: int, seed: int) -> np.ndarray:
-    """Poisson(1) weights, a row for each key and a column for each replicate, fixed by key, replicate and seed."""
-    r = np.arange(n_boot, dtype=np.int64)
+def draws(keys: np.ndarray, n_boot: int, seed: int, first: int = 0) -> np.ndarray:
+    """Poisson(1) weights, a row for each key and a column for each replicate from the first on, fixed by key, replicate and seed."""
+    r = np.arange(first, first + n_boot, dtype=np.int64)
     x = (keys[:, None] * 69621 + r * 16807 + (seed * 48271 + 1)) % PRIME
     x = (x * x + x * 40692 + 12345) % PRIME
     x = (x * x + x * 48271 + r * 7919 + 7) % PRIME

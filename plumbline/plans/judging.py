@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import comparison, evaluation, ranking, uplift
+from plumbline.operators import comparison, evaluation, ranking, resampling, uplift
 
 from .analysis import auc_sql, signed_sql
 from .registry import query
@@ -293,6 +293,58 @@ def _(spark, d):
     return comparison.paired_bootstrap(sample(spark, d), "label", "score", "score_old", "id", REPLICATES)
 
 
+#: Replicates of the other metrics.
+FEW = 100
+FEWER = BOOT.replace(f"range(0, {REPLICATES})", f"range(0, {FEW})")
+
+
+def boot_steps(score: str) -> str:
+    """Of each replicate and score: its weighted labels, and those of it and all higher ones."""
+    return f"""SELECT *, sum(p) OVER w AS cp, sum(n) OVER w AS cn, sum(p) OVER o AS tp, sum(n) OVER o AS tn FROM (SELECT rep, {score} AS s, sum(label * w) AS p, sum((1 - label) * w) AS n FROM b GROUP BY ALL)
+        WINDOW w AS (PARTITION BY rep ORDER BY s DESC), o AS (PARTITION BY rep)"""
+
+
+KS_OF = "SELECT rep, max(abs(cp / tp - cn / tn)) AS v FROM ({}) GROUP BY 1"
+PR_OF = "SELECT rep, sum(CASE WHEN cp + cn > 0 THEN p * cp / (cp + cn) ELSE 0 END) / max(tp) AS v FROM ({}) GROUP BY 1"
+INTERVAL = "SELECT count(v) AS replicates, avg(v) AS mean, stddev_samp(v) AS se, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM a"
+
+
+@query("m1_bootstrap_ks", f"{S}, {FEWER}, a AS ({KS_OF.format(boot_steps('score'))}) {INTERVAL}", "mean se low high")
+def _(spark, d):
+    return resampling.metric_interval(sample(spark, d), "ks", "label", "score", "id", FEW)
+
+
+@query("m1_bootstrap_pr_auc", f"{S}, {FEWER}, a AS ({PR_OF.format(boot_steps('score'))}) {INTERVAL}", "mean se low high")
+def _(spark, d):
+    return resampling.metric_interval(sample(spark, d), "pr_auc", "label", "score", "id", FEW)
+
+
+@query("m1_bootstrap_logloss", f"{S}, {FEWER}, a AS (SELECT rep, sum(w * -ln(CASE WHEN label = 1 THEN q ELSE 1 - q END)) / sum(w) AS v FROM (SELECT *, least(greatest(score, 1e-15), 1 - 1e-15) AS q FROM b) GROUP BY 1) {INTERVAL}", "mean se low high")
+def _(spark, d):
+    return resampling.metric_interval(sample(spark, d), "logloss", "label", "score", "id", FEW)
+
+
+@query("m1_bootstrap_rmse", f"{S}, {FEWER}, a AS (SELECT rep, sqrt(sum(w * (score_old - score) * (score_old - score)) / sum(w)) AS v FROM b GROUP BY 1) {INTERVAL}", "mean se low high")
+def _(spark, d):
+    return resampling.metric_interval(sample(spark, d), "rmse", "score", "score_old", "id", FEW)
+
+
+@query("m1_bootstrap_uplift", f"""{S}, {FEWER.replace("SELECT label, score", "SELECT id, arm, label, score")}, r AS (SELECT rep, w, sum(w * arm * label) OVER o AS yt, sum(w * (1 - arm) * label) OVER o AS yc, sum(w * arm) OVER o AS nt, sum(w * (1 - arm)) OVER o AS nc, row_number() OVER o AS k FROM b WINDOW o AS (PARTITION BY rep ORDER BY cate DESC, id ROWS UNBOUNDED PRECEDING)),
+    g AS (SELECT *, yt - CASE WHEN nc > 0 THEN yc * nt / nc ELSE 0 END AS g FROM r), h AS (SELECT *, coalesce(lag(g) OVER (PARTITION BY rep ORDER BY k), 0) AS f FROM g),
+    a AS (SELECT rep, sum(w * (g + f) / 2) / sum(w) AS auuc, sum(w * (g + f) / 2) / sum(w) - arg_max(g, k) / 2 AS qini FROM h GROUP BY 1)
+    SELECT metric, avg(v) AS mean, stddev_samp(v) AS se, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM (SELECT 'auuc' AS metric, auuc AS v FROM a UNION ALL SELECT 'qini', qini FROM a) GROUP BY 1""", "mean se low high")
+def _(spark, d):
+    each = resampling.bootstrap_uplift(sample(spark, d), "cate", "arm", "label", "id", FEW)
+    parts = [comparison.interval(each, m).select(F.lit(m).alias("metric"), "mean", "se", "low", "high") for m in ("auuc", "qini")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("m2_paired_bootstrap_ks", f"""{S}, {FEWER}, a0 AS ({KS_OF.format(boot_steps('score'))}), o0 AS ({KS_OF.format(boot_steps('score_old'))}), x AS (SELECT a0.v - o0.v AS d FROM a0 JOIN o0 USING (rep))
+    SELECT count(*) AS replicates, avg(d) AS mean, stddev_samp(d) AS se, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high, avg(CAST(d > 0 AS INT)) AS share_positive, avg(d) / stddev_samp(d) AS z FROM x""", "mean se low high share_positive z")
+def _(spark, d):
+    return resampling.metric_change(sample(spark, d), "ks", "label", "score", "score_old", "id", FEW)
+
+
 @query("m3_weighted_auc", f"{S}, g AS (SELECT score AS s, sum(label * n_lines) AS p, sum((1 - label) * n_lines) AS n FROM sample GROUP BY 1), w AS (SELECT *, sum(coalesce(n, 0)) OVER (ORDER BY s) - coalesce(n, 0) AS b FROM g) SELECT sum(p * (b + n / 2.0)) / (sum(p) * sum(n)) AS auc FROM w", "auc")
 def _(spark, d):
     return comparison.weighted_auc(sample(spark, d).withColumn("n_lines", F.coalesce("n_lines", F.lit(0))), "label", "score", "n_lines")
