@@ -24,7 +24,7 @@ from .comparison import CELLS, draws, interval, key_number
 #: Metrics of a label and a score by its order; of a value and its prediction by losses.
 ORDERED = ("auc", "ks", "pr_auc")
 LOSSES = {
-    "logloss": lambda y, s: -F.when(y == 1, F.ln(s)).otherwise(F.ln(1 - s)),
+    "logloss": lambda y, s: -F.when(y == 1, F.ln(s)).when(y.isNotNull(), F.ln(1 - s)),
     "brier": lambda y, s: (s - y) * (s - y),
     "mse": lambda y, s: (s - y) * (s - y),
     "rmse": lambda y, s: (s - y) * (s - y),
