@@ -191,7 +191,7 @@ def bootstrap_metric(df: DataFrame, metric: str, label: str, score: str, key: st
         return bootstrap_ordered(df, label, score, key, n_boot, seed).select("replicate", F.col(metric).alias("value"))
     y, s = F.col(label).cast("double"), F.col(score).cast("double")
     if metric == "logloss":
-        s = F.least(F.greatest(s, F.lit(1e-15)), F.lit(1 - 1e-15))
+        s = F.when(s.isNotNull(), F.least(F.greatest(s, F.lit(1e-15)), F.lit(1 - 1e-15)))  # greatest skips nulls
     mean = bootstrap_means(df, key, {"value": LOSSES[metric](y, s)}, n_boot, seed)
     return mean.select("replicate", (F.sqrt("value") if metric == "rmse" else F.col("value")).alias("value"))
 
