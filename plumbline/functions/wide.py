@@ -130,8 +130,8 @@ def border_counts(df: DataFrame, features: Sequence[str] | Mapping[str, str], bo
     n_classes; rows where it is null are left out. A class without rows has none.
     """
     columns = as_columns(features)
-    names, width = list(columns), 2 * max([0, *[len(borders.get(f) or ()) for f in columns]]) + 1
-    held = [np.asarray(borders.get(f) or [], np.float64) for f in names]
+    names, width = list(columns), 2 * max([0, *[len(borders.get(f, ())) for f in columns]]) + 1
+    held = [np.asarray(borders.get(f, ()), np.float64) for f in names]
 
     def run(first: int, n: int, batches) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((n, n_classes, width + 1), np.int64)

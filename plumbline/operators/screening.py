@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import average_ranks, correlation
+from .rank_matrix import nearest_ranked
 
 
 def _reasons(**rules: Column) -> Column:
@@ -46,21 +46,13 @@ def gate_signal(auc: DataFrame, stats: DataFrame, psi: DataFrame, least_auc: flo
     return rows.select("feature", "auc", "coverage", "psi", F.coalesce(ok, F.lit(False)).alias("passed"))
 
 
-def redundancy(long: DataFrame, key: str, candidates: Sequence[str], reference: Sequence[str], threshold: float = 0.9, fill: float | None = 0.0) -> DataFrame:
-    """feature, nearest, corr, redundant: the largest absolute rank correlation with a reference column.
+def redundancy(df: DataFrame, candidates: Sequence[str], reference: Sequence[str], threshold: float = 0.9, fill: float | None = 0.0) -> DataFrame:
+    """feature, nearest, corr, redundant: the largest absolute rank correlation of each candidate with a reference column.
 
     fill replaces nulls before ranking (the scan); with fill None, rows where
-    a side is null are left out of the pair (the gate).
+    a side is null are left out of the pair (the gate). df should be a stored table.
     """
-    features = [*candidates, *[r for r in reference if r not in candidates]]
-    rows = long.filter(F.col("feature").isin(features)).select(key, "feature", "value")
-    if fill is not None:
-        rows = rows.withColumn("value", F.coalesce("value", F.lit(float(fill))))
-    wide = average_ranks(rows).groupBy(key).pivot("feature", features).agg(F.first("rank"))
-    pairs = [F.struct(F.lit(c).alias("feature"), F.lit(r).alias("nearest"), F.abs(correlation(c, r)).alias("corr")) for c in candidates for r in reference if c != r]
-    table = wide.agg(F.array(*pairs).alias("p")).select(F.explode("p").alias("p")).select("p.*").filter(F.col("corr").isNotNull() & ~F.isnan("corr"))
-    best = table.groupBy("feature").agg(F.max(F.struct(F.round("corr", 9).alias("corr"), "nearest")).alias("b"))
-    return best.select("feature", "b.nearest", "b.corr", (F.col("b.corr") > threshold).alias("redundant"))
+    return nearest_ranked(df, candidates, reference, fill).select("*", (F.col("corr") > threshold).alias("redundant"))
 
 
 def roi_probe(redundant: DataFrame, auc: DataFrame, low: float = 0.5) -> DataFrame:

@@ -339,13 +339,12 @@ REDUNDANT = f"""{_WIDE}, cp AS (SELECT unnest(['n_lines', 'n_lines', 'avg_disc',
 
 @query("g5_redundancy", f"{S}, {REDUNDANT} SELECT * FROM redundant", "corr")
 def _(spark, d):
-    return screening.redundancy(long_sample(spark, d), "id", ["n_lines", "avg_disc"], ["c_acctbal", "sum_qty"])
+    return over_sample(spark, d, lambda rows: screening.redundancy(rows, ["n_lines", "avg_disc"], ["c_acctbal", "sum_qty"]))
 
 
 @query("g6_roi_probe", f"{L}, {REDUNDANT}, a AS ({auc_sql('long', 'feature', 'value')}) SELECT feature, corr, greatest(a, 1 - a) AS auc, CASE WHEN redundant THEN 'black' WHEN corr < 0.5 AND greatest(a, 1 - a) > 0.5 THEN 'white' ELSE 'grey' END AS list FROM redundant JOIN a USING (feature)", "corr auc")
 def _(spark, d):
-    long = long_sample(spark, d)
-    return screening.roi_probe(screening.redundancy(long, "id", ["n_lines", "avg_disc"], ["c_acctbal", "sum_qty"]), binning.univariate_auc(long))
+    return over_sample(spark, d, lambda rows: screening.roi_probe(screening.redundancy(rows, ["n_lines", "avg_disc"], ["c_acctbal", "sum_qty"]), binning.univariate_auc(melt(rows, NUMERIC, ["label"]))))
 
 
 @query("g7_cross_validate_features", "SELECT event_type AS feature, event_type IN ('click', 'view') AS present FROM (SELECT DISTINCT event_type FROM events)")
