@@ -10,9 +10,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: Labelled documents that the model is fitted on, in all; dealt evenly over the languages, one of each at least. Of a longer one, so many characters from a place that its id sets.
-SAMPLE_DOCS, SAMPLE_CHARS = 4_000, 10_000
+#: Labelled documents that the model is fitted on, in all, whole texts; as many of each language, one at least.
+SAMPLE_DOCS = 4_000
 BUCKET_BITS, SIZE, EPOCHS, RATE = 16, 16, 6, 0.5
 ORDERS = (2, 3, 4)
 #: Of the calibration documents, the share that the rejection threshold may refuse, and the highest threshold.
@@ -117,8 +118,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for text, h in zip(batch.column("text").to_pylist(), batch.column("hash").to_pylist(), strict=True):
             at, parts = h % max(len(text), 1), []
-            first = max(0, min(at, len(text) - SAMPLE_CHARS))
-            for piece in (text[first : first + SAMPLE_CHARS], text[at : at + 60], text[at // 2 : at // 2 + 300]):
+            for piece in (text, text[at : at + 60], text[at // 2 : at // 2 + 300]):
                 buckets, n = np.unique(subwords(piece), return_counts=True)
                 if len(buckets):
                     parts.append({"whole": not parts, "buckets": buckets.astype("<u4").tobytes(), "share": (n / n.sum()).astype("<f4").tobytes()})
@@ -147,25 +147,34 @@ def _fit_all(languages: list[str]):
     return run
 
 
+def sampled(rows: DataFrame, counts: dict[str, int]) -> DataFrame:
+    """lang, hash, parts (features) of the chosen rows: of each language those with the smallest hashes, as many as its quota.
+
+    A share of each language that is nearly sure to hold its quota is taken
+    before features are made, so that little is ordered.
+    """
+    quota = max(1, SAMPLE_DOCS // len(counts))
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (quota + 4 * quota**0.5 + 16) / n))])
+    near = rows.withColumn("hash", F.pmod("hash", F.lit(1 << 40))).filter(F.col("hash") < share[F.col("lang")] * F.lit(1 << 40))
+    made = near.mapInArrow(_features, "lang string, hash long, parts array<struct<whole: boolean, buckets: binary, share: binary>>")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))  # of little more than the quota
+    return made.withColumn("place", place).filter(F.col("place") <= quota).drop("place")
+
+
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fits on a sample of at most SAMPLE_DOCS labelled documents, taken by a hash of the id, as many of each language as can be.
+    """Fits on a bounded sample of labelled documents: of each language all, or SAMPLE_DOCS by the number of languages, by a hash of the id.
 
-    Features are made where the rows are; one task fits, on a sample of bounded
-    rows and bytes, and only the model comes to the driver. With more languages
-    than SAMPLE_DOCS the sample is one document of each, more or less.
+    Features of whole texts are made where the rows are; one task fits, on
+    SAMPLE_DOCS rows of at most 2 ** BUCKET_BITS buckets each, and only the
+    model comes to the driver. With more languages than SAMPLE_DOCS the sample is
+    one document of each.
     """
     rows = labelled.select(F.xxhash64(id_col).alias("hash"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((1 << BUCKET_BITS, SIZE), np.float32), np.zeros((SIZE, 0), np.float32), 1.0, 0.0)
-    most = max(SAMPLE_DOCS, len(languages))
-    quota = most // len(languages)
-    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, 1.1 * quota / counts[lang]))])
-    rows = rows.withColumn("hash", F.pmod("hash", F.lit(1 << 40)))
-    chosen = rows.filter(F.col("hash") < share[F.col("lang")] * F.lit(1 << 40))
-    made = chosen.mapInArrow(_features, "lang string, hash long, parts array<struct<whole: boolean, buckets: binary, share: binary>>")
-    got = made.orderBy("hash", "lang").limit(most).mapInArrow(_fit_all(languages), FITTED).first()
+    got = sampled(rows, counts).orderBy("hash", "lang").coalesce(1).mapInArrow(_fit_all(languages), FITTED).first()
     shaped = lambda data, n: np.frombuffer(bytes(data), "<f4").reshape(n, -1)
     return Model(languages, shaped(got["table"], 1 << BUCKET_BITS), shaped(got["layer"], SIZE), got["temperature"], got["threshold"])
 

@@ -34,6 +34,28 @@ def test_many_languages(spark):
     assert model.predict(docs[0][1])[0] in model.languages
 
 
+def test_rare_languages_keep_their_quota(spark):
+    """Ten languages of 3,000 documents and one of 360: each has its quota, the rare one all."""
+    docs = spark.range(30_360).selectExpr("xxhash64(id) AS hash", "concat('word', id) AS text", "concat('l', least(id DIV 3000, 10)) AS lang")
+    counts = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}
+    got = {r.lang: r["count"] for r in li.sampled(docs, counts).groupBy("lang").count().collect()}
+    assert counts["l10"] == 360 and got == {f"l{k}": 360 if k == 10 else 4000 // 11 for k in range(11)}
+
+
+def test_fit_is_plain_descent():
+    """The fitted model's scores are those of the same sums over whole texts, bucket by bucket."""
+    texts = [("the cat and the dog", 0), ("le chat et le chien", 1)] * 10
+    samples = [(*(lambda b, n: (b, (n / n.sum()).astype("<f4")))(*np.unique(li.subwords(t), return_counts=True)), k) for t, k in texts]
+    model = li.fit(samples, ["en", "fr"], samples[:4])
+    for text, k in texts[:2]:
+        buckets = li.subwords(text)
+        mean = sum(model.table[b].astype(float) for b in buckets) / len(buckets)
+        scores = np.exp((x := mean @ model.layer / model.temperature) - x.max())
+        want = scores / scores.sum()
+        lang, score = model.predict(text)
+        assert lang == ["en", "fr"][k] == ["en", "fr"][int(want.argmax())] and score == pytest.approx(want.max(), abs=1e-5)
+
+
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
