@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -129,6 +131,67 @@ def woe_encode(long: DataFrame, edges: DataFrame, woe: DataFrame) -> DataFrame:
     return cells.join(F.broadcast(woe.select("feature", "bin", "woe")), ["feature", "bin"], "left").withColumn("woe", F.coalesce("woe", F.lit(0.0)))
 
 
+def best_segments(pos: np.ndarray, neg: np.ndarray, most: int, least_rows: float) -> list[int]:
+    """Where to cut a row of bins so that event rates rise or fall strictly from segment to segment and the information value is largest.
+
+    Ends of at most `most` segments of at least least_rows rows each, by dynamic
+    programming over the last two cuts: exact. Without a cut that is
+    allowed, all is one segment.
+    """
+    m = len(pos)
+    p, n = np.append(0, np.cumsum(pos)).astype(float), np.append(0, np.cumsum(neg)).astype(float)
+    ps, ns = p[None] - p[:, None], n[None] - n[:, None]  # [i, j]: of the bins from i up to j
+    i, j = np.indices(ps.shape)
+    fits = (j > i) & (ps + ns >= least_rows) & (ps + ns > 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rate = np.where(ps + ns > 0, ps / (ps + ns), np.nan)
+        a, b = (ps + 0.5) / (p[-1] + 0.5), (ns + 0.5) / (n[-1] + 0.5)
+        value = np.where(fits, (a - b) * np.log(a / b), -np.inf)
+    best, ends = -np.inf, [m]
+    for sign in (1, -1):
+        total = np.where(i == 0, value, -np.inf)  # with one segment
+        came: list[np.ndarray] = []
+        for k in range(most):
+            if total[:, m].max() > best + 1e-12:
+                best, at, path = total[:, m].max(), (int(total[:, m].argmax()), m), []
+                for back in reversed(came):
+                    path.append(at[1])
+                    at = (int(back[at]), at[0])
+                ends = [at[1], *reversed(path)]
+            step, back = np.full_like(total, -np.inf), np.zeros(total.shape, np.int64)
+            for c in range(1, m):  # the last segment begins at c; the one before it anywhere, if rates go on the same way
+                allowed = sign * (rate[c, None, :] - rate[:, c, None]) > 0
+                reach = np.where(allowed, total[:, c, None], -np.inf)
+                back[c] = reach.argmax(0)
+                step[c] = reach.max(0) + value[c]
+            total = step
+            came.append(back)
+    return ends
+
+
+def monotone_edges(df: DataFrame, features: Features, label: str = "label", most: int = 5, n_prebins: int = 50, least_share: float = 0.05) -> Edges:
+    """Of each column the edges of at most `most` bins whose event rates rise or fall throughout, with the largest information value; None without values.
+
+    Quantile bins are counted by label in one scan and joined by best_segments,
+    a column at a time over many tasks; a bin has at least least_share of the
+    rows with a value and a label. Outer edges stand for infinity.
+    """
+    edges = equal_freq_edges(df, features, n_prebins)
+    columns = {f: c for f, c in wide.as_columns(features).items() if edges[f] is not None}
+    if not columns:
+        return edges
+    counts = label_counts(df, columns, edges, label).filter("bin >= 0")
+
+    def segments(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("bin")
+        pos, neg = rows["pos"].to_numpy(), rows["neg"].to_numpy()
+        ends = best_segments(pos, neg, most, least_share * (pos.sum() + neg.sum()))
+        return pd.DataFrame({"feature": rows["feature"].iloc[:1], "upto": [rows["bin"].to_numpy()[[e - 1 for e in ends[:-1]]].tolist()]})
+
+    found = {r.feature: r.upto for r in counts.groupBy("feature").applyInPandas(segments, "feature string, upto array<long>").collect()}  # a row for each column
+    return {f: e if e is None else [e[0], *[e[int(b) + 1] for b in found.get(f, [])], e[-1]] for f, e in edges.items()}
+
+
 def level(c: Column, borders: Sequence[float], names: Sequence[str]) -> Column:
     """The last name whose border c reaches."""
     out = F.lit(names[0])

@@ -108,17 +108,12 @@ def feature_report(df: DataFrame, features: Features, label: str = "label", base
     return quality_report(iv, psi, df.sparkSession.createDataFrame(known, "feature string, missing_rate double"))
 
 
-def category_cells(cats: DataFrame, base: str) -> DataFrame:
-    """feature, split, bin: levels that the base has (null too), `OTHER` for the rest."""
-    value = F.coalesce("value", F.lit("__null__"))
-    seen = cats.filter(F.col("split") == base).select("feature", value.alias("v")).distinct().withColumn("seen", F.lit(True))
-    joined = cats.select("feature", "split", value.alias("v")).join(seen, ["feature", "v"], "left")
-    return joined.select("feature", "split", F.when(F.col("seen"), F.col("v")).otherwise("OTHER").alias("bin"))
-
-
 def psi_categorical(cats: DataFrame, base: str = "train", comparison: str = "oot") -> DataFrame:
-    cells = category_cells(cats.filter(F.col("split").isin(base, comparison)), base)
-    return psi_terms(_sides(cells, ["feature"], F.col("split") == base, F.col("split") == comparison), ["feature"], _zero_to(1e-6))
+    """feature, psi over the levels that the base has (null too), and one for all others. Levels are counted once; tasks add up theirs first."""
+    counts = _sides(cats.filter(F.col("split").isin(base, comparison)).select("feature", "split", F.coalesce("value", F.lit("__null__")).alias("bin")), ["feature"], F.col("split") == base, F.col("split") == comparison)
+    level = F.when(F.col("a") > 0, F.concat(F.lit("="), F.col("bin"))).otherwise("OTHER")
+    cells = counts.groupBy("feature", level.alias("bin")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return psi_terms(cells, ["feature"], _zero_to(1e-6))
 
 
 def drift_profile(long: DataFrame, pairs: DataFrame, n_bins: int = 10, least: int = 100) -> DataFrame:

@@ -8,10 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.primitives import prefix_sums, written
-
-
-#: Rows from which a value counts as common.
-COMMON = 1_000_000
+from plumbline.functions.skew import skewed_join
 
 
 def score_counts(df: DataFrame, label: str, score: str, groups: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
@@ -66,17 +63,10 @@ def correlation(x: str, y: str) -> Column:
 def average_ranks(long: DataFrame, groups: Sequence[str] = ("feature",), value: str = "value") -> DataFrame:
     """long with rank (1-based, ties share their mean) of the non-null values in each group.
 
-    Ranks of values that more than COMMON rows share go to every task, so that
-    no task gets all rows of one value; of R rows, at most R / COMMON values
-    are such (a thousandth of a billion rows: a few MB).
+    Rows of a value that many share are dealt over several tasks, with its rank in each.
     """
     counts = long.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("__c"))
     ranked = prefix_sums(counts, [value], {"__upto": F.col("__c")}, groups, None)
     keys = [*groups, value]
-    ranks = written(ranked.select(*groups, value, "__c", (F.col("__upto") - (F.col("__c") - 1) / 2).alias("rank")), "ranks")
-    common = ranks.filter(F.col("__c") > COMMON)
-    if common.isEmpty():
-        return long.join(ranks.drop("__c"), keys)
-    first = long.join(F.broadcast(common.drop("__c")), keys)
-    rest = long.join(F.broadcast(common.select(*keys)), keys, "left_anti").join(ranks.filter(F.col("__c") <= COMMON).drop("__c"), keys)
-    return first.unionByName(rest)
+    ranks = written(ranked.select(*groups, value, (F.col("__upto") - (F.col("__c") - 1) / 2).alias("rank")), "ranks")
+    return skewed_join(long.filter(F.col(value).isNotNull()), ranks, keys)

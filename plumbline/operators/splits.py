@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.primitives import global_rank, md5_number, md5_order, prefix_sums
+from plumbline.functions.skew import smallest_by_hash
 
 
 def _parts(share: Column, names: Sequence[str], ratios: Sequence[float], scale: Column | float = 1.0, cut=lambda c: c) -> Column:
@@ -199,10 +200,9 @@ def systematic_sample(df: DataFrame, max_rows: int, order: Sequence[str], seed:
 
 
 def seeded_subsamples(df: DataFrame, cap: int, seeds: Sequence[int], key: str) -> DataFrame:
-    """df with seed: for each seed the cap rows with the smallest md5."""
+    """df with seed: for each seed the cap rows with the smallest md5. df is read a few times, so it should be a stored table; only rows near each seed's border are ordered."""
     each = df.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    each = each.withColumn("__h", F.md5(F.concat_ws("|", F.col("seed").cast("string"), F.col(key).cast("string"))))
-    return global_rank(each, ["__h", key], ["seed"]).filter(F.col("rank") < cap).drop("rank", "__h")
+    return smallest_by_hash(each, F.md5(F.concat_ws("|", F.col("seed").cast("string"), F.col(key).cast("string"))), cap, key, F.col("seed"))
 
 
 def time_segments(df: DataFrame, t: str, holdout: float = 0.15, es: float = 0.05) -> DataFrame:
@@ -217,8 +217,7 @@ def kfold(df: DataFrame, k: int, key: str, seed: int) -> DataFrame:
 
 def balanced_cases(df: DataFrame, label: str, n: int, key: str, seed: int) -> DataFrame:
     """n/2 rows of each class by md5 order; the first n rows by it if no row has a class. Doubles rounded to 4 digits."""
-    ranked = global_rank(df.withColumn("__h", md5_order(seed, key)).withColumn("__y", F.when(F.col(label).isin(0, 1), F.col(label))), ["__h", key], ["__y"])
     classed = not df.filter(F.col(label).isin(0, 1)).isEmpty()
-    keep = (F.col("__y").isNotNull() & (F.col("rank") < n // 2)) if classed else F.col("rank") < n
+    side = F.when(F.col(label).isin(0, 1), F.col(label)) if classed else None
     rounded = [F.round(c, 4).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes]
-    return ranked.filter(keep).select(*rounded)
+    return smallest_by_hash(df, md5_order(seed, key), n // 2 if classed else n, key, side).select(*rounded)

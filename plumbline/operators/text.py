@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.primitives import global_rank
+from plumbline.functions.skew import skewed_join
 
 from .ranking import auc, average_ranks, correlation, pr_auc
 
@@ -53,7 +54,7 @@ def item_weights(df: DataFrame, text: str) -> DataFrame:
 def list_aggregate(df: DataFrame, key: str, text: str, values: DataFrame) -> DataFrame:
     """key, mean, total, weighted: of the items' values (item, value), plain and weighted by idf."""
     items = df.select(key, F.explode(list_items(F.col(text))).alias("item"))
-    rows = items.join(values, "item").join(item_weights(df, text), "item")
+    rows = skewed_join(items, values.join(item_weights(df, text), "item"), ["item"])
     weighted = F.sum(F.col("value") * F.col("idf")) / F.nullif(F.sum("idf"), F.lit(0.0))
     return rows.groupBy(key).agg(F.avg("value").alias("mean"), F.sum("value").alias("total"), weighted.alias("weighted"))
 
@@ -78,7 +79,7 @@ def encode_distinct(df: DataFrame, text: str, fn: Callable[[pd.Series], np.ndarr
         return pd.Series(list(fn(s)))
 
     made = df.select(value.alias("__t")).distinct().withColumn("vector", encode("__t"))
-    return df.withColumn("__t", value).join(made, "__t").drop("__t")
+    return skewed_join(df.withColumn("__t", value), made, ["__t"]).drop("__t")
 
 
 def hash_encode(df: DataFrame, text: str, dim: int = 64) -> DataFrame:
@@ -90,9 +91,9 @@ def chunk_pool(df: DataFrame, key: str, text: str, max_chars: int, fn: Callable[
     n = F.greatest(F.ceil(F.length(F.coalesce(F.col(text), F.lit(""))) / max_chars), F.lit(1)).cast("int")
     rows = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("__t"), F.explode(F.sequence(F.lit(0), n - 1)).alias("__i"))
     rows = rows.select(key, F.substring(F.col("__t"), F.col("__i") * max_chars + 1, F.lit(max_chars)).alias("__c"))
-    vectors = encode_distinct(rows, "__c", fn).select(key, F.length("__c").alias("__l"), F.posexplode("vector").alias("__p", "__v"))
-    sums = vectors.groupBy(key, "__p").agg(F.avg(F.when(F.col("__l") > 0, F.col("__v")).otherwise(0.0)).alias("m"), F.count("*").alias("chunks"))
-    return sums.groupBy(key).agg(F.max("chunks").alias("chunks"), F.transform(F.sort_array(F.collect_list(F.struct("__p", "m"))), lambda x: x["m"]).alias("vector"))
+    vectors = encode_distinct(rows, "__c", fn)
+    mean = lambda k: F.avg(F.when(F.length("__c") > 0, F.col("vector")[k]).otherwise(0.0))
+    return vectors.groupBy(key).agg(F.count("*").alias("chunks"), F.array(*[mean(k) for k in range(dim)]).alias("vector"))
 
 
 def feature_metrics_by_split(long: DataFrame, label: str) -> DataFrame:

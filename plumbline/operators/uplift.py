@@ -102,7 +102,11 @@ def auuc_report(df: DataFrame, score: str, arm: str, outcome: str) -> DataFrame:
     """One row: raw (area over the straight line, at distinct scores) and adjusted (divided by the largest absolute gain)."""
     t, y = F.col(arm), F.col(outcome)
     g = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.when(t == 1, y).otherwise(0.0)).alias("yt"), F.sum(F.when(t == 0, y).otherwise(0.0)).alias("yc"), F.count_if(t == 1).alias("nt"), F.count_if(t == 0).alias("nc"))
-    c = prefix_sums(g, ["-s"], {f"c_{x}": F.col(x) for x in ("yt", "yc", "nt", "nc")}, (), None)
+    return _area_over_line(prefix_sums(g, ["-s"], {f"c_{x}": F.col(x) for x in ("yt", "yc", "nt", "nc")}, (), None))
+
+
+def _area_over_line(c: DataFrame) -> DataFrame:
+    """One row: raw, adjusted of a curve with sums of outcomes and rows by arm at each distinct score, and up to it."""
 
     def gain(back: bool) -> Column:
         yt, yc, nt, nc = (F.col(f"c_{x}") - (F.col(x) if back else F.lit(0)) for x in ("yt", "yc", "nt", "nc"))
@@ -115,6 +119,37 @@ def auuc_report(df: DataFrame, score: str, arm: str, outcome: str) -> DataFrame:
     return out.select(raw.alias("raw"), (raw / F.nullif("peak", F.lit(0.0))).alias("adjusted"))
 
 
+def perfect_order(cells: DataFrame) -> DataFrame:
+    """cells (y, t, n: rows by outcome 0 or 1 and arm) with s, the score of a model that is never wrong.
+
+    Treated who respond come first, then untreated who don't. Untreated who
+    respond come next where they are more than treated who don't, else last.
+    """
+    w = Window.partitionBy()  # four rows
+    of = lambda y, t: F.sum(F.when((F.col("y") == y) & (F.col("t") == t), F.col("n")).otherwise(0)).over(w)
+    second = F.when(of(1, 0) > of(0, 1), F.col("y")).otherwise(F.col("t"))
+    return cells.withColumn("s", 2 * (F.col("y") == F.col("t")).cast("int") + second)
+
+
+def normalized_auuc(df: DataFrame, score: str, arm: str, outcome: str) -> DataFrame:
+    """One row: raw (as auuc_report), perfect (the same of a model that is never wrong) and normalized, their ratio; null without both arms.
+
+    For outcomes of 0 and 1. A perfect model's order depends on outcome and arm
+    alone, so its curve has four points at most: rows of the four cells are
+    counted, nothing is ordered.
+    """
+    t, y = F.col(arm), F.col(outcome)
+    rows = df.filter(F.col(score).isNotNull() & t.isin(0, 1) & y.isin(0, 1))
+    cells = perfect_order(rows.groupBy(y.cast("int").alias("y"), t.cast("int").alias("t")).agg(F.count("*").alias("n")))
+    sums = {"yt": F.col("y") * F.col("t"), "yc": F.col("y") * (1 - F.col("t")), "nt": F.col("t"), "nc": 1 - F.col("t")}
+    g = cells.groupBy("s").agg(*[F.sum(c * F.col("n")).cast("double").alias(k) for k, c in sums.items()])
+    before = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)  # four rows
+    perfect = _area_over_line(g.select("*", *[F.sum(k).over(before).alias(f"c_{k}") for k in sums])).select(F.col("raw").alias("perfect"))
+    both = cells.agg((F.count_distinct("t") == 2).alias("both"))
+    one = auuc_report(rows, score, arm, outcome).select("raw").crossJoin(perfect).crossJoin(both)  # one row each
+    return one.select(*[F.when(F.col("both"), c).alias(name) for name, c in (("raw", F.col("raw")), ("perfect", F.col("perfect")), ("normalized", F.col("raw") / F.nullif("perfect", F.lit(0.0))))])
+
+
 def uplift_segments(df: DataFrame, score: str, arm: str, outcome: str, key: str, n: int = 10) -> DataFrame:
     """bin (n - 1 is best), rows by arm, means, uplift, predicted, increment (uplift times treated), cumulative uplift from the best on."""
     t, y = F.col(arm), F.col(outcome)

@@ -208,6 +208,25 @@ def _(spark, d):
     return over_sample(spark, d, make)
 
 
+#: Every way to join the ten quantile bins of a column into at most four whose event rates rise, or fall, with 5 % of the rows each.
+MONOTONE = f"""me AS ({edges_sql('long')}), mc AS (SELECT feature, {bin_sql()} AS bin, sum(label) AS pos, sum(1 - label) AS neg FROM long JOIN me USING (feature) WHERE value IS NOT NULL GROUP BY 1, 2),
+    mb AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY bin) AS k FROM mc), mt AS (SELECT feature, max(k) AS m, sum(pos) AS tp, sum(neg) AS tn FROM mb GROUP BY 1),
+    sg AS (SELECT a.feature, a.k AS i, b.k AS j, tp, tn, m, (SELECT sum(pos) FROM mb c WHERE c.feature = a.feature AND c.k BETWEEN a.k AND b.k) AS p, (SELECT sum(neg) FROM mb c WHERE c.feature = a.feature AND c.k BETWEEN a.k AND b.k) AS n FROM mb a JOIN mb b ON a.feature = b.feature AND a.k <= b.k JOIN mt ON mt.feature = a.feature),
+    iv AS (SELECT feature, i, j, m, p / (p + n) AS rate, ((p + CAST(0.5 AS DOUBLE)) / (tp + CAST(0.5 AS DOUBLE)) - (n + CAST(0.5 AS DOUBLE)) / (tn + CAST(0.5 AS DOUBLE))) * ln((p + CAST(0.5 AS DOUBLE)) / (tp + CAST(0.5 AS DOUBLE)) / ((n + CAST(0.5 AS DOUBLE)) / (tn + CAST(0.5 AS DOUBLE)))) AS v FROM sg WHERE p + n >= (tp + tn) * CAST(0.05 AS DOUBLE)),
+    way AS (SELECT feature, j, rate, v AS total, 1 AS bins, d FROM iv, (SELECT unnest([1, -1]) AS d) WHERE i = 1
+        UNION ALL SELECT w.feature, s.j, s.rate, w.total + s.v, w.bins + 1, w.d FROM way w JOIN iv s ON s.feature = w.feature AND s.i = w.j + 1 AND w.d * (s.rate - w.rate) > 0 WHERE w.bins < 4)"""
+
+
+@query("e7_monotone_bins", f"WITH RECURSIVE {LONG}, {MONOTONE} SELECT way.feature, max(total) AS iv FROM way JOIN mt ON mt.feature = way.feature AND way.j = mt.m GROUP BY 1", "iv")
+def _(spark, d):
+    def make(rows):
+        edges = binning.monotone_edges(rows, NUMERIC, most=4, n_prebins=10)
+        counts = binning.label_counts(rows, [f for f in NUMERIC if edges[f]], edges)
+        return binning.woe_of(counts.filter("bin >= 0"), 0.5).groupBy("feature").agg(F.coalesce(F.sum("iv_part"), F.lit(0.0)).alias("iv"))
+
+    return over_sample(spark, d, make)
+
+
 REPORT = f"""{IV}, {IV_TABLE}, {PSI}, st AS (SELECT feature, 1 - count(value) / count(*) AS missing_rate FROM long GROUP BY 1)
     SELECT feature, iv, auc, psi, missing_rate, CASE WHEN iv >= 0.5 THEN 'suspicious' WHEN iv >= 0.3 THEN 'strong' WHEN iv >= 0.1 THEN 'medium' WHEN iv >= 0.02 THEN 'weak' WHEN iv IS NOT NULL THEN 'none' END AS iv_level,
            CASE WHEN psi >= 0.25 THEN 'high' WHEN psi >= 0.1 THEN 'moderate' WHEN psi >= 0.02 THEN 'low' WHEN psi IS NOT NULL THEN 'none' END AS psi_level, coalesce(psi < 0.1, false) AS stable FROM st FULL JOIN iv_table USING (feature) FULL JOIN psi USING (feature)"""

@@ -237,6 +237,19 @@ def _(spark, d):
     return uplift.auuc_report(sample(spark, d), "cate", "arm", "label")
 
 
+def raw_area(g: str) -> str:
+    return f"""SELECT sum((gain + before) / 2 * step) - arg_max(gain, n) * max(n) / 2 FROM (SELECT *, coalesce(lag(gain) OVER (ORDER BY s DESC), 0) AS before FROM
+        (SELECT s, step, nt + nc AS n, (coalesce(yt / nullif(nt, 0), 0) - coalesce(yc / nullif(nc, 0), 0)) * (nt + nc) AS gain FROM
+        (SELECT s, nt + nc AS step, sum(yt) OVER w AS yt, sum(yc) OVER w AS yc, sum(nt) OVER w AS nt, sum(nc) OVER w AS nc FROM {g} WINDOW w AS (ORDER BY s DESC {CUM}))))"""
+
+
+@query("l8_normalized_auuc", f"""{S}, two AS (SELECT *, CASE WHEN count(*) FILTER (label = 1 AND arm = 0) OVER () > count(*) FILTER (label = 0 AND arm = 1) OVER () THEN label ELSE arm END AS extra FROM sample),
+    g AS (SELECT cate AS s, sum(label * arm) AS yt, sum(label * (1 - arm)) AS yc, sum(arm) AS nt, sum(1 - arm) AS nc FROM sample GROUP BY 1), p AS (SELECT 2 * CAST(label = arm AS INT) + extra AS s, sum(label * arm) AS yt, sum(label * (1 - arm)) AS yc, sum(arm) AS nt, sum(1 - arm) AS nc FROM two GROUP BY 1),
+    areas AS (SELECT ({raw_area('g')}) AS raw, ({raw_area('p')}) AS perfect) SELECT raw, perfect, raw / perfect AS normalized FROM areas""", "raw perfect normalized")
+def _(spark, d):
+    return uplift.normalized_auuc(sample(spark, d), "cate", "arm", "label")
+
+
 @query("l9_uplift_segments", f"""{S}, b AS (SELECT *, CAST(floor(i * 10 / n) AS BIGINT) AS bin FROM (SELECT *, row_number() OVER (ORDER BY cate, id) - 1 AS i, count(*) OVER () AS n FROM sample)),
     e AS (SELECT bin, {ARMS}, avg(cate) AS predicted, sum(outcome) FILTER (arm = 1) AS yt, sum(outcome) FILTER (arm = 0) AS yc FROM b GROUP BY 1)
     SELECT bin, treated, control, treated_mean, control_mean, predicted, treated_mean - control_mean AS uplift, sum(yt) OVER w / sum(treated) OVER w - sum(yc) OVER w / sum(control) OVER w AS cum_uplift, (treated_mean - control_mean) * treated AS increment FROM e WINDOW w AS (ORDER BY bin DESC {CUM})""", "treated_mean control_mean predicted uplift cum_uplift increment")
