@@ -276,7 +276,7 @@ def _count_pairs(words: Words):
             has = (histories[told] == u[need]) if len(histories) else np.zeros(len(told), bool)
             m = np.where(has[:, None], seen[told], 0) if len(histories) else np.zeros((len(told), MOST_DISCOUNTED), np.uint32)
             s = np.where(has, total[told], 0.0) if len(histories) else np.zeros(len(told))
-            out.append((ANSWER, bucket, block, packed(c.astype(np.uint32)), packed(need), packed(m.astype(np.uint32).ravel()), packed(s), None))
+            out.append((ANSWER, bucket, block, packed(c.astype(np.int64)), packed(need), packed(m.astype(np.uint32).ravel()), packed(s), None))
         return pd.DataFrame(out, columns=["kind", "bucket", "block", "a", "b", "c", "d", "classes"]).astype({"block": "Int64"})
 
     return run
@@ -292,7 +292,7 @@ def _score(words: Words, end: int, buckets: int, d: np.ndarray):
                 seen, mass = np.zeros((len(made.histories), MOST_DISCOUNTED)), np.zeros(len(made.histories))
                 for b, at, asked, _ in made.requests():
                     x = answers[b]
-                    count[at] = unpacked(x["a"], np.uint32)
+                    count[at] = unpacked(x["a"], np.int64)
                     told = np.searchsorted(made.histories, asked[unpacked(x["b"], bool)])
                     seen[told] += unpacked(x["c"], np.uint32).reshape(-1, MOST_DISCOUNTED)
                     mass[told] += unpacked(x["d"], np.float64)
@@ -328,6 +328,8 @@ def word_numbers(counts: DataFrame) -> DataFrame:
     for k, n in sizes:
         starts += [F.lit(k), F.lit(start)]
         start += n
+    if start >= UNKNOWN:
+        raise ValueError(f"{start} distinct words; a number has 32 bits")
     first = F.create_map(*starts)[part] if starts else F.lit(0)
     return ranked.select("word", "count", (first + place).cast("long").alias("number"))
 

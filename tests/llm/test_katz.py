@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from plumbline.llm import katz
@@ -97,3 +98,13 @@ def test_empty(spark):
 def test_packed():
     for a in (np.arange(1000, dtype=np.uint32), np.array([], np.int64), np.array([True, False]), np.random.default_rng(1).integers(-9, 9, 50)):
         assert (katz.unpacked(katz.packed(a), a.dtype) == a).all()
+
+
+def test_counts_beyond_32_bits():
+    """Counts that blocks send add up, and come back, in 64 bits."""
+    words = katz.Words(np.array([5_000_000_000]), np.array([2]))
+    one = lambda a, kind: katz.packed(np.array(a, kind))
+    rows = pd.DataFrame({"bucket": [0, 0], "block": [1, 2], "u": [one([0], np.uint32)] * 2, "sizes": [one([1], np.uint32)] * 2, "w": [one([1], np.uint32)] * 2, "n": [one([4_000_000_000], np.uint32)] * 2, "forced": [one([False], bool)] * 2})
+    made = katz._count_pairs(words)(rows)
+    answers = made[made["kind"] == katz.ANSWER]
+    assert [katz.unpacked(a, np.int64).tolist() for a in answers["a"]] == [[8_000_000_000]] * 2
