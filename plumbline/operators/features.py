@@ -122,8 +122,9 @@ def tune_candidate(df: DataFrame, fn: Callable[[pd.DataFrame, dict], pd.Series],
 
     def judge(settings: list[dict[str, float]]) -> None:
         names = [f"s{k}" for k in range(len(settings))]
-        made = feature_block(train, lambda x: pd.DataFrame({n: fn(x, s) for n, s in zip(names, settings, strict=True)}), key, sources, names)
-        long = melt(made.join(train.select(key, label), key), names, [label])
+        block = lambda x: pd.DataFrame({n: fn(x.drop(columns="__label"), s) for n, s in zip(names, settings, strict=True)} | {"__label": x["__label"]})
+        labelled = train.withColumn("__label", F.col(label).cast("float"))
+        long = melt(feature_block(labelled, block, key, [*sources, "__label"], [*names, "__label"]), names, ["__label"]).withColumnRenamed("__label", label)
         scored = {r.feature: r.auc for r in auc(long, label, "value", ["feature"]).collect()}  # a row for each setting
         judged.extend((max(a, 1 - a), s) for n, s in zip(names, settings, strict=True) if (a := scored.get(n)) is not None)
 

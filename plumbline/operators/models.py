@@ -52,11 +52,16 @@ def filled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return impute_median(df, df, features, (2.0, 2.0))
 
 
+def scored(model: PipelineModel, df: DataFrame, score: Column, name: str) -> DataFrame:
+    """df with one column of a model's output: scorings follow each other in one pass, rows are not joined, repeated keys stay."""
+    return model.transform(df).select(*df.columns, score.alias(name))
+
+
 def positive() -> Column:
     return vector_to_array("__prob")[1]
 
 
-def oof_score(df: DataFrame, features: Sequence[str], label: str, key: str, make, k: int = 3, scale: bool = False) -> DataFrame:
+def oof_score(df: DataFrame, features: Sequence[str], label: str, key: str, make, k: int = 5, scale: bool = False) -> DataFrame:
     """key, score: rows of split train by the models of the other folds, the rest by a model of all training rows; null without both classes."""
     rows = written(kfold(filled(df, features).select(key, "split", label, *features), k, key, SEED), "oof")
     train = rows.filter("split = 'train'")
@@ -70,11 +75,11 @@ def oof_score(df: DataFrame, features: Sequence[str], label: str, key: str, make
     return out
 
 
-def lr_oof_score(df: DataFrame, features: Sequence[str], label: str, key: str, k: int = 3) -> DataFrame:
+def lr_oof_score(df: DataFrame, features: Sequence[str], label: str, key: str, k: int = 5) -> DataFrame:
     return oof_score(df, features, label, key, logistic, k, scale=True)
 
 
-def gbdt_oof_score(df: DataFrame, features: Sequence[str], label: str, key: str, k: int = 3) -> DataFrame:
+def gbdt_oof_score(df: DataFrame, features: Sequence[str], label: str, key: str, k: int = 5) -> DataFrame:
     return oof_score(df, features, label, key, gbt_classifier, k)
 
 
@@ -117,20 +122,21 @@ def s_learner(df: DataFrame, features: Sequence[str], arm: str, outcome: str, ke
     """key, p1, p0, uplift: one model of training rows with the arm as a feature, applied with each arm."""
     rows = filled(df, features).select(key, "split", arm, outcome, *features)
     model = _stages([*features, arm], gbt_classifier(outcome) if binary else gbt_regressor(outcome)).fit(rows.filter("split = 'train'"))
-    score = positive() if binary else F.col("__pred")
-    side = lambda v, name: model.transform(rows.withColumn(arm, F.lit(v))).select(key, score.alias(name))
-    return side(1, "p1").join(side(0, "p0"), key).withColumn("uplift", F.col("p1") - F.col("p0"))
+    score, out = positive() if binary else F.col("__pred"), rows
+    for v in (1, 0):
+        out = scored(model, out.withColumn(arm, F.lit(v)), score, f"p{v}")
+    return out.select(key, "p1", "p0", (F.col("p1") - F.col("p0")).alias("uplift"))
 
 
 def t_learner(df: DataFrame, features: Sequence[str], arm: str, outcome: str, key: str, binary: bool = True) -> DataFrame:
     """key, p1, p0, uplift: a model for each arm of the training rows."""
     rows = filled(df, features).select(key, "split", arm, outcome, *features)
     make, score = (gbt_classifier, positive()) if binary else (gbt_regressor, F.col("__pred"))
-    out = rows.select(key)
+    out = rows
     for v in (1, 0):
         fitted = _stages(features, make(outcome)).fit(rows.filter((F.col("split") == "train") & (F.col(arm) == v)))
-        out = out.join(fitted.transform(rows).select(key, score.alias(f"p{v}")), key)
-    return out.withColumn("uplift", F.col("p1") - F.col("p0"))
+        out = scored(fitted, out, score, f"p{v}")
+    return out.select(key, "p1", "p0", (F.col("p1") - F.col("p0")).alias("uplift"))
 
 
 def importance_table(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -301,6 +307,6 @@ def hurdle_regression(df: DataFrame, features: Sequence[str], y: str, key: str,
     """key, p (chance of y over the threshold), m (mean above it, at least 0), prediction p times m."""
     rows = filled(df, features).select(key, "split", y, *features).withColumn("__over", (F.col(y) > threshold).cast("int"))
     train = rows.filter("split = 'train'")
-    chance = _stages(features, gbt_classifier("__over")).fit(train).transform(rows).select(key, positive().alias("p"))
-    mean = _stages(features, gbt_regressor(y)).fit(train.filter("__over = 1")).transform(rows).select(key, F.greatest("__pred", F.lit(0.0)).alias("m"))
-    return chance.join(mean, key).withColumn("prediction", F.col("p") * F.col("m"))
+    out = scored(_stages(features, gbt_classifier("__over")).fit(train), rows, positive(), "p")
+    out = scored(_stages(features, gbt_regressor(y)).fit(train.filter("__over = 1")), out, F.greatest("__pred", F.lit(0.0)), "m")
+    return out.select(key, "p", "m", (F.col("p") * F.col("m")).alias("prediction"))

@@ -59,14 +59,36 @@ def list_aggregate(df: DataFrame, key: str, text: str, values: DataFrame) -> Dat
     return rows.groupBy(key).agg(F.avg("value").alias("mean"), F.sum("value").alias("total"), weighted.alias("weighted"))
 
 
-def hash_vector(texts: pd.Series, dim: int) -> np.ndarray:
-    """Character 1- and 2-grams hashed into dim places, rows of length 1."""
-    import zlib
+def _crc_table() -> np.ndarray:
+    """The CRC32 steps of each byte."""
+    out = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        out = np.where(out & 1, out >> 1 ^ np.uint32(0xEDB88320), out >> 1).astype(np.uint32)
+    return out
+
+
+_CRC = _crc_table()
 
-    out = np.zeros((len(texts), dim), np.float32)
-    for k, t in enumerate(texts):
-        for gram in [*t, *(t[i : i + 2] for i in range(len(t) - 1))]:
-            out[k, zlib.crc32(gram.encode()) % dim] += 1
+
+def hash_vector(texts: pd.Series, dim: int) -> np.ndarray:
+    """Character 1- and 2-grams hashed into dim places by the CRC32 of their UTF-8 bytes, rows of length 1.
+
+    All grams of all texts are hashed together: those of a length in bytes a byte at a time.
+    """
+    encoded = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(encoded), np.uint8)
+    ends = np.cumsum([len(t) for t in encoded], dtype=np.int64)
+    starts = np.flatnonzero((data & 0xC0) != 0x80)  # of characters
+    owner = np.searchsorted(ends, starts, "right")
+    stops = np.append(starts[1:], len(data))
+    pair = np.flatnonzero(owner[1:] == owner[:-1]) if len(starts) else starts
+    begin, end, row = (np.concatenate(x) for x in ((starts, starts[pair]), (stops, stops[pair + 1] if len(pair) else stops[:0]), (owner, owner[pair])))
+    crc, size = np.full(len(begin), 0xFFFFFFFF, np.uint32), end - begin
+    for k in range(int(size.max(initial=0))):
+        on = size > k
+        crc[on] = _CRC[(crc[on] ^ data[begin[on] + k]) & 0xFF] ^ (crc[on] >> np.uint32(8))
+    place = (crc ^ np.uint32(0xFFFFFFFF)) % np.uint32(dim)
+    out = np.bincount(row * dim + place, minlength=len(texts) * dim).reshape(len(texts), dim).astype(np.float32)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 

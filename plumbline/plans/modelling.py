@@ -56,7 +56,7 @@ def _(spark, d):
 
 @query("i9_cluster_features")
 def _(spark, d):
-    return models.cluster_features(read(spark, d, "embeddings"), "embedding", "vec_id", 10)
+    return models.cluster_features(read(spark, d, "embeddings"), "embedding", "vec_id")
 
 
 @query("l3_treatment_predictability")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.primitives import discard, written
+
 
 def read_sample(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Parquet or CSV (header, byte order mark dropped) by the extension; a folder of files counts as Parquet unless it is named .csv."""
@@ -69,8 +71,13 @@ def assert_plane_clean(df: DataFrame, banned: Sequence[str]) -> DataFrame:
 
 
 def write_splits(df: DataFrame, out: str, key: str, time: str, label: str, text: Sequence[str] = (), banned: Sequence[str] = ()) -> dict[str, str]:
-    """Four planes under out (features, labels, identity, text), each partitioned by split; labels of final_test are not stored."""
+    """Four planes under out (features, labels, identity, text), each partitioned by split; labels of final_test are not stored.
+
+    What df is made of is computed and read once: its rows are written aside, and
+    each plane reads the columns it has of them.
+    """
     features = [c for c in df.columns if c not in {key, time, label, "split", *text, *banned}]
+    df = written(df, "planes")
     planes = {
         "features": df.select(key, *features, "split"), "labels": df.where("split <> 'final_test'").select(key, label, "split"),
         "identity": df.select(key, time, "split"), "text": df.select(key, *text, "split"),
@@ -78,6 +85,7 @@ def write_splits(df: DataFrame, out: str, key: str, time: str, label: str, text:
     for name, plane in planes.items():
         hidden = [label] if name != "labels" else []
         assert_plane_clean(plane, [*banned, *hidden]).write.partitionBy("split").mode("overwrite").parquet(f"{out}/{name}")
+    discard(df)
     return {name: f"{out}/{name}" for name in planes}
 
 

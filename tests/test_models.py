@@ -83,6 +83,14 @@ def test_uplift_learners(sample, learner):
     assert 0.4 < np.mean([r.uplift for r in bought]) < 0.8
 
 
+@pytest.mark.parametrize("learner", [models.s_learner, models.t_learner])
+def test_repeated_keys_stay(spark, learner):
+    """Scorings follow each other without a join, so rows of one key are each scored once."""
+    rows = spark.range(400).selectExpr("id % 100 AS id", "'train' AS split", "cast(id % 7 AS double) AS x", "cast(id % 2 AS int) AS arm", "cast(id % 7 + id % 2 AS double) AS y")
+    got = learner(rows, ["x"], "arm", "y", "id", binary=False)
+    assert got.count() == 400 and "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_importances(sample):
     got = {r.feature: r for r in models.importance_table(sample, ["x", "z"], "label").collect()}
     assert got["x"]["rank"] == 1 and got["z"]["rank"] == 2 and got["x"].share > 0.6 and got["x"].share + got["z"].share == pytest.approx(1)
@@ -141,6 +149,18 @@ def test_hurdle(sample):
     assert np.mean([abs(r.prediction - r.spend) for r in near]) < 0.5 * np.mean([abs(np.mean([q.spend for q in near]) - r.spend) for r in near])
 
 
+def test_hashes_are_crc32():
+    import zlib
+
+    texts = ["", "a", "ab", "aéb 日本🙂", "🙂", "x" * 50, "", "né"]
+    want = np.zeros((len(texts), 13))
+    for k, t in enumerate(texts):
+        for gram in [*t, *(t[i : i + 2] for i in range(len(t) - 1))]:
+            want[k, zlib.crc32(gram.encode()) % 13] += 1
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-12)
+    assert np.allclose(text.hash_vector(pd.Series(texts), 13), want) and text.hash_vector(pd.Series([], dtype=str), 4).shape == (0, 4)
+
+
 def test_hash_vectors(spark):
     one, two, same = np.asarray(text.hash_vector(pd.Series(["one two one", "two", "one two one"]), 8))
     assert len(one) == 8 and np.array_equal(one, same) and not np.array_equal(one, two)
