@@ -7,26 +7,31 @@ import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def written(df: DataFrame, name: str = "rows") -> DataFrame:
-    """df as a Parquet table in the folder that all executors share (spark.checkpoint.dir; where it is unset, a temporary one if all runs on one machine, as in tests)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; where it is unset, a new temporary one if all runs on one machine, as in tests."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("plumbline.shared.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("plumbline.shared.dir", folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    return folder
+
+
+def written(df: DataFrame, name: str = "rows") -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema, cleanup = df.schema, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(cleanup, "false")
     spark.conf.set(cleanup, "true")  # shuffle files of a table that is written are not needed again
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(cleanup, before)
     out = spark.read.schema(schema).parquet(path)
@@ -77,7 +82,7 @@ def quantiles(long: DataFrame, at: Sequence[float], by: Sequence[str] = ("featur
     named = {g: f"__g{k}" for k, g in enumerate(by)}
     same = lambda right: functools.reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(right[k]) for g, k in named.items()], F.lit(True))
     sizes = ranked.groupBy(*by).agg(F.max("__upto").alias("__n")).withColumnsRenamed(named)
-    joined = ranked.join(F.broadcast(sizes), same(sizes))  # a row for each group
+    joined = ranked.join(sizes, same(sizes))
     picked, places = [], []
     for k, share in enumerate(at):
         place = F.lit(float(share)) * (F.col("__n") - 1)
@@ -88,7 +93,7 @@ def quantiles(long: DataFrame, at: Sequence[float], by: Sequence[str] = ("featur
         places.append(F.when(a == b, a).otherwise((high - place) * a + (place - low) * b))
     found = joined.groupBy(*by, "__n").agg(*picked).select(*by, F.array(*places).alias("q")).withColumnsRenamed(named)
     groups = long.select(*by).distinct()
-    return groups.join(F.broadcast(found), same(found), "left").select(*by, "q")
+    return groups.join(found, same(found), "left").select(*by, "q")
 
 
 def quantile_edges(long: DataFrame, n_bins: int, by: Sequence[str] = ("feature",), value: str = "value") -> DataFrame:

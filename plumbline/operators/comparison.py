@@ -156,9 +156,9 @@ def benjamini_hochberg(df: DataFrame, p: str, q: float = 0.10, family: Sequence[
     ranked = prefix_sums(counts, ["__value"], {"__r": F.col("__n")}, family, None)
     sizes = ranked.groupBy(*family).agg(F.max("__r").alias("__k")).withColumnsRenamed(named)  # a row for each family
     match = lambda right: functools.reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(right[c]) for g, c in named.items()], F.lit(True))
-    hit = ranked.join(F.broadcast(sizes), match(sizes)).filter(F.col("__value") <= F.col("__r") * q / F.col("__k"))
+    hit = ranked.join(sizes, match(sizes)).filter(F.col("__value") <= F.col("__r") * q / F.col("__k"))
     cut = hit.groupBy(*family).agg(F.max("__value").alias("__cut")).withColumnsRenamed(named)
-    return df.join(F.broadcast(cut), match(cut), "left").withColumn("passed", F.coalesce(F.col(p) <= F.col("__cut"), F.lit(False))).drop("__cut", *named.values())
+    return df.join(cut, match(cut), "left").withColumn("passed", F.coalesce(F.col(p) <= F.col("__cut"), F.lit(False))).drop("__cut", *named.values())
 
 
 def noise_gate(df: DataFrame, delta: str, se: str, higher_is_better: bool = True, smallest: float = 0.0) -> DataFrame:

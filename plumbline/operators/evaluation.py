@@ -23,7 +23,7 @@ def ranked(df: DataFrame, score: str, key: str, falling: bool = True, groups: Se
     rows = df.filter(F.col(score).isNotNull())
     out = global_rank(rows, [f"-{score}" if falling else score, key], groups)
     totals = rows.groupBy(*groups).agg(F.count("*").alias("total"))
-    return out.join(F.broadcast(totals), list(groups)) if groups else out.crossJoin(F.broadcast(totals))  # one row
+    return out.join(totals, list(groups)) if groups else out.crossJoin(F.broadcast(totals))  # one row
 
 
 def log_loss(label: str, score: str, clip: float = 1e-9) -> Column:
@@ -198,7 +198,7 @@ def level_stats(df: DataFrame, y: str, p: str, groups: Sequence[str] = (), least
     """groups, rows, ratio of mean prediction to mean actual, its delta-method standard error, warning."""
     rows = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
     means = rows.groupBy(*groups).agg(F.count("*").alias("rows"), (F.avg(p) / F.nullif(F.avg(y), F.lit(0.0))).alias("ratio"), F.avg(y).alias("__y")).filter(F.col("rows") >= least)
-    joined = rows.join(F.broadcast(means), list(groups)) if groups else rows.crossJoin(F.broadcast(means))  # one row
+    joined = rows.join(means, list(groups)) if groups else rows.crossJoin(F.broadcast(means))  # one row
     spread = joined.groupBy(*groups, "rows", "ratio", "__y").agg(F.stddev_samp(F.col(p) - F.col("ratio") * F.col(y)).alias("sd"))
     out = spread.withColumn("se", F.col("sd") / (F.sqrt("rows") * F.abs(F.nullif("__y", F.lit(0.0)))))
     return out.select(*groups, "rows", "ratio", "se", (F.abs(F.col("ratio") - 1) > F.greatest(F.lit(tolerance), z * F.col("se"))).alias("warning"))

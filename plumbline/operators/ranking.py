@@ -40,7 +40,7 @@ def ks(df: DataFrame, label: str, score: str, groups: Sequence[str] = ()) -> Dat
     """Largest gap of the two classes' distribution functions at distinct scores."""
     steps = curve(score_counts(df, label, score, groups), groups)
     totals = steps.groupBy(*groups).agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
-    joined = steps.join(F.broadcast(totals), list(groups)) if groups else steps.crossJoin(F.broadcast(totals))  # one row
+    joined = steps.join(totals, list(groups)) if groups else steps.crossJoin(F.broadcast(totals))  # one row
     gap = F.abs(F.expr("try_divide(cum_pos, __p) - try_divide(cum_neg, __n)"))
     return joined.groupBy(*groups).agg(F.max(gap).alias("ks"))
 

@@ -105,7 +105,7 @@ def split_stratified(df: DataFrame, strata: str, ratios: Sequence[float], key: s
     counts = df.groupBy(strata).agg(F.count("*").alias("__n"))
     ranked = global_rank(df.drop("split").withColumn("__h", md5_order(seed, key)), ["__h", key], [strata])
     parts = _parts(F.col("rank"), names, ratios, F.col("__n"), lambda c: F.bround(c))
-    return ranked.join(F.broadcast(counts), strata).withColumn("split", parts).drop("rank", "__h", "__n")
+    return ranked.join(counts, strata).withColumn("split", parts).drop("rank", "__h", "__n")
 
 
 def window_bounds(token: str) -> tuple[str, str]:
