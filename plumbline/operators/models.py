@@ -253,7 +253,9 @@ def group_permutation_importance(df: DataFrame, features: Sequence[str], label:
 
     Test rows are ranked once. In each family and repeat a row's donor is the row
     whose rank a permutation gives, computed without a sort; all of them, and
-    the base, are scored in one pass and measured by one grouped AUC.
+    the base, are scored in one pass and measured by one grouped AUC. Donors
+    are a row for each test row, however small their compressed file is, so
+    they are never broadcast.
     """
     rows = written(filled(df, features).select(key, "split", label, *features), "families")
     model = _stages(features, gbt_classifier(label)).fit(rows.filter("split = 'train'"))
@@ -269,7 +271,7 @@ def group_permutation_importance(df: DataFrame, features: Sequence[str], label:
     each = each.withColumn("donor", F.when(F.col("family") >= 0, donor_of("rank", "seed")).otherwise(F.col("rank")))
     given = test.select(F.col("rank").alias("donor"), *[F.col(c).alias(f"__{k}") for k, c in enumerate(features)])
     number = {c: k for k, columns in enumerate(groups.values()) for c in columns}
-    dealt = each.join(given, "donor").select("family", "seed", label, *[F.when(F.col("family") == number[c], F.col(f"__{k}")).otherwise(F.col(c)).alias(c) for k, c in enumerate(features)])
+    dealt = each.join(given.hint("merge"), "donor").select("family", "seed", label, *[F.when(F.col("family") == number[c], F.col(f"__{k}")).otherwise(F.col(c)).alias(c) for k, c in enumerate(features)])
     scored = model.transform(dealt).select("family", "seed", label, positive().alias("s"))
     found = auc(scored, label, "s", ["family", "seed"]).collect()  # a row for each family and repeat
     base = next((r.auc for r in found if r.family == -1), None)

@@ -186,3 +186,19 @@ def test_tuning(spark, sample):
 def test_error_function(spark):
     df = spark.createDataFrame([(x / 10,) for x in range(-40, 41)], "x double")
     assert all(abs(r.e - math.erf(r.x)) < 1e-6 for r in df.select("x", features.erf_column(F.col("x")).alias("e")).collect())
+
+
+def test_permutation_donors_are_not_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(int(k), "train" if k % 3 else "test", int(x > 0.5), float(x), float(y)) for k, x, y in zip(range(600), rng.random(600), rng.random(600))]
+    df = spark.createDataFrame(rows, "id long, split string, label int, a_x double, b_y double")
+    seen = []
+    whole = models.auc
+
+    def auc(scored, *args):
+        seen.append(scored._jdf.queryExecution().executedPlan().toString())
+        return whole(scored, *args)
+
+    monkeypatch.setattr(models, "auc", auc)
+    models.group_permutation_importance(df, ["a_x", "b_y"], "label", "id").collect()
+    assert "BroadcastHashJoin" not in seen[-1] and "SortMergeJoin" in seen[-1]
