@@ -241,3 +241,16 @@ def test_slice_and_period_gate(spark):
         assert r.worst == (r.delta == low) and r.passed == (low > -r.reach)
     bad = df.withColumn("new", F.when(F.col("part") == "a", -F.col("old")).otherwise(F.col("old")))
     assert {(r.kind, r.passed) for r in comparison.slice_and_period_gate(bad, "label", "new", "old", ["part"], "month", "id", n_boot=50).collect()} == {("slice", False), ("period", False)}
+
+
+def test_verdicts_at_a_limit_do_not_hang_on_last_bits(spark):
+    up, down = (lambda x: float(np.nextafter(x, 9))), (lambda x: float(np.nextafter(x, -9)))
+    rows = [(d, e) for d in (1.13 / 11, -1.13 / 11) for e in (down(abs(d)), abs(d), up(abs(d)), up(2 * abs(d)), 1.001 * abs(d), 2.001 * abs(d))]
+    made = comparison.noise_gate(spark.createDataFrame(rows, "d double, se double"), "d", "se", smallest=0.05).collect()
+    assert [r.verdict for r in made] == [*["better"] * 3, "likely_better", "likely_better", "noise", *["worse"] * 3, "likely_worse", "likely_worse", "noise"]
+
+
+def test_rows_without_a_level_are_a_null_level(spark):
+    df = spark.createDataFrame([("train", k % 2, "null" if k % 3 else None) for k in range(12)], "split string, arm int, segment string")
+    made = uplift.smd_table(df.withColumn("x", F.lit(1.0)), ["x"], ["segment"], "arm")
+    assert sorted((r.level is None, r.level) for r in made.filter("variable = 'segment'").collect()) == [(False, "null"), (True, None)]
