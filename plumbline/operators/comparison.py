@@ -161,11 +161,15 @@ def benjamini_hochberg(df: DataFrame, p: str, q: float = 0.10, family: Sequence[
     return df.join(cut, match(cut), "left").withColumn("passed", F.coalesce(F.col(p) <= F.col("__cut"), F.lit(False))).drop("__cut", *named.values())
 
 
+#: How much below a limit still counts as at it: sums come out differently by as little, by the order in which rows are added.
+TIE = 1e-9
+
+
 def noise_gate(df: DataFrame, delta: str, se: str, higher_is_better: bool = True, smallest: float = 0.0) -> DataFrame:
-    """df with gain and verdict: better or worse beyond one error (and the smallest effect), likely beyond half, else noise."""
+    """df with gain and verdict: better or worse from one error (and the smallest effect) on, likely from half on, else noise; at a limit is reached, whatever the last bits."""
     gain = F.col(delta) * (1 if higher_is_better else -1)
     z = gain / F.nullif(se, F.lit(0.0))
-    verdict = F.when((z >= 1) & (gain >= smallest), "better").when(z >= 0.5, "likely_better").when(z <= -1, "worse").when(z <= -0.5, "likely_worse").otherwise("noise")
+    verdict = F.when((z >= 1 - TIE) & (gain >= smallest - TIE), "better").when(z >= 0.5 - TIE, "likely_better").when(z <= TIE - 1, "worse").when(z <= TIE - 0.5, "likely_worse").otherwise("noise")
     return df.withColumn("gain", gain).withColumn("verdict", verdict)
 
 
