@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions.primitives import melt
-from plumbline.operators import binning, drift, profile, screening
+from plumbline.operators import binning, drift, profile, rank_matrix, screening
 
 from .registry import query
-from .views import CATEGORICAL, CATS, LONG, NUMERIC, SAMPLE, TOKENS, long_sample, over_sample, read, sample, tokens
+from .views import CATEGORICAL, CATS, LONG, NUMERIC, SAMPLE, TOKENS, long_sample, over_columns, over_sample, read, sample, tokens
 
 S, L, C = f"WITH {SAMPLE}", f"WITH {LONG}", f"WITH {CATS}"
 Q10 = "[0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]"
@@ -185,7 +185,7 @@ def rank_sql(by: str, value: str) -> str:
 
 @query("e5_target_spearman", f"{L}, r AS (SELECT feature, {rank_sql('feature', 'value')} AS x, {rank_sql('feature', 'outcome')} AS y FROM long WHERE value IS NOT NULL), c AS (SELECT feature, count(*) AS n, abs(corr(x, y)) AS r FROM r GROUP BY 1) SELECT feature, n, CASE WHEN n >= 10 AND NOT isnan(r) THEN r END AS spearman FROM c", "spearman")
 def _(spark, d):
-    return binning.target_spearman(long_sample(spark, d, ("id", "outcome")), "outcome")
+    return over_columns(spark, d, ["outcome"], lambda rows: rank_matrix.target_spearman(rows, NUMERIC, "outcome"))
 
 
 def auc_sql(source: str, by: str, score: str, label: str = "label") -> str:

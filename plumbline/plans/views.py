@@ -68,6 +68,11 @@ def over_sample(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], Da
     return over(sample(spark, sf_dir).select("id", "label", "arm", "outcome", "split", "score", *NUMERIC, *CATEGORICAL), make, "sample")
 
 
+def over_columns(spark: SparkSession, sf_dir: str, keep: list[str], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """make(sample) with keep and the numeric features stored once."""
+    return over(sample(spark, sf_dir).select(*keep, *NUMERIC), make, "sample")
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user_id, day, seq: the event types of a user's day in order of time, joined by commas."""
     events = read(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", "event_type")

@@ -5,8 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions.primitives import written
-from plumbline.operators import rank_matrix, screening
+from plumbline.functions.primitives import melt, written
+from plumbline.operators import binning, rank_matrix, screening
 
 
 def nearest(d, xs, ys, fill):
@@ -61,3 +61,15 @@ def test_many_columns(spark):
     corr[np.arange(0, 2000, 5), np.arange(400)] = -1
     assert len(got) == wide_ and np.allclose([got[f]["corr"] for f in xs], corr.max(1), atol=2e-9)
     assert got["v0"].redundant == (corr[0].max() > 0.9) and table.select(F.count("*")).first()[0] == n
+
+
+def test_target_spearman_is_that_of_the_long_form(spark, monkeypatch):
+    monkeypatch.setattr(rank_matrix, "GROUP_VALUES", 50)
+    rng = np.random.default_rng(3)
+    rows = [(k, float(rng.normal()) if k % 4 else None, float(rng.integers(0, 5)), 1.0, 2.0 if k < 5 else None, None, float(rng.integers(0, 40)) if k % 9 else None) for k in range(500)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double, e double, y double").repartition(3)
+    features = ["a", "b", "c", "d", "e"]
+    got = {r.feature: (r.n, r.spearman) for r in rank_matrix.target_spearman(df, features, "y").collect()}
+    want = {r.feature: (r.n, r.spearman) for r in binning.target_spearman(melt(df, features, ["y"]), "y").collect()}
+    assert got.keys() == want.keys() == {"a", "b", "c", "d"} and got["c"][1] is got["d"][1] is None
+    assert all(got[f][0] == want[f][0] and got[f][1] == pytest.approx(want[f][1], abs=1e-9) for f in got)
