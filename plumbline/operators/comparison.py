@@ -25,6 +25,8 @@ POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.9994058
 PRIME = 2**31 - 1
 #: Weights that a task holds at a time.
 CELLS = 2_000_000
+#: Numbers that are drawn at a time, few enough for a core's cache.
+CACHED = 16_384
 
 
 def key_number(df: DataFrame, key: str) -> Column:
@@ -33,13 +35,49 @@ def key_number(df: DataFrame, key: str) -> Column:
     return F.pmod(F.col(key).cast("long") if whole else F.crc32(F.col(key).cast("string")), F.lit(PRIME))
 
 
+#: Where a number below PRIME falls among the borders of the weights; of its first 16 bits, -1 where a border is among such numbers.
+BORDERS = np.array([int(p * PRIME) for p in POISSON])
+_FIRST = np.searchsorted(BORDERS, np.arange(1 << 16) << 15, "right").astype(np.int8)
+_FIRST[BORDERS >> 15] = -1
+
+
+def _folded(x: np.ndarray, high: np.ndarray) -> None:
+    """x modulo PRIME or up to 3 more than that, in place, for numbers below 2 ** 63: bits from the 31st on count like those from the first on."""
+    for _ in range(2):
+        np.right_shift(x, 31, out=high)
+        x &= PRIME
+        x += high
+
+
+def _weights(keys: np.ndarray, n_boot: int, seed: int, first: int = 0) -> np.ndarray:
+    r = np.arange(first, first + n_boot, dtype=np.int64)
+    out = np.empty((len(keys), n_boot), np.int8)
+    own, each, last = keys.astype(np.int64) * 69621 % PRIME, (r * 16807 + (seed * 48271 + 1)) % PRIME, r * 7919 + 7
+    step = max(1, CACHED // max(n_boot, 1))
+    held = np.empty((3, step, n_boot), np.int64)
+    for at in range(0, len(keys), step):
+        x, y, high = held[:, : len(out[at : at + step])]
+        np.add(own[at : at + step, None], each, out=x)
+        np.add(x, 40692, out=y)
+        y *= x
+        y += 12345
+        _folded(y, high)
+        np.add(y, 48271, out=x)
+        x *= y
+        x += last
+        _folded(x, high)
+        np.subtract(x, PRIME, out=x, where=x >= PRIME)
+        np.right_shift(x, 15, out=high)
+        part = np.take(_FIRST, high)
+        near = np.nonzero(part < 0)
+        part[near] = np.searchsorted(BORDERS, x[near], "right")
+        out[at : at + step] = part
+    return out
+
+
 def draws(keys: np.ndarray, n_boot: int, seed: int, first: int = 0) -> np.ndarray:
     """Poisson(1) weights, a row for each key and a column for each replicate from the first on, fixed by key, replicate and seed."""
-    r = np.arange(first, first + n_boot, dtype=np.int64)
-    x = (keys[:, None] * 69621 + r * 16807 + (seed * 48271 + 1)) % PRIME
-    x = (x * x + x * 40692 + 12345) % PRIME
-    x = (x * x + x * 48271 + r * 7919 + 7) % PRIME
-    return np.searchsorted(np.array([int(p * PRIME) for p in POISSON]), x, "right")
+    return _weights(keys, n_boot, seed, first).astype(np.int64)
 
 
 class _Curve:
@@ -78,6 +116,11 @@ class _Curve:
             yield pa.RecordBatch.from_arrays(arrays, ["score", "value", "kind", "replicate", "pos", "neg", "area"])
 
 
+def _added(w: np.ndarray) -> np.ndarray:
+    """Sums of the columns; 4,000 weights of at most 8 fit into 16 bits."""
+    return sum((w[k : k + 4_000].sum(0, dtype=np.int16).astype(np.int64) for k in range(0, len(w), 4_000)), np.zeros(w.shape[1], np.int64))
+
+
 def _partial_curves(n_boot: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         curve, step = None, max(1, CELLS // n_boot)
@@ -92,9 +135,15 @@ def _partial_curves(n_boot: int, seed: int):
                     curve = _Curve(str(names[a]))
                 for at in range(a, b, step):
                     part = slice(at, min(at + step, b))
-                    w, one = draws(keys[part], n_boot, seed), label[part, None] == 1
-                    new = np.flatnonzero(np.append(True, np.diff(values[part]) > 0))
-                    curve.add(values[part][new], np.add.reduceat(w * one, new), np.add.reduceat(w * ~one, new))
+                    new = np.append(True, np.diff(values[part]) > 0)
+                    cell, n = 2 * np.cumsum(new) - 2 + (label[part] != 1), int(new.sum())  # of a value and a class
+                    order = np.argsort(cell, kind="stable")
+                    w, ordered = _weights(keys[part][order], n_boot, seed), cell[order]
+                    starts = np.flatnonzero(np.append(True, np.diff(ordered) > 0))
+                    sums = np.zeros((2 * n, n_boot), np.int64)
+                    for i, j in zip(starts, [*starts[1:], len(ordered)], strict=True):
+                        sums[ordered[i]] = w[i] if j == i + 1 else _added(w[i:j])
+                    curve.add(values[part][np.flatnonzero(new)], sums[::2].copy(), sums[1::2].copy())
         if curve:
             yield from curve.rows()
 
