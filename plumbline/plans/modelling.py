@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions.primitives import written
-from plumbline.operators import binning, drift, features, leakage, models, profile
+from plumbline.functions.primitives import melt, written
+from plumbline.operators import binning, drift, features, leakage, models, profile, rank_matrix
 from plumbline.streaming import monitor
 
 from .registry import query
@@ -16,12 +16,11 @@ FE = ["c_acctbal", "n_lines", "sum_qty", "avg_disc"]
 
 @query("d11_leakage_audit")
 def _(spark, d):
-    rows = sample(spark, d)
-    long = long_sample(spark, d, ("id", "label", "outcome"))
+    rows = written(sample(spark, d), "sample")
     collapses = drift.token_drift(tokens(spark, d), "seq", "day", F.col("day") < "2024-01-20")
     return leakage.leakage_audit(
-        binning.univariate_auc(long), profile.identifier_like(rows, ["id", "pday", "o_custkey"]), profile.entity_overlap(rows, "o_custkey"), rows.columns, ["label", "outcome"],
-        leakage.duplicate_rate(rows.drop("id")), collapses, binning.target_spearman(long, "outcome"),
+        binning.univariate_auc(melt(rows, NUMERIC, ["label"])), profile.identifier_like(rows, ["id", "pday", "o_custkey"]), profile.entity_overlap(rows, "o_custkey"), rows.columns, ["label", "outcome"],
+        leakage.duplicate_rate(rows.drop("id")), collapses, rank_matrix.target_spearman(rows, NUMERIC, "outcome"),
     )
 
 
