@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.functions.primitives import bin_index, discard, global_rank, inner, md5_number, melt, quantile_edges, written
+from plumbline.functions import wide
+from plumbline.functions.primitives import discard, global_rank, md5_number, written
 
 from .comparison import bootstrap_ci
-from .features import impute_median
 from .ranking import auc
 from .splits import kfold
 
@@ -48,8 +48,11 @@ def logistic(label: str) -> LogisticRegression:
     return LogisticRegression(labelCol=label, maxIter=30, regParam=0.01, predictionCol="__pred", probabilityCol="__prob", rawPredictionCol="__rawp")
 
 
-def filled(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return impute_median(df, df, features, (2.0, 2.0))
+def filled(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """keep and features, nulls by the median of all rows; what df is made of is read once, into a stored table of these columns."""
+    rows = written(df.select(*dict.fromkeys([*keep, *features])), "filled")
+    middle = wide.quantiles(rows, features, (0.5,))
+    return rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(middle[c][0] if middle[c] else 0.0)) for c in features})
 
 
 def scored(model: PipelineModel, df: DataFrame, score: Column, name: str) -> DataFrame:
@@ -63,7 +66,7 @@ def positive() -> Column:
 
 def oof_score(df: DataFrame, features: Sequence[str], label: str, key: str, make, k: int = 5, scale: bool = False) -> DataFrame:
     """key, score: rows of split train by the models of the other folds, the rest by a model of all training rows; null without both classes."""
-    rows = written(kfold(filled(df, features).select(key, "split", label, *features), k, key, SEED), "oof")
+    rows = written(kfold(filled(df, features, [key, "split", label]), k, key, SEED), "oof")
     train = rows.filter("split = 'train'")
     if train.select(F.count_distinct(label)).first()[0] < 2:
         return rows.select(key, F.lit(None).cast("double").alias("score"))
@@ -105,7 +108,7 @@ def cluster_features(df: DataFrame, vector: str, key: str, k: int = 12, fit_on:
 
 def treatment_predictability(df: DataFrame, covariates: Sequence[str], arm: str, key: str, holdout: float = 0.3, least: int = 30) -> DataFrame:
     """One row: rows by arm, AUC of a model of the arm on a hashed holdout, level (0.6, 0.7, 0.8), importances by falling gain; none under least rows an arm."""
-    rows = written(filled(df, covariates).select(key, arm, *covariates, (md5_number(SEED, key) % 1000 < holdout * 1000).alias("held")), "arms")
+    rows = filled(df, covariates, [key, arm]).withColumn("held", md5_number(SEED, key) % 1000 < holdout * 1000)
     n = rows.agg(F.count_if(F.col(arm) == 1).alias("treated"), F.count_if(F.col(arm) == 0).alias("control"))
     enough = min(n.first()) >= least
     scored, gains = rows.limit(0).select(arm, F.lit(0.0).alias("s")), []
@@ -120,7 +123,7 @@ def treatment_predictability(df: DataFrame, covariates: Sequence[str], arm: str,
 
 def s_learner(df: DataFrame, features: Sequence[str], arm: str, outcome: str, key: str, binary: bool = True) -> DataFrame:
     """key, p1, p0, uplift: one model of training rows with the arm as a feature, applied with each arm."""
-    rows = filled(df, features).select(key, "split", arm, outcome, *features)
+    rows = filled(df, features, [key, "split", arm, outcome])
     model = _stages([*features, arm], gbt_classifier(outcome) if binary else gbt_regressor(outcome)).fit(rows.filter("split = 'train'"))
     score, out = positive() if binary else F.col("__pred"), rows
     for v in (1, 0):
@@ -130,7 +133,7 @@ def s_learner(df: DataFrame, features: Sequence[str], arm: str, outcome: str, ke
 
 def t_learner(df: DataFrame, features: Sequence[str], arm: str, outcome: str, key: str, binary: bool = True) -> DataFrame:
     """key, p1, p0, uplift: a model for each arm of the training rows."""
-    rows = filled(df, features).select(key, "split", arm, outcome, *features)
+    rows = filled(df, features, [key, "split", arm, outcome])
     make, score = (gbt_classifier, positive()) if binary else (gbt_regressor, F.col("__pred"))
     out = rows
     for v in (1, 0):
@@ -141,7 +144,7 @@ def t_learner(df: DataFrame, features: Sequence[str], arm: str, outcome: str, ke
 
 def importance_table(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """feature, gain, share, rank (ties share the lowest) of a boosted model."""
-    model: PipelineModel = _stages(features, gbt_classifier(label)).fit(filled(df, features))
+    model: PipelineModel = _stages(features, gbt_classifier(label)).fit(filled(df, features, [label]))
     gains = [float(x) for x in model.stages[-1].featureImportances.toArray()]
     table = df.sparkSession.createDataFrame(list(zip(features, gains, strict=True)), "feature string, gain double")
     all_ = Window.partitionBy()  # a row for each feature
@@ -150,9 +153,10 @@ def importance_table(df: DataFrame, features: Sequence[str], label: str) -> Data
 
 def sample_noise_check(full: DataFrame, keys: DataFrame, key: str, label: str, score: str, smallest: float, n_boot: int = 2000) -> DataFrame:
     """One row: the AUC's standard error on all rows and on those with keys, their ratio to twice the smallest effect, usable."""
-    part = full.join(keys.select(key).distinct(), key, "left_semi")
-    a = bootstrap_ci(full, label, score, key, n_boot).select(F.col("se").alias("se_full"))
-    b = bootstrap_ci(part, label, score, key, n_boot).select(F.col("se").alias("se_sample"))
+    chosen = keys.select(key).distinct().withColumn("__chosen", F.lit(True))
+    rows = written(full.select(key, label, score).join(chosen, key, "left"), "noise")
+    a = bootstrap_ci(rows, label, score, key, n_boot).select(F.col("se").alias("se_full"))
+    b = bootstrap_ci(rows.filter("__chosen"), label, score, key, n_boot).select(F.col("se").alias("se_sample"))
     return a.crossJoin(b).withColumn("ratio", F.col("se_sample") / (2 * smallest)).withColumn("usable", F.col("ratio") <= 1)  # one row each
 
 
@@ -166,35 +170,44 @@ def local_ambiguity(df: DataFrame, features: Sequence[str], y: str) -> DataFrame
     There are as many projections as give cells of about CELL_ROWS rows, 2 at
     least, so the resolution grows with the rows.
     """
-    rows = written(filled(df.filter(F.col(y).isNotNull()), features).select(y, *features), "ambiguity")
+    rows = filled(df.filter(F.col(y).isNotNull()), features, [y])
     dims = max(2, min(MOST_DIMS, round(math.log(max(4, rows.count() // CELL_ROWS), 3))))
     moments = rows.agg(*[F.struct(F.avg(c), F.stddev_pop(c)).alias(c) for c in features]).first()
     weight = lambda c, d: (int(hashlib.md5(f"{SEED}|{d}|{c}".encode()).hexdigest()[:8], 16) / 2**31) - 1
     for d in range(dims):
         rows = rows.withColumn(f"__p{d}", sum((F.lit(weight(c, d)) * (F.col(c) - moments[c][0]) / (moments[c][1] or 1.0) for c in features), F.lit(0.0)))
-    long = melt(rows, [f"__p{d}" for d in range(dims)])
-    edges = {r.feature: r.edges or [] for r in quantile_edges(long, 3).collect()}  # dims rows
-    cell = F.concat_ws("-", *[bin_index(F.col(f"__p{d}"), inner(F.array(*[F.lit(x) for x in edges[f"__p{d}"]]))).cast("string") for d in range(dims)])
+    edges = wide.edges_of(wide.quantiles(rows, [f"__p{d}" for d in range(dims)], (0, 1 / 3, 2 / 3, 1)))
+    bins = [sum(((F.col(f"__p{d}") > x).cast("long") for x in wide.inner(edges[f"__p{d}"])), F.lit(0).cast("long")) for d in range(dims)]
+    cell = sum((b * 3**d for d, b in enumerate(bins)), F.lit(0).cast("long"))  # at most 3 ** MOST_DIMS
     cells = rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.var_pop(y).alias("v"))
     total = rows.agg(F.var_pop(y).alias("total"))
     out = cells.agg(F.lit(dims).alias("dims"), F.count("*").alias("cells"), (F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("within")).crossJoin(total)  # one row each
     return out.withColumn("ambiguity", F.col("within") / F.nullif("total", F.lit(0.0)))
 
 
-def _fit_auc(train: DataFrame, test: DataFrame, features: Sequence[str], label: str) -> float | None:
-    scored = _stages(features, gbt_classifier(label)).fit(train).transform(test).select(F.col(label), positive().alias("s"))
-    return auc(scored, label, "s").first()[0]
+def _fitted(train: DataFrame, features: Sequence[str], label: str) -> PipelineModel:
+    return _stages(features, gbt_classifier(label)).fit(train)
+
+
+def _aucs(models: Sequence[PipelineModel], test: DataFrame, label: str, by: Sequence[str] = ()) -> dict[tuple, float | None]:
+    """AUC of each model on test by its number and the groups by, which are few: the rows are read once and scored by all."""
+    out = test.select(*by, label, *[c for c in test.columns if c not in (*by, label)])
+    for k, m in enumerate(models):
+        out = scored(m, out, positive(), f"__s{k}")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("model"), F.col(f"__s{k}").alias("s")) for k in range(len(models))])).alias("_")
+    found = auc(out.select(*by, label, each).select(*by, label, "_.*"), label, "s", [*by, "model"])
+    return {(r["model"], *(r[c] for c in by)): r["auc"] for r in found.collect()}  # a row for each model and group
 
 
 def sample_size_curve(df: DataFrame, features: Sequence[str], label: str, key: str, fractions: Sequence[float] = (0.125, 0.25, 0.5, 1.0), seeds: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """fraction, seed, rows, auc on split test of models of hashed shares of the training rows."""
-    rows = written(filled(df, features).select(key, "split", label, *features), "curve")
-    train, test, out = rows.filter("split = 'train'"), rows.filter("split = 'test'"), []
-    for f in fractions:
-        for s in seeds if f < 1 else seeds[:1]:
-            part = train.filter(md5_number(s, key) < int(f * 2**32))
-            out.append((f, s, part.count(), _fit_auc(part, test, features, label)))
-    return df.sparkSession.createDataFrame(out, "fraction double, seed int, rows long, auc double")
+    rows = filled(df, features, [key, "split", label])
+    train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    points = [(f, s) for f in fractions for s in (seeds if f < 1 else seeds[:1])]
+    within = [md5_number(s, key) < int(f * 2**32) for f, s in points]
+    sizes = train.agg(*[F.count_if(w) for w in within]).first()
+    found = _aucs([_fitted(train.filter(w), features, label) for w in within], test, label)
+    return df.sparkSession.createDataFrame([(f, s, n, found.get((k,))) for k, ((f, s), n) in enumerate(zip(points, sizes, strict=True))], "fraction double, seed int, rows long, auc double")
 
 
 def last_step(curve: DataFrame) -> DataFrame:
@@ -215,10 +228,12 @@ def last_step(curve: DataFrame) -> DataFrame:
 
 def feature_count_curve(df: DataFrame, ranked_features: Sequence[str], label: str, key: str, steps: Sequence[float] = (0.25, 0.5, 0.75, 1.0)) -> DataFrame:
     """n_features, auc on split test, gain over the step before."""
-    rows = written(filled(df, ranked_features).select(key, "split", label, *ranked_features), "curve")
+    rows = filled(df, ranked_features, [key, "split", label])
     train, test, out, before = rows.filter("split = 'train'"), rows.filter("split = 'test'"), [], None
-    for n in sorted({max(1, round(s * len(ranked_features))) for s in steps}):
-        a = _fit_auc(train, test, list(ranked_features[:n]), label)
+    sizes = sorted({max(1, round(s * len(ranked_features))) for s in steps})
+    found = _aucs([_fitted(train, list(ranked_features[:n]), label) for n in sizes], test, label)
+    for k, n in enumerate(sizes):
+        a = found.get((k,))
         out.append((n, a, None if before is None or a is None else a - before))
         before = a
     return df.sparkSession.createDataFrame(out, "n_features int, auc double, gain double")
@@ -257,7 +272,7 @@ def group_permutation_importance(df: DataFrame, features: Sequence[str], label:
     are a row for each test row, however small their compressed file is, so
     they are never broadcast.
     """
-    rows = written(filled(df, features).select(key, "split", label, *features), "families")
+    rows = filled(df, features, [key, "split", label])
     model = _stages(features, gbt_classifier(label)).fit(rows.filter("split = 'train'"))
     test = written(global_rank(rows.filter("split = 'test'"), [key]), "test")
     n, groups = test.count(), families(features)
@@ -279,35 +294,37 @@ def group_permutation_importance(df: DataFrame, features: Sequence[str], label:
     for k, (name, columns) in enumerate(groups.items()):
         drops = [base - r.auc for r in found if r.family == k]
         out.append((name, ",".join(columns), base, sum(drops) / len(drops) if drops else None))
-    discard(rows, test)
+    discard(test)
     return df.sparkSession.createDataFrame(out, "family string, columns string, base_auc double, drop double")
 
 
 def incremental_gain(df: DataFrame, base: Sequence[str], feature: str, label: str, key: str, seeds: Sequence[int] = (1, 2, 3), share: float = 0.8) -> DataFrame:
     """split (test, oot), gain (mean over seeds of the AUC with the feature less without), lower (mean less one standard error)."""
-    rows = written(filled(df, [*base, feature]).select(key, "split", label, *base, feature), "gain")
-    out = []
+    rows = filled(df, [*base, feature], [key, "split", label])
+    fitted = []  # with and without the feature, for each seed; each judges both splits
     for s in seeds:
         train = rows.filter((F.col("split") == "train") & (md5_number(s, key) < int(share * 2**32)))
-        for split in ("test", "oot"):
-            part = rows.filter(F.col("split") == split)
-            out.append((split, s, _fit_auc(train, part, [*base, feature], label) - _fit_auc(train, part, list(base), label)))
+        fitted += [_fitted(train, columns, label) for columns in ([*base, feature], list(base))]
+    found = _aucs(fitted, rows.filter("split IN ('test', 'oot')"), label, ["split"])
+    gain = lambda k, split: found[2 * k, split] - found[2 * k + 1, split]
+    out = [(split, s, gain(k, split)) for k, s in enumerate(seeds) for split in ("test", "oot")]
     table = df.sparkSession.createDataFrame(out, "split string, seed int, gain double")
     return table.groupBy("split").agg(F.avg("gain").alias("gain"), (F.avg("gain") - F.stddev_samp("gain") / F.sqrt(F.count("*"))).alias("lower"))
 
 
 def fusion_gain(df: DataFrame, base: Sequence[str], accepted: Sequence[str], label: str, key: str, least: float = 0.0) -> DataFrame:
     """One row: base_auc and fused_auc on split oot of models with the base alone and with all accepted features, gain, passed."""
-    rows = written(filled(df, [*base, *accepted]).select(key, "split", label, *base, *accepted), "fusion")
+    rows = filled(df, [*base, *accepted], [key, "split", label])
     train, oot = rows.filter("split = 'train'"), rows.filter("split = 'oot'")
-    one, two = _fit_auc(train, oot, list(base), label), _fit_auc(train, oot, [*base, *accepted], label)
+    found = _aucs([_fitted(train, columns, label) for columns in (list(base), [*base, *accepted])], oot, label)
+    one, two = found.get((0,)), found.get((1,))
     gain = None if one is None or two is None else two - one
     return df.sparkSession.createDataFrame([(one, two, gain, gain is not None and gain >= least)], "base_auc double, fused_auc double, gain double, passed boolean")
 
 
 def hurdle_regression(df: DataFrame, features: Sequence[str], y: str, key: str, threshold: float = 0.0) -> DataFrame:
     """key, p (chance of y over the threshold), m (mean above it, at least 0), prediction p times m."""
-    rows = filled(df, features).select(key, "split", y, *features).withColumn("__over", (F.col(y) > threshold).cast("int"))
+    rows = filled(df, features, [key, "split", y]).withColumn("__over", (F.col(y) > threshold).cast("int"))
     train = rows.filter("split = 'train'")
     out = scored(_stages(features, gbt_classifier("__over")).fit(train), rows, positive(), "p")
     out = scored(_stages(features, gbt_regressor(y)).fit(train.filter("__over = 1")), out, F.greatest("__pred", F.lit(0.0)), "m")

@@ -202,3 +202,15 @@ def test_permutation_donors_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(models, "auc", auc)
     models.group_permutation_importance(df, ["a_x", "b_y"], "label", "id").collect()
     assert "BroadcastHashJoin" not in seen[-1] and "SortMergeJoin" in seen[-1]
+
+
+def test_sources_are_read_once_and_models_fitted_once(spark, monkeypatch):
+    rows = [(k, ("train", "train", "test", "oot")[k % 4], k * 7 % 5 % 2, None if k % 9 == 0 else float(k % 13), float(k * 3 % 11)) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, split string, label int, a double, b double")
+    made = models.filled(df, ["a"], ["id"])
+    assert all("/filled-" in f for f in made.inputFiles()) and made.inputFiles()
+    assert {r.a for r in made.filter("id % 9 = 0").collect()} == {float(np.median([r[3] for r in rows if r[3] is not None]))}
+    fits, whole = [], models._stages
+    monkeypatch.setattr(models, "_stages", lambda *args: fits.append(1) or whole(*args))
+    got = {r.split: r.gain for r in models.incremental_gain(df, ["a"], "b", "label", "id", seeds=(1, 2)).collect()}
+    assert len(fits) == 4 and set(got) == {"test", "oot"}
