@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.skew import skewed_join
 
-from .tables import texts, written
+from .tables import text_bytes, texts, written
 
 RATE, FRAME, HOP = 2_000, 256, 64
 #: Frames that are transformed at a time, whatever a recording's length.
@@ -26,8 +27,12 @@ WIDTH = 8
 FILTERS = tuple((k % KINDS, 5 * k % 12 % (13 - h), h, w) for k in range(16) for h, w in [((2, 4, 6, 3, 8, 12)[k % 6], (4, 8, 6, 8, 4, 6)[k // 3 % 6])])
 #: Borders of a filter's four levels, coded so that neighbours differ in one bit.
 LEVELS, GRAY = np.array([-0.5, 0.0, 0.5]), np.array([0, 1, 3, 2], np.uint32)
-#: A landmark is two integers so many frames apart, so that phrases much shorter than a match propose none; those whose first has an even hash are kept, the same ones in every recording.
+#: A landmark is two integers so many frames apart, so that phrases much shorter than a match propose none.
 STEP = 24
+#: Parts of the landmarks, by their keys, that are looked up one after the other, so that less lies on disk at a time.
+PASSES = 2
+#: Pairs of places of one key in two recordings up to which their offsets are counted one by one, not by a transform.
+FEW_PAIRS = 1 << 16
 #: Hits at one offset that propose it, aligned frames in a row and share of their bits that may differ for a match.
 LEAST_HITS, LEAST_FRAMES, MOST_ERROR = 1, 48, 0.15
 #: Loudness of the noise in an excerpt, of at most 127.
@@ -153,35 +158,69 @@ def fingerprints(media: DataFrame, ids: list[str], pcm_col: str = "pcm") -> Data
     return rows.mapInArrow(run, _kinds(rows, ids, "print binary"))
 
 
-def landmarks(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Kept positions and the key at each. A key that comes again, as in sound that repeats itself, counts at its first and its last place."""
+def landmarks(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, how many places each has, and all places, by key and in order."""
     n = max(len(prints) - STEP, 0)
-    if not n:
-        return np.empty(0, np.int32), np.empty(0, np.int64)
     mix = lambda key: (key := key * np.uint64(0x9E3779B97F4A7C15)) ^ key >> np.uint64(29)
-    first = mix(prints[:n].astype(np.uint64))
-    kept = first & np.uint64(2) == 0
-    kept |= not kept.any()  # of a sound with one integer all along, all
-    keys, at = mix(first ^ prints[STEP:]), np.flatnonzero(kept)
-    _, early = np.unique(keys[at], return_index=True)
-    _, late = np.unique(keys[at[::-1]], return_index=True)
-    at = np.unique(np.concatenate([at[early], at[::-1][late]]))
-    return at.astype(np.int32), keys[at].view(np.int64)
+    keys = mix(mix(prints[:n].astype(np.uint64)) ^ prints[STEP:]).view(np.int64)
+    at = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.diff(keys[at], prepend=~keys[at[:1]]) != 0)
+    return keys[at[first]], np.diff(np.append(first, n)), at.astype("<i4")
 
 
-def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _few(batches, "print"):
-        places, keys, owners = [], [], []
-        for n, data in zip(batch.column("class").to_pylist(), batch.column("print").to_pylist(), strict=True):
-            at, key = landmarks(np.frombuffer(data, "<u4"))
-            places.append(at)
-            keys.append(key)
-            owners.append(np.full(len(at), n, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (owners, places, keys)], ["class", "at", "key"])
+def _posts(groups: DataFrame, part: int | None = None) -> DataFrame:
+    """class, key and its places in the class's print, packed, one row for each distinct key; of one of PASSES parts of the keys, or all."""
 
-
-def _posts(groups: DataFrame) -> DataFrame:
-    return groups.select("class", "print").mapInArrow(_post, "class long, at int, key long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _few(batches, "print"):
+            owners, keys, sizes, places = [], [], [], []
+            for n, data in zip(batch.column("class").to_pylist(), batch.column("print").to_pylist(), strict=True):
+                key, size, at = landmarks(np.frombuffer(data, "<u4"))
+                if part is not None:
+                    own = (key >> 7) % PASSES == part
+                    key, size, at = key[own], size[own], at[np.repeat(own, size)]
+                owners.append(np.full(len(key), n, np.int64))
+                keys.append(key)
+                sizes.append(size)
+                places.append(at)
+            ends = np.concatenate([[0], np.cumsum(4 * np.concatenate(sizes))]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.concatenate(places).tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owners)), pa.array(np.concatenate(keys)), packed], ["class", "key", "at"])
+
+    return groups.select("class", "print").mapInArrow(run, "class long, key long, at binary")
+
+
+def offsets(places: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each difference of a place (in order) and an asked one (in order), and how many pairs have it."""
+    if len(places) * len(asked) <= FEW_PAIRS:
+        return np.unique(np.subtract.outer(places, asked), return_counts=True)
+    low, wide = int(places[0]) - int(asked[-1]), int(places[-1] - places[0] + asked[-1] - asked[0]) + 1
+    size = 1 << wide.bit_length()
+    product = np.fft.rfft(np.bincount(places - places[0], minlength=size)) * np.fft.rfft(np.bincount(asked[-1] - asked, minlength=size))
+    counts = np.rint(np.fft.irfft(product, size)[:wide]).astype(np.int64)
+    found = np.flatnonzero(counts)
+    return found + low, counts[found]
+
+
+def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The offsets of each key that a query and a class have, with how many pairs of its places have them."""
+    for batch in (b.slice(at, FEW_ROWS << 5) for b in batches for at in range(0, b.num_rows, FEW_ROWS << 5)):
+        sides = []
+        for c in ("at", "q_at"):
+            data, ends = text_bytes(batch.column(c))
+            sides.append((data.view("<i4") if len(data) else np.empty(0, "<i4"), ends // 4))
+        (at, ends), (q_at, q_ends) = sides
+        queries, classes = (batch.column(c).to_numpy() for c in ("query", "class"))
+        one = (np.diff(ends) == 1) & (np.diff(q_ends) == 1)
+        yield _offset_rows(queries[one], classes[one], at[ends[:-1][one]] - q_at[q_ends[:-1][one]], np.ones(one.sum(), np.int64))
+        for k in np.flatnonzero(~one).tolist():
+            found, counts = offsets(at[ends[k] : ends[k + 1]], q_at[q_ends[k] : q_ends[k + 1]])
+            yield _offset_rows(np.full(len(found), queries[k]), np.full(len(found), classes[k]), found, counts)
+
+
+def _offset_rows(*columns: np.ndarray) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype(), copy=False)) for c, k in zip(columns, kinds, strict=True)], ["query", "class", "offset", "hits"])
 
 
 def stretch(one: np.ndarray, two: np.ndarray, offset: int) -> tuple[int, int, int]:
@@ -197,21 +236,46 @@ def stretch(one: np.ndarray, two: np.ndarray, offset: int) -> tuple[int, int, in
     return lo + start, end - start, int(wrong[end] - wrong[start])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bits at each offset that had hits; of offsets closer than WIDTH the one with the most frames alike, then the fewest errors, the least offset."""
-    for batch in batches:
-        rows: list[tuple] = []
-        for k, (one, two, votes) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("one", "two", "votes")), strict=True)):
-            one, two, found = np.frombuffer(one, "<u4"), np.frombuffer(two, "<u4"), []
-            for v in votes:
-                start, n, wrong = stretch(one, two, v["offset"])
+def matches(one: np.ndarray, two: np.ndarray, offsets: np.ndarray, hits: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+    """(offset, hits, start, frames, bit error) of matches: of offsets closer than WIDTH the one with the most frames alike, then the fewest errors, the least offset.
+
+    Offsets are compared from the largest overlap on, which bounds the frames
+    alike, so that those close to a chosen one need not be compared.
+    """
+    overlap = np.minimum(len(one), len(two) - offsets) - np.maximum(0, -offsets)
+    order = np.lexsort((offsets, -overlap))
+    order = order[overlap[order] >= LEAST_FRAMES].tolist()
+    held: list[tuple] = []
+    chosen: dict[int, int] = {}
+    out, at = [], 0
+
+    def close(offset: int) -> bool:
+        return any(abs(chosen.get(offset // WIDTH + d, offset + WIDTH) - offset) < WIDTH for d in (-1, 0, 1))
+
+    while at < len(order) or held:
+        while at < len(order) and (not held or overlap[order[at]] >= -held[0][0]):
+            offset = int(offsets[order[at]])
+            if not close(offset):
+                start, n, wrong = stretch(one, two, offset)
                 if n >= LEAST_FRAMES:
-                    found.append((-n, wrong, v["offset"], v["hits"], start))
-            chosen: list[int] = []
-            for n, wrong, offset, hits, start in sorted(found):
-                if all(abs(offset - x) >= WIDTH for x in chosen):
-                    chosen.append(offset)
-                    rows.append((k, offset, hits, start, -n, wrong / (-32 * n)))
+                    heapq.heappush(held, (-n, wrong, offset, int(hits[order[at]]), start))
+            at += 1
+        if held:
+            n, wrong, offset, hit, start = heapq.heappop(held)
+            if not close(offset):
+                chosen[offset // WIDTH] = offset  # no other one lies so close
+                out.append((offset, hit, start, -n, wrong / (-32 * n)))
+    return out
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The matches of each pair at the offsets that had hits, by their bits."""
+    for batch in (b.slice(at, FEW_ROWS) for b in batches for at in range(0, b.num_rows, FEW_ROWS)):
+        votes, rows = batch.column("votes"), []
+        for k in range(batch.num_rows):
+            own = votes[k].values
+            one, two = (np.frombuffer(batch.column(c)[k].as_buffer(), "<u4") for c in ("one", "two"))
+            rows += [(k, *m) for m in matches(one, two, *(own.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("offset", "hits")))]
         columns = list(zip(*rows, strict=True)) if rows else [()] * 6
         own = batch.select(["query", "class"]).take(pa.array(columns[0], pa.int64()))
         kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
@@ -228,20 +292,22 @@ def _classes(prints: DataFrame, ids: list[str]) -> tuple[DataFrame, DataFrame]:
     return rows.select("id", "digest"), written(groups.withColumn("class", F.monotonically_increasing_id()), "classes")
 
 
-def _met(posts: DataFrame, asked: DataFrame) -> DataFrame:
-    """query, class, offset of each hit. Of the searched posts only those move on that share a key with a query; those of a key that many have are dealt over several tasks."""
-    asked = written(asked, "asked")
-    near = written(posts.join(asked.select("key").distinct(), "key", "left_semi"), "near")
+def _met(groups: DataFrame, asked_groups: DataFrame) -> DataFrame:
+    """query, class, offset, hits of each key that both have. Of the searched posts only those move on that share a key with a query; those of a key that many have are dealt over several tasks."""
+    asked, near = written(_posts(asked_groups), "asked"), None
+    for part in range(PASSES):
+        some = written(_posts(groups, part).join(asked.select("key").distinct(), "key", "left_semi"), "near")
+        near = some if near is None else near.unionAll(some)
     hits = skewed_join(near, asked.select("key", F.col("at").alias("q_at"), F.col("class").alias("query")), ["key"])
-    return hits.select("query", "class", (F.col("at") - F.col("q_at")).alias("offset"))
+    return hits.select("query", "class", "at", "q_at").mapInArrow(_hits, "query long, class long, offset int, hits long")
 
 
 def align(prints: DataFrame, queries: DataFrame, ids: list[str]) -> DataFrame:
     """Recordings that share a stretch of sound with each query.
 
     prints and queries: ids and print. Equal prints are one class, named by its
-    smallest ids, and are compared once. Classes meet at equal landmarks,
-    however many have them, so what a recording matches does not depend on how
+    smallest ids, and are compared once. Classes meet at equal landmarks, at
+    every place of each and however many have them, so what a recording matches does not depend on how
     many others there are; the pairs of a passage that n recordings and q
     queries share are q times n, as is the result. The histogram of offsets
     keeps each offset with LEAST_HITS; there the bits of the whole overlap are
@@ -256,8 +322,8 @@ def align(prints: DataFrame, queries: DataFrame, ids: list[str]) -> DataFrame:
     """
     _, groups = _classes(prints, ids)
     asked, asked_groups = _classes(queries, ids)
-    met = _met(_posts(groups), _posts(asked_groups))
-    votes = met.groupBy("query", "class", "offset").agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= LEAST_HITS)
+    met = _met(groups, asked_groups)
+    votes = met.groupBy("query", "class", "offset").agg(F.sum("hits").alias("hits")).filter(F.col("hits") >= LEAST_HITS)
     pairs = votes.groupBy("query", "class").agg(F.collect_list(F.struct("offset", "hits")).alias("votes"))
     one, two = asked_groups.select(F.col("class").alias("query"), F.col("print").alias("one")), groups.select("class", F.col("print").alias("two"))
     pairs = pairs.join(one, "query").join(two, "class")

@@ -128,3 +128,36 @@ def test_long(spark, text):
     got = ch.align(made, made.filter("id IS NULL OR id = 1"), ["id"]).collect()
     assert {(r.id, r.match.id, r.members) for r in got} == {(q, m, n) for q in (None, 1) for m, n in ((None, 3), (1, 1))}
     assert sum(r.id is None and r.match.id == 1 for r in got) == 2 * sum(r.id == 1 and r.match.id is None for r in got)
+
+
+def test_every_place_of_a_repeated_phrase(spark):
+    """A phrase that a recording has five times matches at all five, and one note held long within other sound matches, whatever its hash."""
+    rng = np.random.default_rng(3)
+    make = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    phrase = make(40)
+    docs = {0: [*make(7), *(w for k in range(5) for w in [*phrase, *make(9 + k)])], 1: phrase}
+    docs |= {10 + 2 * k + j: [*make(30), *[f"n{k}"] * 40, *make(30)] for k in range(12) for j in (0, 1)}
+    table = spark.createDataFrame([(k, " ".join(d)) for k, d in docs.items()], "id long, text string")
+    made = ch.rendered_fingerprints(table, ["id"], "text")
+    got = {}
+    for r in ch.align(made, made.filter("id = 1 OR id >= 10 AND id % 2 = 0"), ["id"]).collect():
+        got.setdefault((r.id, r.match.id), set()).add(r.offset)
+    assert {2 * (7 + 40 * k + sum(range(9, 9 + k))) for k in range(5)} <= got[1, 0]
+    assert all((10 + 2 * k, 11 + 2 * k) in got for k in range(12))
+
+
+def test_offsets_and_matches():
+    """Offsets by a transform are those of all pairs; offsets that are not compared would not be chosen."""
+    rng = np.random.default_rng(5)
+    a, b = np.sort(rng.choice(3000, 700, False)), np.sort(rng.choice(900, 400, False))
+    want = np.unique(np.subtract.outer(a, b), return_counts=True)
+    assert all(np.array_equal(x, y) for x, y in zip(want, ch.offsets(a, b), strict=True))
+    bar = rng.integers(0, 1 << 32, 5, np.uint32)
+    one, two = (np.tile(bar, n) ^ (rng.random(5 * n) < 0.1).astype(np.uint32) for n in (40, 60))
+    tried = np.arange(-len(one), len(two))
+    found = sorted((-n, wrong, int(o), start) for o in tried for start, n, wrong in [ch.stretch(one, two, int(o))] if n >= ch.LEAST_FRAMES)
+    chosen = []
+    for n, wrong, o, start in found:
+        if all(abs(o - c[0]) >= ch.WIDTH for c in chosen):
+            chosen.append((o, 1, start, -n, wrong / (-32 * n)))
+    assert ch.matches(one, two, tried, np.ones(len(tried), np.int64)) == chosen and len(chosen) > 5
