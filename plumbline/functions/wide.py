@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 BLOCK, SKETCH = 128, 64
 #: Values of a column between two borders that are sorted at last; borders tried for each rank in a scan.
 REST, TRIES = 4096, 4
-#: Bytes of distinct values that a task gathers before it sends them on, and distinct values that one group holds, about.
-HELD_BYTES, GROUP_VALUES = 64 << 20, 4_000_000
+#: Bytes of distinct values that a task gathers before it sends them on, those from which it adds up equal ones, and distinct values that one group holds, about.
+HELD_BYTES, SUMMED_BYTES, GROUP_VALUES = 32 << 20, 2 << 20, 1_000_000
 
 
 def as_columns(features: Sequence[str] | Mapping[str, str]) -> dict[str, str]:
@@ -269,7 +269,7 @@ def value_counts(df: DataFrame, features: Sequence[str] | Mapping[str, str], sum
     """feature and what summarize(values, counts) says of the distinct values of each column and their counts by class, in parts.
 
     Each task sends sorted distinct values with counts, packed, one row for a
-    column and part; parts are by a hash of the value and hold some millions
+    column and part; parts are by a hash of the value and hold about a million
     (rows: how many the table has, about). summarize's row is one of a part;
     missing values are not among them. schema: of its row.
     """
@@ -293,7 +293,7 @@ def value_counts(df: DataFrame, features: Sequence[str] | Mapping[str, str], sum
             yield pa.RecordBatch.from_arrays([pa.array(feature, pa.int32()), pa.array(part, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["feature", "part", "keys", "counts"])
 
     def run(first: int, n: int, batches) -> Iterator[pa.RecordBatch]:
-        held, size = [[] for _ in range(n)], 0
+        held, size, most = [[] for _ in range(n)], 0, SUMMED_BYTES
         for values, keep in batches:
             kind = np.asarray(keep[0], np.float64)
             for k, v in enumerate(values):
@@ -305,12 +305,14 @@ def value_counts(df: DataFrame, features: Sequence[str] | Mapping[str, str], sum
                 counts = np.bincount(at * n_classes + kind[used].astype(np.int64), minlength=len(key) * n_classes).reshape(-1, n_classes)
                 held[k].append((key, counts))
                 size += 8 * len(key) * (1 + n_classes)
-            if size > HELD_BYTES:
-                held = [[_summed(runs)] if runs else [] for runs in held]
+            if size > most:
+                for k, runs in enumerate(held):
+                    held[k] = [_summed(runs)] if runs else []
                 size = sum(8 * len(r[0][0]) * (1 + n_classes) for r in held if r)
                 if size > HELD_BYTES / 2:
                     yield from packed(held, first)
                     held, size = [[] for _ in range(n)], 0
+                most = max(SUMMED_BYTES, 2 * size)  # values that come again are held about twice, not as often as they come
         yield from packed(held, first)
 
     def join(key: tuple, rows: pa.Table) -> pa.Table:

@@ -106,3 +106,13 @@ def test_fifteen_hundred_columns(spark):
     assert counts.count() == 2 * width
     iv = {r.feature: r.iv for r in binning.iv_table(wide_rows, ["v0", "v7", "v1499"]).collect()}
     assert len(iv) == 3 and all(x >= 0 for x in iv.values())
+
+
+def test_distinct_values_come_in_small_groups(spark, tmp_path):
+    """No group of distinct values grows with the table, and values that come again in a task are added up before they gather."""
+    spark.range(0, 2_500_000, 1, 2).selectExpr("CAST(id * 7919 % 2500000 AS DOUBLE) AS x", "CAST(id % 10 AS DOUBLE) AS y").write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    got = wide.value_counts(rows, ["x", "y"], lambda v, n: {"distinct": len(v), "n": int(n.sum())}, "distinct long, n long", 2_500_000).collect()
+    for f, distinct in (("x", 2_500_000), ("y", 10)):
+        assert sum(r.distinct for r in got if r.feature == f) == distinct and sum(r.n for r in got if r.feature == f) == 2_500_000
+    assert max(r.distinct for r in got) < 1_200_000
