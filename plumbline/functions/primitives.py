@@ -62,6 +62,11 @@ def number(c: Column | str) -> Column:
     return F.when(~F.isnan(d), d)
 
 
+def spread(of: Callable[[Column], Column], c: Column | str) -> Column:
+    """A variance or deviation that is exactly 0 where all values are equal; Spark's own may not be, as means of partial counts are rounded when they are merged."""
+    return of(c) * F.when(F.min(c) == F.max(c), 0.0).otherwise(1.0)
+
+
 def melt(df: DataFrame, features: Sequence[str], keep: Sequence[str] = (), text: bool = False) -> DataFrame:
     """keep, feature, value: one row for each row and feature; values as double, or as string."""
     value = (lambda f: F.col(f).cast("string")) if text else number

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from plumbline.functions.primitives import global_rank, quantile_edges, quantiles, written
+from plumbline.functions.primitives import global_rank, quantile_edges, quantiles, spread, written
 
 from .ranking import auc, ks
 
@@ -178,7 +178,7 @@ def regression_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
     """One row: rmse, mae, mape (over targets that aren't zero), r2."""
     e, t = F.col(p) - F.col(y), F.col(y)
     return df.filter(t.isNotNull() & F.col(p).isNotNull()).agg(
-        F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.avg(F.when(t != 0, F.abs(e / F.nullif(t, F.lit(0.0))))).alias("mape"), (1 - F.avg(e * e) / F.nullif(F.var_pop(t), F.lit(0.0))).alias("r2")
+        F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.avg(F.when(t != 0, F.abs(e / F.nullif(t, F.lit(0.0))))).alias("mape"), (1 - F.avg(e * e) / F.nullif(spread(F.var_pop, t), F.lit(0.0))).alias("r2")
     )
 
 

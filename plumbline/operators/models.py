@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions import wide
-from plumbline.functions.primitives import discard, global_rank, md5_number, written
+from plumbline.functions.primitives import discard, global_rank, md5_number, spread, written
 
 from .comparison import bootstrap_ci
 from .ranking import auc
@@ -172,7 +172,7 @@ def local_ambiguity(df: DataFrame, features: Sequence[str], y: str) -> DataFrame
     """
     rows = filled(df.filter(F.col(y).isNotNull()), features, [y])
     dims = max(2, min(MOST_DIMS, round(math.log(max(4, rows.count() // CELL_ROWS), 3))))
-    moments = rows.agg(*[F.struct(F.avg(c), F.stddev_pop(c)).alias(c) for c in features]).first()
+    moments = rows.agg(*[F.struct(F.avg(c), spread(F.stddev_pop, c)).alias(c) for c in features]).first()
     weight = lambda c, d: (int(hashlib.md5(f"{SEED}|{d}|{c}".encode()).hexdigest()[:8], 16) / 2**31) - 1
     for d in range(dims):
         rows = rows.withColumn(f"__p{d}", sum((F.lit(weight(c, d)) * (F.col(c) - moments[c][0]) / (moments[c][1] or 1.0) for c in features), F.lit(0.0)))
@@ -180,7 +180,7 @@ def local_ambiguity(df: DataFrame, features: Sequence[str], y: str) -> DataFrame
     bins = [sum(((F.col(f"__p{d}") > x).cast("long") for x in wide.inner(edges[f"__p{d}"])), F.lit(0).cast("long")) for d in range(dims)]
     cell = sum((b * 3**d for d, b in enumerate(bins)), F.lit(0).cast("long"))  # at most 3 ** MOST_DIMS
     cells = rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.var_pop(y).alias("v"))
-    total = rows.agg(F.var_pop(y).alias("total"))
+    total = rows.agg(spread(F.var_pop, y).alias("total"))
     out = cells.agg(F.lit(dims).alias("dims"), F.count("*").alias("cells"), (F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("within")).crossJoin(total)  # one row each
     return out.withColumn("ambiguity", F.col("within") / F.nullif("total", F.lit(0.0)))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.primitives import prefix_sums, written
+from plumbline.functions.primitives import prefix_sums, spread, written
 from plumbline.functions.skew import skewed_join
 
 
@@ -56,8 +56,8 @@ def correlation(x: str, y: str) -> Column:
     """Pearson, over rows where neither is null; null if a side is constant."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
-    spread = F.stddev_pop(a) * F.stddev_pop(b)
-    return F.covar_pop(a, b) / F.when(spread > 1e-300, spread)
+    both_spread = spread(F.stddev_pop, a) * spread(F.stddev_pop, b)
+    return F.covar_pop(a, b) / F.when(both_spread > 1e-300, both_spread)
 
 
 def average_ranks(long: DataFrame, groups: Sequence[str] = ("feature",), value: str = "value") -> DataFrame:

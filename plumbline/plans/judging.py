@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.primitives import spread
 from plumbline.operators import comparison, evaluation, ranking, resampling, uplift
 
 from .analysis import auc_sql, signed_sql
@@ -375,7 +376,7 @@ def _(spark, d):
     SELECT o_custkey, d, se, gain, CASE WHEN z >= 1 AND gain >= 0.05 THEN 'better' WHEN z >= 0.5 THEN 'likely_better' WHEN z <= -1 THEN 'worse' WHEN z <= -0.5 THEN 'likely_worse' ELSE 'noise' END AS verdict FROM g""", "d se gain")
 def _(spark, d):
     gap = F.col("score") - F.col("score_old")
-    rows = sample(spark, d).groupBy("o_custkey").agg(F.avg(gap).alias("d"), (F.stddev_samp(gap) / F.sqrt(F.count("*"))).alias("se"))
+    rows = sample(spark, d).groupBy("o_custkey").agg(F.avg(gap).alias("d"), (spread(F.stddev_samp, gap) / F.sqrt(F.count("*"))).alias("se"))
     return comparison.noise_gate(rows, "d", "se", smallest=0.05)
 
 

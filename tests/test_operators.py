@@ -254,3 +254,17 @@ def test_rows_without_a_level_are_a_null_level(spark):
     df = spark.createDataFrame([("train", k % 2, "null" if k % 3 else None) for k in range(12)], "split string, arm int, segment string")
     made = uplift.smd_table(df.withColumn("x", F.lit(1.0)), ["x"], ["segment"], "arm")
     assert sorted((r.level is None, r.level) for r in made.filter("variable = 'segment'").collect()) == [(False, "null"), (True, None)]
+
+
+def test_a_variable_without_variance_has_no_smd_however_rows_are_dealt(spark):
+    rows = [("train", k % 2, 1.0, "a") for k in range(600)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows[:98], 1) + spark.sparkContext.parallelize(rows[98:], 1), "split string, arm int, x double, segment string")
+    assert df.agg(F.var_pop("x")).first()[0] > 0  # as partial means are merged
+    (made,) = uplift.smd_table(df, ["x"], ["segment"], "arm").filter("variable = 'x'").collect()
+    assert (made.smd, made.status) == (None, None)
+
+
+def test_levels_of_a_split_without_an_arm_are_severe(spark):
+    df = spark.createDataFrame([("train", k % 2, "ab"[k % 3 > 0]) for k in range(12)] + [("oot", 1, "a")], "split string, arm int, segment string")
+    made = uplift.smd_table(df.withColumn("x", F.lit(1.0)), ["x"], ["segment"], "arm").filter("split = 'oot'").collect()
+    assert [(r.variable, r.smd is None or math.isnan(r.smd), r.status) for r in sorted(made, key=lambda r: r.variable)] == [("segment", True, "severe"), ("x", True, None)]
