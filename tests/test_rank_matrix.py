@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +74,16 @@ def test_target_spearman_is_that_of_the_long_form(spark, monkeypatch):
     want = {r.feature: (r.n, r.spearman) for r in binning.target_spearman(melt(df, features, ["y"]), "y").collect()}
     assert got.keys() == want.keys() == {"a", "b", "c", "d"} and got["c"][1] is got["d"][1] is None
     assert all(got[f][0] == want[f][0] and got[f][1] == pytest.approx(want[f][1], abs=1e-9) for f in got)
+
+
+def test_blocks_hold_what_is_there_in_small_rows(spark, monkeypatch):
+    """A row of a block is no longer than its values and places, however long the table is, and few rows are read at a time."""
+    monkeypatch.setattr(rank_matrix, "BLOCK_ROWS", 256)
+    monkeypatch.setattr(rank_matrix, "BATCH_BYTES", 12 * 256 * 16)
+    df = spark.range(6000, numPartitions=2).selectExpr("cast((id * 7919) % 6007 AS double) AS a", "CASE WHEN id % 10 = 0 THEN 1.0D END AS b")
+    ranks, held = rank_matrix.ranked_blocks(df, {"a": "a", "b": "b"})
+    size = held[0].selectExpr("sum(coalesce(length(ranks), 0) + coalesce(length(values), 0) + length(places)) AS whole", "max(length(places)) AS most", "max(size) AS size").first()
+    assert size.whole == 12 * (6000 + 600) and size.most <= 4 * 256 and size.size == 256
+    with rank_matrix._few(spark, 2):
+        counts = ranks.repartition(1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["rows"]) for b in batches), "rows long").collect()
+    assert len(counts) > 1 and max(r.rows for r in counts) <= 16
